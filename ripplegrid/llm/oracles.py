@@ -26,5 +26,25 @@ FROM documents d JOIN (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM count
 """
 
 
+#: Base 32 from hexadecimal: five digits make four letters.
+OP10 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p
+), top AS (
+  SELECT hex, max(page_id) AS top FROM d WHERE payload_bytes >= 0 GROUP BY hex
+), coded AS (
+  SELECT d.*, top.top, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d.hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), 'string_agg', '') AS b32
+  FROM d LEFT JOIN top USING (hex)
+)
+SELECT page_id, payload_bytes, b32 AS payload_digest,
+       CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_poisson_mixing": OP6}
+    return {"op6_poisson_mixing": OP6, "op10_warc_zstd": OP10}

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing
+from . import bpe, mixing, tokenfiles, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.document_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -21,5 +25,10 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), alpha=0.5, seed="mix-1")
 
 
+def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_bpe_backtracking": op2_bpe_backtracking, "op6_poisson_mixing": op6_poisson_mixing}
+    found = (op1_separator_scan, op2_bpe_backtracking, op6_poisson_mixing, op10_warc_zstd)
+    return {f.__name__: f for f in found}
