@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneser, mixing, tokenfiles, toxicity, warc
+from . import bpe, kneser, mixing, parsing, tokenfiles, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents mixed to source weights n ** 0.5, as many rows as before expected."""
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), alpha=0.5, seed="mix-1")
@@ -38,5 +42,5 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op6_poisson_mixing, op9_kneser_ney_quality, op10_warc_zstd)
+    found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op4_consistent_parsing, op6_poisson_mixing, op9_kneser_ney_quality, op10_warc_zstd)
     return {f.__name__: f for f in found}
