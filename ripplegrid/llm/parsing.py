@@ -42,16 +42,18 @@ def merged_runs(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, np.searchsorted(at, first)
 
 
-def coin_labels(names: np.ndarray) -> np.ndarray:
-    """A label below 8 of each symbol, from it and the ROUNDS symbols before it; neighbours that differ have labels that differ."""
+def coin_labels(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A label below 8 of each symbol, from it and the ROUNDS symbols before it in its text; neighbours that differ have labels that differ."""
     differ = names.copy()
     differ[1:] ^= names[:-1]
+    differ[starts] = names[starts]
     low = differ & (~differ + np.uint64(1))
     bit = np.bitwise_count(low - np.uint64(1)).astype(np.uint8)
     label = (bit & 63) << 1 | ((names & low) != 0)
     for _ in range(ROUNDS - 1):
         d = label.copy()
         d[1:] ^= label[:-1]
+        d[starts] = label[starts]
         bit = _LOWEST[d]
         label = bit << 1 | (label >> bit & 1)
     return label
@@ -62,10 +64,12 @@ def phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     names, first = merged_runs(names, first)
     if not len(names):
         return names, first
-    label = coin_labels(names)
+    starts = first[:-1][np.diff(first) > 0]
+    label = coin_labels(names, starts)
     begin = np.zeros(len(names), bool)
     begin[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
-    begin[first[:-1][first[:-1] < len(names)]] = True
+    begin[starts[1:] - 1] = False  # a text's last symbol has no neighbour after it
+    begin[starts] = True
     at = np.flatnonzero(begin)
     size = np.diff(at, append=len(names))
     place = np.arange(len(names)) - np.repeat(at, size)
