@@ -12,10 +12,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, runs, shared_folder, written
+from .common import keyed_text, runs, written
 from .wordscan import Words, mixed
 
 SHINGLE, HASHES, ROWS = 4, 120, 5
@@ -74,3 +74,190 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     for k in range(ROWS):
         key = mixed(key * np.uint64(31) + bands[:, :, k])
     return key.view(np.int64)
+
+
+#: Members of a bucket up to which its pairs are listed; larger ones are compared set by set in blocks.
+SMALL = 32
+#: Members of a block of a large bucket.
+BLOCK = 2_000
+#: Ids up to which a semi-join is broadcast (16 MB).
+BROADCAST_IDS = 2_000_000
+
+
+def described(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, h, n, sig, bands) of each row with an id: h names the set (null if empty), sig has a byte of each signature value."""
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in runs(batch[text], CHARS):
+                values, first = shingle_sets(batch[text].iloc[a:b].tolist())
+                full, sig = signatures(values, first)
+                keys, small = band_keys(sig), np.ascontiguousarray(sig.astype(np.uint8))
+                out = pd.DataFrame({"id": batch[key].iloc[a:b].to_numpy(), "h": None, "n": np.diff(first), "sig": None, "bands": None}, dtype=object)
+                for i, row in enumerate(full.tolist()):
+                    out.iat[row, 1] = hashlib.md5(values[first[row] : first[row + 1]].tobytes()).digest()
+                    out.iat[row, 3] = small[i].tobytes()
+                    out.iat[row, 4] = keys[i]
+                yield out
+
+    rows = keyed_text(docs.filter(F.col(key).isNotNull()), key, text)
+    return rows.mapInPandas(work, f"id {rows.schema[key].dataType.simpleString()}, h binary, n long, sig binary, bands array<long>")
+
+
+def member_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """(h, ids) of the members (h, rep): the sorted shingle hashes of each set, from the representative's whole text."""
+    some = members.select("h", "rep").distinct()
+    ids = some.select(F.col("rep").alias(key)).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in runs(batch[text], CHARS):
+                values, first = shingle_sets(batch[text].iloc[a:b].tolist())
+                sets = [values[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pd.DataFrame({"h": [hashlib.md5(s).digest() for s in sets], "set": sets})
+
+    found = keyed_text(docs, key, text).join(ids, key, "left_semi").mapInPandas(work, "h binary, set binary")
+    return found.join(some.select("h"), "h", "left_semi").dropDuplicates(["h"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose full sets have 100 * intersection >= PERCENT * union."""
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            yield batch.loc[good, ["a", "b"]]
+
+    first = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("x")), "a")
+    both = first.join(sets.select(F.col("h").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInPandas(work, "a binary, b binary")
+
+
+def likely(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, sig_a, sig_b), those whose signatures agree in LEAST_ESTIMATE of their values."""
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                part = batch.iloc[i : i + 4096]
+                x, y = (np.frombuffer(b"".join(part[c]), np.uint8).reshape(len(part), -1) for c in ("sig_a", "sig_b"))
+                yield part.loc[(x == y).mean(1) >= LEAST_ESTIMATE, ["a", "b"]]
+
+    return pairs.mapInPandas(work, "a binary, b binary")
+
+
+def sized(n: str, m: str):
+    """Whether sets of n and m shingles can be alike enough."""
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
+def linked_in_blocks(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) links between components in large buckets (key, h, c, size): blocks of at most BLOCK members are compared in pairs, each set of one component with the sets of the others."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    placed = big.withColumn("blocks", blocks).withColumn("at", F.expr("int(pmod(xxhash64(h), blocks))"))
+    # A pair of blocks i <= j gets the members of both.
+    dealt = placed.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("at", "j"), "hi": F.greatest("at", "j")})
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        sets_of = [np.frombuffer(s, np.uint64) for s in group["set"]]
+        size = np.array([len(s) for s in sets_of])
+        names, code = np.unique(np.concatenate(sets_of), return_inverse=True)
+        cuts = np.cumsum(size) - size
+        comp = pd.factorize(group["c"])[0]
+        rows = group["h"].tolist()
+        largest = np.bincount(comp).argmax()
+        mark, out = np.zeros(len(names), np.int32), []
+        # Pairs with the largest component are seen from the other side.
+        for i in np.flatnonzero(comp != largest).tolist():
+            own = code[cuts[i] : cuts[i] + size[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[code], cuts)
+            mark[own] = 0
+            out += [(rows[i], rows[j]) for j in np.flatnonzero((100 * both >= PERCENT * (size + size[i] - both)) & (comp != comp[i])).tolist()]
+        # One link between two components will do.
+        found = pd.DataFrame(out, columns=["a", "b"])
+        if len(found):
+            of = dict(zip(rows, comp.tolist(), strict=True))
+            pair = [tuple(sorted((of[a], of[b]))) for a, b in out]
+            found = found.loc[~pd.Series(pair).duplicated()]
+        return found
+
+    return dealt.join(sets, "h").select("key", "lo", "hi", "h", "c", "set").groupBy("key", "lo", "hi").applyInPandas(work, "a binary, b binary")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): every node of links (a, b) with the least node it reaches, by alternating stars; each round is written to the shared folder."""
+    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    last = None
+    while True:
+        # Large star: larger neighbours of each node are linked to the least of its neighbours and itself.
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Small star: each node and its smaller neighbours are linked to the least of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        edges = written(small)
+        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
+        if now == last:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+        last = now
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every document with an id.
+
+    A document's set holds its distinct SHINGLE-word shingles; fewer words are one shingle, no words none, which
+    is linked with nothing. Sets of 100 * intersection >= PERCENT * union are linked; component_id is the least id
+    reachable. Equal sets are one class, and only classes are compared: each with the leader of each of its
+    buckets first, then, where a bucket still spans components, with all of the other components in it. So links
+    within a component need not be looked at, and none between two is missed that shares a bucket. Null texts are
+    empty; rows of equal ids and texts get equal results; rows without an id are left out.
+    """
+    base = written(described(docs, key, text))
+    classes = written(base.filter("h IS NOT NULL").groupBy("h").agg(F.min(F.struct("id", "n", "sig", "bands")).alias("r")).select("h", F.col("r.id").alias("rep"), "r.n", "r.sig", "r.bands"))
+    rows = classes.select("h", "rep", "n", F.explode("bands").alias("key"))
+    leaders = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("o"), "h", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = written(rows.join(leaders, "key").select("key", "h", "rep", "n", F.col("l.h").alias("leader"), F.col("l.n").alias("leader_n"), "size"))
+    sigs = classes.select("h", "sig")
+    sets = written(member_sets(docs, members, key, text))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(sigs.select(F.col("h").alias("a"), F.col("sig").alias("sig_a")), "a")
+        return likely(with_a.join(sigs.select(F.col("h").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b"))
+
+    stars = members.filter((F.col("h") != F.col("leader")) & sized("n", "leader_n")).select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b")).distinct()
+    tried = written(tested(stars))
+    links = written(confirmed(tried, sets))
+
+    comp = components(links)
+    labelled = members.join(comp, members["h"] == comp["node"], "left").select("key", "h", "n", "size", F.coalesce("label", "h").alias("c"))
+    spread = labelled.groupBy("key").agg((F.min("c") != F.max("c")).alias("many")).filter("many").select("key")
+    open_ = written(labelled.join(spread, "key", "left_semi"))
+    few = open_.filter(F.col("size") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter((F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & sized("x.n", "y.n"))
+    pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = confirmed(tested(pairs), sets).unionByName(linked_in_blocks(open_.filter(F.col("size") > SMALL), sets))
+    comp = written(components(links.unionByName(more)))
+
+    least = comp.join(classes.select(F.col("h").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
+    named = comp.join(least, "label").select(F.col("node").alias("h"), "least")
+    of_class = classes.select("h", "rep").join(named, "h", "left").select("h", F.coalesce("least", "rep").alias("component_id"))
+    out = base.select("id", "h", "n").join(of_class, "h", "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, that of the least id, with docs' columns; of rows that repeat it, one stays. Rows without an id stay."""
+    found = near_duplicates(docs, key=key, text=text).filter("kept").select(F.col(key).alias("__kept")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = docs.join(found, F.col(key) == F.col("__kept")).dropDuplicates([key]).select(*columns)
+    return stay.unionByName(docs.filter(F.col(key).isNull()))

@@ -46,5 +46,35 @@ FROM coded
 """
 
 
+#: Exact links over shared shingles, then the least id reachable by widening steps.
+OP8 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words
+), classes AS (
+  SELECT min(doc_id) AS rep, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s
+), shingles AS (
+  SELECT rep, n, unnest(s) AS g FROM classes
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT rep, rep FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), least_rep AS (
+  SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a
+), of_doc AS (
+  SELECT s.doc_id, c.rep FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) s JOIN classes c USING (s)
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(l.component_id, s.doc_id) AS kept
+FROM sets s LEFT JOIN of_doc o USING (doc_id) LEFT JOIN least_rep l USING (rep)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_poisson_mixing": OP6, "op10_warc_zstd": OP10}
+    return {"op6_poisson_mixing": OP6, "op8_minmax_near_dedup": OP8, "op10_warc_zstd": OP10}

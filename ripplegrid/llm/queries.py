@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneser, mixing, parsing, tokenfiles, toxicity, warc
+from . import bpe, kneser, minhash, mixing, parsing, tokenfiles, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), alpha=0.5, seed="mix-1")
 
 
+def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,5 +46,5 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op4_consistent_parsing, op6_poisson_mixing, op9_kneser_ney_quality, op10_warc_zstd)
+    found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op4_consistent_parsing, op6_poisson_mixing, op8_minmax_near_dedup, op9_kneser_ney_quality, op10_warc_zstd)
     return {f.__name__: f for f in found}
