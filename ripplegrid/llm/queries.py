@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneser, minhash, mixing, parsing, tokenfiles, toxicity, warc
+from . import ann, bpe, kneser, minhash, mixing, parsing, tokenfiles, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_vamana_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents mixed to source weights n ** 0.5, as many rows as before expected."""
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), alpha=0.5, seed="mix-1")
@@ -46,5 +50,5 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op4_consistent_parsing, op6_poisson_mixing, op8_minmax_near_dedup, op9_kneser_ney_quality, op10_warc_zstd)
+    found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op4_consistent_parsing, op5_vamana_search, op6_poisson_mixing, op8_minmax_near_dedup, op9_kneser_ney_quality, op10_warc_zstd)
     return {f.__name__: f for f in found}
