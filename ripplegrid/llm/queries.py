@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, kneser, minhash, mixing, parsing, tokenfiles, toxicity, warc
+from . import ann, bpe, kneser, lbl, minhash, mixing, parsing, tokenfiles, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), alpha=0.5, seed="mix-1")
 
 
+def op7_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op4_consistent_parsing, op5_vamana_search, op6_poisson_mixing, op8_minmax_near_dedup, op9_kneser_ney_quality, op10_warc_zstd)
+    found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op4_consistent_parsing, op5_vamana_search, op6_poisson_mixing, op7_log_bilinear_scores, op8_minmax_near_dedup, op9_kneser_ney_quality, op10_warc_zstd)
     return {f.__name__: f for f in found}
