@@ -36,7 +36,7 @@ def windowed(size: int) -> str:
 
 
 WHOLE = "rw AS (SELECT 0 AS w, r.* FROM r)"
-CORR0 = "corr AS (SELECT a.asset AS src, b.asset AS tgt, CASE WHEN a.asset = b.asset THEN 1.0 ELSE corr(a.r, b.r) END AS rho FROM r a JOIN r b USING (rn) GROUP BY ALL)"
+CORR0 = "corr AS (SELECT a.asset AS src, b.asset AS tgt, CASE WHEN a.asset = b.asset THEN 1.0 ELSE corr(a.r, b.r) END AS rho FROM r a JOIN r b USING (rn) GROUP BY a.asset, b.asset)"
 
 
 def masked(q: float) -> str:
@@ -69,9 +69,9 @@ gram AS (SELECT a.w, a.tgt, a.i, b.i AS j, sum(a.v * b.v) AS v FROM design a JOI
   UNION ALL SELECT d.w, d.tgt, d.i, 0, sum(d.v * y.v) FROM design d JOIN yy y ON d.w = y.w AND d.tgt = y.tgt AND d.rn = y.rn GROUP BY ALL),
 sizes AS (SELECT w, tgt, max(i) AS m FROM terms GROUP BY ALL),
 gj(w, tgt, m, s, i, j, v) AS (SELECT w, tgt, m, 1::BIGINT, i, j, v FROM gram JOIN sizes USING (w, tgt)
-  UNION ALL SELECT w, tgt, m, s + 1, i, j, CASE WHEN i = s THEN v / p ELSE v - f * pr / p END FROM (
-    SELECT *, max(CASE WHEN i = s AND j = s THEN v END) OVER (PARTITION BY w, tgt) AS p, max(CASE WHEN j = s THEN v END) OVER (PARTITION BY w, tgt, i) AS f,
-      max(CASE WHEN i = s THEN v END) OVER (PARTITION BY w, tgt, j) AS pr FROM gj WHERE s <= m)),
+  UNION ALL SELECT g.w, g.tgt, g.m, g.s + 1, g.i, g.j, CASE WHEN g.i = g.s THEN g.v / p.v ELSE g.v - f.v * r.v / p.v END
+    FROM gj g JOIN gj p ON p.w = g.w AND p.tgt = g.tgt AND p.i = g.s AND p.j = g.s JOIN gj f ON f.w = g.w AND f.tgt = g.tgt AND f.i = g.i AND f.j = g.s
+    JOIN gj r ON r.w = g.w AND r.tgt = g.tgt AND r.i = g.s AND r.j = g.j WHERE g.s <= g.m),
 sol AS (SELECT g.w, g.tgt, t.lag, t.src, g.v AS b FROM gj g JOIN terms t ON t.w = g.w AND t.tgt = g.tgt AND t.i = g.i WHERE g.s = g.m + 1 AND g.j = 0),
 coefs AS (SELECT k.w, k.lag, k.src, k.tgt, k.src = 'const' AND k.lag = 0 AS is_const, coalesce(s.b, 0) AS coef
   FROM (SELECT DISTINCT y.w, lag, o.asset AS src, y.tgt FROM (SELECT DISTINCT w, tgt FROM yy) y, ord o, lags UNION ALL SELECT DISTINCT w, 0, 'const', tgt FROM yy) k LEFT JOIN sol s USING (w, tgt, lag, src)),
