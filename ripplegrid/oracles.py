@@ -1,6 +1,6 @@
 """DuckDB SQL for the library's own queries, put together from named steps.
 
-Least squares are Gauss-Jordan eliminations of the normal equations in a recursive query.
+Least squares are Gauss-Jordan eliminations of the normal equations, folded over the matrix as a nested list.
 """
 
 from __future__ import annotations
@@ -63,25 +63,28 @@ def solved(lags: list[int]) -> str:
 yy AS (SELECT y.w, y.asset AS tgt, y.rn, y.r AS v FROM rw y WHERE EXISTS (SELECT 1 FROM rw b WHERE b.w = y.w AND b.rn = y.rn - {top} AND b.asset = y.asset)),
 terms AS (SELECT w, tgt, lag, src, 1 + row_number() OVER (PARTITION BY w, tgt ORDER BY lag, src) AS i FROM amask, lags
   UNION ALL SELECT DISTINCT w, tgt, 0, 'const', 1 FROM yy),
-design AS (SELECT y.w, y.tgt, y.rn, t.i, x.r AS v FROM yy y JOIN terms t ON t.w = y.w AND t.tgt = y.tgt AND t.lag > 0 JOIN rw x ON x.w = y.w AND x.asset = t.src AND x.rn = y.rn - t.lag
+late AS (SELECT w, asset AS src, lag, rn + lag AS rn, r FROM rw, lags),
+design AS (SELECT y.w, y.tgt, y.rn, t.i, x.r AS v FROM yy y JOIN late x ON x.w = y.w AND x.rn = y.rn JOIN terms t ON t.w = y.w AND t.tgt = y.tgt AND t.lag = x.lag AND t.src = x.src
   UNION ALL SELECT w, tgt, rn, 1, 1.0 FROM yy),
 gram AS (SELECT a.w, a.tgt, a.i, b.i AS j, sum(a.v * b.v) AS v FROM design a JOIN design b ON a.w = b.w AND a.tgt = b.tgt AND a.rn = b.rn GROUP BY ALL
   UNION ALL SELECT d.w, d.tgt, d.i, 0, sum(d.v * y.v) FROM design d JOIN yy y ON d.w = y.w AND d.tgt = y.tgt AND d.rn = y.rn GROUP BY ALL),
 sizes AS (SELECT w, tgt, max(i) AS m FROM terms GROUP BY ALL),
-gj(w, tgt, m, s, i, j, v) AS (SELECT w, tgt, m, 1::BIGINT, i, j, v FROM gram JOIN sizes USING (w, tgt)
-  UNION ALL SELECT g.w, g.tgt, g.m, g.s + 1, g.i, g.j, CASE WHEN g.i = g.s THEN g.v / p.v ELSE g.v - f.v * r.v / p.v END
-    FROM gj g JOIN gj p ON p.w = g.w AND p.tgt = g.tgt AND p.i = g.s AND p.j = g.s JOIN gj f ON f.w = g.w AND f.tgt = g.tgt AND f.i = g.i AND f.j = g.s
-    JOIN gj r ON r.w = g.w AND r.tgt = g.tgt AND r.i = g.s AND r.j = g.j WHERE g.s <= g.m),
-sol AS (SELECT g.w, g.tgt, t.lag, t.src, g.v AS b FROM gj g JOIN terms t ON t.w = g.w AND t.tgt = g.tgt AND t.i = g.i WHERE g.s = g.m + 1 AND g.j = 0),
+lines AS (SELECT w, tgt, i, list(v ORDER BY CASE WHEN j = 0 THEN 1000000 ELSE j END) AS line FROM gram GROUP BY ALL),
+mats AS (SELECT w, tgt, max(i) AS m, list(line ORDER BY i) AS a FROM lines GROUP BY ALL),
+done AS (SELECT w, tgt, m, list_reduce(list_prepend(a, list_transform(range(1, m + 1), lambda k: [[k::DOUBLE]])), lambda q, e: list_transform(q, lambda line, i:
+  CASE WHEN i = e[1][1] THEN list_transform(line, lambda x: x / line[e[1][1]::BIGINT])
+  ELSE list_transform(line, lambda x, j: x - line[e[1][1]::BIGINT] * q[e[1][1]::BIGINT][j] / q[e[1][1]::BIGINT][e[1][1]::BIGINT]) END)) AS a FROM mats),
+gj AS (SELECT w, tgt, i, a[i][m + 1] AS v FROM (SELECT w, tgt, m, a, unnest(range(1, m + 1)) AS i FROM done)),
+sol AS (SELECT g.w, g.tgt, t.lag, t.src, g.v AS b FROM gj g JOIN terms t ON t.w = g.w AND t.tgt = g.tgt AND t.i = g.i),
 coefs AS (SELECT k.w, k.lag, k.src, k.tgt, k.src = 'const' AND k.lag = 0 AS is_const, coalesce(s.b, 0) AS coef
   FROM (SELECT DISTINCT y.w, lag, o.asset AS src, y.tgt FROM (SELECT DISTINCT w, tgt FROM yy) y, ord o, lags UNION ALL SELECT DISTINCT w, 0, 'const', tgt FROM yy) k LEFT JOIN sol s USING (w, tgt, lag, src)),
-fitted AS (SELECT d.w, d.tgt, d.rn, y.v AS y, sum(d.v * g.v) AS yhat FROM design d JOIN gj g ON g.w = d.w AND g.tgt = d.tgt AND g.i = d.i AND g.s = g.m + 1 AND g.j = 0
+fitted AS (SELECT d.w, d.tgt, d.rn, y.v AS y, sum(d.v * g.v) AS yhat FROM design d JOIN gj g ON g.w = d.w AND g.tgt = d.tgt AND g.i = d.i
   JOIN yy y ON y.w = d.w AND y.tgt = d.tgt AND y.rn = d.rn GROUP BY ALL),
 stats AS (SELECT f.w, f.tgt, count(*) AS n, any_value(m) - 1 AS k, sum((y - yhat) ** 2) AS rss, var_pop(y) * count(*) AS tss FROM fitted f JOIN sizes USING (w, tgt) GROUP BY ALL)"""
 
 
 def with_(*steps: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(steps) + "\n"
+    return "WITH " + ",\n".join(steps) + "\n"
 
 
 def r9(x: str, name: str) -> str:
