@@ -36,7 +36,9 @@ def windowed(size: int) -> str:
 
 
 WHOLE = "rw AS (SELECT 0 AS w, r.* FROM r)"
-CORR0 = "corr AS (SELECT a.asset AS src, b.asset AS tgt, CASE WHEN a.asset = b.asset THEN 1.0 ELSE corr(a.r, b.r) END AS rho FROM r a JOIN r b USING (rn) GROUP BY a.asset, b.asset)"
+#: Each pair once, and mirrored, so that ties are equal.
+CORR0 = """pair AS MATERIALIZED (SELECT a.asset AS s, b.asset AS t, corr(a.r, b.r) AS rho FROM r a JOIN r b USING (rn) WHERE a.asset < b.asset GROUP BY a.asset, b.asset),
+corr AS MATERIALIZED (SELECT s AS src, t AS tgt, rho FROM pair UNION ALL SELECT t, s, rho FROM pair UNION ALL SELECT asset, asset, 1.0 FROM ord)"""
 
 
 def masked(q: float) -> str:
