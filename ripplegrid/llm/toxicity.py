@@ -156,9 +156,13 @@ class Cnn:
 def sampled(docs: DataFrame, labels: DataFrame, rows: int, key: str, text: str, lang: str) -> pd.DataFrame:
     """(text, lang, toxic) of a bounded sample of labelled rows of the training fold, as many of each label."""
     own = labels.filter("toxic IN (0, 1)").select(key, "toxic").dropna().groupBy(key).agg(F.max("toxic").alias("toxic"))
-    train = docs.filter(F.col(text).isNotNull() & (F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1) & (F.length(text) <= SAMPLE_CHARS))
-    some = train.select(key, text, lang).join(own, key).withColumn("__h", F.xxhash64(F.lit(SEED), F.col(key)))
-    return pd.concat([some.filter(F.col("toxic") == y).orderBy("__h", text).limit(rows).select(text, lang, "toxic").toPandas() for y in (0, 1)], ignore_index=True)
+    own = own.filter(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1).withColumn("__h", F.xxhash64(F.lit(SEED), F.col(key)))
+    # The ids are chosen before the texts are read, so that no text is shuffled.
+    chosen = own.filter("toxic = 0").orderBy("__h", key).limit(rows).unionByName(own.filter("toxic = 1").orderBy("__h", key).limit(rows))
+    train = docs.filter(F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(key, text, lang)
+    some = train.join(F.broadcast(chosen), key).select(key, text, lang, "toxic").toPandas()
+    # The rows' order must not depend on how they were read.
+    return some.sort_values([key, text], kind="stable", ignore_index=True)[[text, lang, "toxic"]]
 
 
 @dataclass
