@@ -33,7 +33,7 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples: raw content serves as well
+    except (zstandard.ZstdError, ValueError):  # too few samples: raw content serves as well
         return b"".join(samples)[: DICTIONARY_BYTES >> 1]
 
 
@@ -148,11 +148,10 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, date: s
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(head.value), write_checksum=True)
-        begun = False
+        packer = None
         for batch in batches:
-            if len(batch) and not begun:
-                begun = True
+            if len(batch) and packer is None:
+                packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(head.value), write_checksum=True)
                 yield pd.DataFrame({"frame": [skippable(head.value)]})
             for i in range(0, len(batch), 64):
                 part = batch.iloc[i : i + 64]
