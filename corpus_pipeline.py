@@ -29,7 +29,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the sources meet their target weights, in random order."""
-    return mixing.poisson_mix(docs, alpha=0.5, seed="mix-1").select(*docs.columns)
+    return mixing.poisson_mix(docs, alpha=0.5, seed="mix-1", copy_col="__copy", order_col="__order").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
