@@ -59,7 +59,8 @@ def load_panel(prices: DataFrame, *, log_returns: bool = True, assets: Sequence[
     """Returns (or prices) of all assets at complete timestamps. assets: their order; by name if it isn't given.
 
     A return is ln(price / price at the complete timestamp before). Assets whose returns never change are left
-    out with a warning, as no correlation with them exists.
+    out with a warning, as no correlation with them exists. The long rows are persisted, in memory or else on
+    disk, as every operator passes over them more than once.
     """
     rows, _ = complete_prices(prices)
     if log_returns:
@@ -67,6 +68,7 @@ def load_panel(prices: DataFrame, *, log_returns: bool = True, assets: Sequence[
         rows = rows.join(before, ["rn", "asset"]).select((F.col("rn") - 1).alias("rn"), "ts", "asset", F.ln(F.col("price") / F.col("p0")).alias("r"))
     else:
         rows = rows.select("rn", "ts", "asset", F.col("price").alias("r"))
+    rows = rows.persist()
     found = {r["asset"]: r["flat"] for r in rows.groupBy("asset").agg((F.min("r") == F.max("r")).alias("flat")).collect()}  # a row per asset
     names = [a for a in assets if a in found] if assets is not None else sorted(found)
     if flat := [a for a in names if found[a]]:
