@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import keyed_text, runs
 
 #: Cached pieces and blank-separated chunks of a worker; when full, a cache is emptied.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 _CONTROLS = re.compile("[\x1c-\x1f]")
 _FILLED = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
@@ -137,7 +137,7 @@ class WordBpe:
             else:
                 break
         if whole:
-            if len(self.fits) > 4 * CACHE_ENTRIES:
+            if len(self.fits) > CACHE_ENTRIES:
                 self.fits.clear()
             self.fits[key] = out
         return out

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a worker handles at a time; a longer text is handled alone.
 BATCH_CHARS = 1 << 20
+#: Rows of text that a worker gets at a time.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +44,20 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Python workers get at most BATCH_ROWS texts at a time, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone; a null text counts as empty."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 

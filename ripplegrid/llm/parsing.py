@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, tasks
+from .common import bounded_batches, runs, tasks
 from .wordscan import mixed
 
 #: Levels whose names make the fingerprint (a phrase of level n spans about 3.5 ** n characters), and its size.
@@ -138,11 +138,12 @@ def in_order_with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     from pyspark.ml.feature import Bucketizer
 
+    bounded_batches(docs.sparkSession)
     n = tasks(docs.sparkSession)
     order = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     rows = docs.select(order.alias("k"), F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).withColumn("kd", F.col("k").cast("double"))
     found = docs.select(order.cast("double").alias("kd")).approxQuantile("kd", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    splits = [-float("inf"), *sorted(set(found)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(found)) or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="kd", outputCol="b").transform(rows).withColumn("b", F.col("b").cast("int"))
     least = dealt.groupBy("b").agg(F.min("k").alias("k")).orderBy("b").collect()  # a row a range
     if not least:

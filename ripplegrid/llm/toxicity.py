@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs
+from .common import bounded_batches, runs
 from .wordscan import LETTERS, Words
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
@@ -199,6 +199,7 @@ class ToxicityClassifier:
 
     def column(self, text: Column, spark) -> Column:
         """Scores of a text column, 0 to 1."""
+        bounded_batches(spark)
         shared = spark.sparkContext.broadcast((self.net, self.net.answers()))
 
         @F.pandas_udf("double")

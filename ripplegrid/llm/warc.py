@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import bounded_batches, shared_folder
 
 DICTIONARY, FRAME, EMPTY = 0x184D2A5D, 0xFD2FB528, "P*M\x18\0\0\0\0"
 #: The dictionary is trained on so many pages' first characters; it bears on the archives' size alone.
@@ -138,6 +138,7 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, date: s
     too, and so are all of a group without any key. An archive holds one partition; no rows give no archive.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     text = F.coalesce(F.col(html).cast("string"), F.lit(""))
     sample = [r[0].encode() for r in pages.select(F.substring(text, 1, SAMPLE_CHARS)).limit(SAMPLE_PAGES).collect()]
     head = spark.sparkContext.broadcast(train_dictionary(sample))
