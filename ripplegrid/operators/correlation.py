@@ -145,10 +145,11 @@ def rmt_clip(corr: DataFrame, assets: Sequence[str], observations: int) -> DataF
 
 
 def cleaned_adjacency(corr: DataFrame, assets: Sequence[str], observations: int) -> np.ndarray:
-    """The clipped matrix with a zero diagonal, over its largest eigenvalue."""
+    """The clipped matrix with a zero diagonal, over its largest eigenvalue; all 0 where nothing but noise was found."""
     a = clipped(as_matrix(corr, assets, "rho"), observations)
     np.fill_diagonal(a, 0)
-    return a / np.linalg.eigvalsh((a + a.T) / 2).max()
+    top = np.linalg.eigvalsh((a + a.T) / 2).max()
+    return a / top if top > 0 else a
 
 
 def histogram(values: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -103,8 +103,9 @@ def damped_fit(sums: Callable[[np.ndarray], tuple], p: int, most: int = 30, tole
     for _ in range(most):
         scale = np.diag(jj) + 1e-12 * max(np.diag(jj).max(), 1e-300)
         new = theta + np.linalg.lstsq(jj + damping * np.diag(scale), jr, rcond=None)[0]
-        tried = sums(new)
-        if tried[2] <= sse:
+        with np.errstate(all="ignore"):
+            tried = sums(new)
+        if all(np.isfinite(x).all() for x in tried[:3]) and tried[2] <= sse:
             gain = (sse - tried[2]) / max(sse, 1e-300)
             theta, damping = new, damping / 10
             jj, jr, sse = tried[:3]
