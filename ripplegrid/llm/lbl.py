@@ -216,7 +216,10 @@ def trained_network(train: DataFrame, vocab: Vocabulary, key: str, text: str) ->
     noise = (vocab.class_counts + 1) ** 0.75
     noise /= noise.sum()
     net, rng = LogBilinear.fresh(vocab.class_counts), np.random.default_rng(SEED)
-    some = train.select(key, text).filter(F.length(text) <= START_CHARS).orderBy(F.xxhash64(F.lit("start"), F.col(key)), text).limit(START_ROWS).toPandas()
+    # Ids are chosen first, as every task sends its own candidates to the driver.
+    short = train.filter(F.length(text) <= START_CHARS)
+    chosen = short.select(key).dropna().distinct().orderBy(F.xxhash64(F.lit("start"), F.col(key)), key).limit(START_ROWS)
+    some = short.join(F.broadcast(chosen), key, "left_semi").select(key, text).toPandas().sort_values([key, text], ignore_index=True)
     seen = np.zeros(LogBilinear.SIZE, np.float32)
     for _ in range(START_EPOCHS if len(some) else 0):
         _, classes, first = tokens_of(some[text].tolist(), vocab.own)
