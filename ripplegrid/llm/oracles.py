@@ -46,14 +46,14 @@ FROM coded
 """
 
 
-#: Exact links over shared shingles, then the least id reachable by widening steps.
+#: Links over shared shingles (by their 64-bit hashes), then the least id reachable by widening steps.
 OP8 = """
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents
 ), sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::UBIGINT[] WHEN len(w) < 4 THEN [hash(array_to_string(w, ' '))]
+    ELSE list_distinct(list_transform(list_zip(w, w[2:], w[3:], w[4:])[:len(w) - 3], lambda z: hash(z))) END AS s
   FROM words
 ), classes AS (
   SELECT min(doc_id) AS rep, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s
