@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import keyed_text, runs
+from .common import HELD, keyed_text, released, runs
 
 #: Cached pieces and blank-separated chunks of a worker; when full, a cache is emptied.
 CACHE_ENTRIES = 150_000
@@ -217,6 +217,7 @@ class _Chunks(dict):
 
 
 _BUILT: dict[tuple[str, bool], WordBpe] = {}
+HELD["codecs"] = _BUILT.clear
 
 
 def built(description: str, specials: bool = True) -> WordBpe:
@@ -246,7 +247,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, specials: bool
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = built(shared.value, specials)
-        for batch in batches:
+        for batch in released(batches, "codecs"):
             for a, b in runs(batch[text]):
                 yield pd.DataFrame({key: batch[key].iloc[a:b], "ids": [codec.encode(x) for x in batch[text].iloc[a:b]]})
 
@@ -264,7 +265,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, *, key: str = "doc_id"
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = built(shared.value)
-        for batch in batches:
+        for batch in released(batches, "codecs"):
             for a, b in runs(batch[text], 1 << 18):
                 coded = [codec.encode(x) for x in batch[text].iloc[a:b]]
                 counts = np.array([len(x) // 2 for x in coded], np.int64)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a worker handles at a time; a longer text is handled alone.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 #: Rows of text that a worker gets at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: How to drop the tables that modules keep in a worker, by name.
+HELD: dict[str, Callable[[], None]] = {}
 _OWN: dict[str, str] = {}
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -51,6 +56,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def released(batches: Iterable, using: str = "words") -> Iterator:
+    """The batches, for work that uses one of the tables in HELD. Workers live on between tasks: so they drop the other tables first, and after each batch give unused memory back to the system."""
+    for name, drop in HELD.items():
+        if name != using:
+            drop()
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _LIBC is not None:
+            _LIBC.malloc_trim(0)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, runs, shared_folder, written
+from .common import keyed_text, released, runs, shared_folder, written
 from .wordscan import Words, mixed
 
 #: Classes: OWN frequent words, the end, and the rest by their last bytes.
@@ -161,7 +161,7 @@ def count_words(train: DataFrame, text: str) -> DataFrame:
             c = np.bincount(back, counts).astype(np.int64)
             return h, classes[at], c
 
-        for batch in batches:
+        for batch in released(batches):
             for a, b in runs(batch[text]):
                 names, classes, _ = tokens_of(batch[text].iloc[a:b].tolist(), np.zeros(0, np.uint64))
                 h, at, c = np.unique(names, return_index=True, return_counts=True)
@@ -231,7 +231,7 @@ def trained_network(train: DataFrame, vocab: Vocabulary, key: str, text: str) ->
         flat, seen, noise, own = shared.value
         part = TaskContext.get().partitionId()
         net, seen, rng, n = LogBilinear(flat.copy()), seen.copy(), np.random.default_rng(part), 0
-        for batch in batches:
+        for batch in released(batches):
             for a, b in runs(batch[text]):
                 _, classes, first = tokens_of(batch[text].iloc[a:b].tolist(), own)
                 line, at, _ = with_ends(classes, first)
@@ -270,7 +270,7 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         vocab, flat = shared.value
         net, uid = LogBilinear(flat), TaskContext.get().partitionId() << 40
         end_log = np.log10(vocab.class_counts[END] + 0.5)
-        for batch in batches:
+        for batch in released(batches):
             for a, b in runs(batch[text]):
                 names, classes, first = tokens_of(batch[text].iloc[a:b].tolist(), vocab.own)
                 line, at, ends = with_ends(classes, first)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, runs, written
+from .common import keyed_text, released, runs, written
 from .wordscan import Words, mixed
 
 SHINGLE, HASHES, ROWS = 4, 120, 5
@@ -88,7 +88,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, h, n, sig, bands) of each row with an id: h names the set (null if empty), sig has a byte of each signature value."""
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             for a, b in runs(batch[text], CHARS):
                 values, first = shingle_sets(batch[text].iloc[a:b].tolist())
                 full, sig = signatures(values, first)
@@ -112,7 +112,7 @@ def member_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> Dat
         ids = F.broadcast(ids)
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             for a, b in runs(batch[text], CHARS):
                 values, first = shingle_sets(batch[text].iloc[a:b].tolist())
                 sets = [values[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -126,7 +126,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose full sets have 100 * intersection >= PERCENT * union."""
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             good = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -143,7 +143,7 @@ def likely(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, sig_a, sig_b), those whose signatures agree in LEAST_ESTIMATE of their values."""
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             for i in range(0, len(batch), 4096):
                 part = batch.iloc[i : i + 4096]
                 x, y = (np.frombuffer(b"".join(part[c]), np.uint8).reshape(len(part), -1) for c in ("sig_a", "sig_b"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, runs, tasks
+from .common import bounded_batches, released, runs, tasks
 from .wordscan import mixed
 
 #: Levels whose names make the fingerprint (a phrase of level n spans about 3.5 ** n characters), and its size.
@@ -167,7 +167,7 @@ def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row before: key, text, sketch, fingerprint, range
-        for batch in batches:
+        for batch in released(batches):
             for a, b in runs(batch[text], CHARS):
                 part = batch.iloc[a:b]
                 texts = part[text].tolist()

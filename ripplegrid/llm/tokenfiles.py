@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import built, vocabulary
-from .common import keyed_text, runs, shared_folder
+from .common import keyed_text, released, runs, shared_folder
 
 #: Tokens of a block (2 MB).
 BLOCK_TOKENS = 1 << 20
@@ -49,7 +49,7 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str | None = None,
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = built(shared.value, False)
-        for batch in batches:
+        for batch in released(batches, "codecs"):
             for a, b in runs(batch[text]):
                 heads = id_tokens(batch[key].iloc[a:b].to_numpy(np.int64))
                 yield pd.DataFrame({"tokens": [h.tobytes() + codec.encode(x) for h, x in zip(heads, batch[text].iloc[a:b], strict=True)]})
@@ -69,7 +69,7 @@ def scan_token_files(spark, path: str, *, separator: int = 49407, lead: int = 0,
     """
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 if len(content) % 2:
                     raise ValueError(f"{name}: not a file of 16-bit tokens")

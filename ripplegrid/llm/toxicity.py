@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, runs
+from .common import bounded_batches, released, runs
 from .wordscan import LETTERS, Words
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
@@ -205,7 +205,7 @@ class ToxicityClassifier:
         @F.pandas_udf("double")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             net, answers = shared.value
-            for batch in batches:
+            for batch in released(batches):
                 parts = [net.scores(batch.iloc[a:b].tolist(), answers) for a, b in runs(batch)]
                 yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 

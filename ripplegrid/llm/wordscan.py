@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .common import HELD
+
 BLANKS = (0x20, *range(0x09, 0x0E))
 #: Bytes of words parted by blanks, and of words made of letters alone.
 FILLED = np.array([b not in BLANKS for b in range(256)])
@@ -16,6 +18,9 @@ _BACK = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+HELD["words"] = lambda: _POWERS.__setitem__(slice(None), [np.ones(1, np.uint64)] * 2)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit numbers (in place)."""
     x ^= x >> np.uint64(33)
@@ -28,14 +33,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for i, base in enumerate((_BASE, _BACK)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             _POWERS[i] = np.multiply.accumulate(p)
     out = [p[:n] for p in _POWERS]
     if n > 1 << 24:  # don't keep what a huge text has needed
-        _POWERS[:] = [p[: 1 << 21].copy() for p in _POWERS]
+        _POWERS[:] = [p[: 1 << 20].copy() for p in _POWERS]
     return out
 
 
