@@ -16,15 +16,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, released, runs
+from .common import bounded_batches, released, runs, written
 from .wordscan import LETTERS, Words
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
 STEM_BYTES = 4
 #: The classifier is fitted on at most so many labelled rows of each label, each of at most so many characters, chosen by a hash of their ids.
 SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 10_000
-#: A share of the sample is left out of the fit; it calibrates the score and the languages' thresholds.
+#: A share of the labelled rows is never fitted. These and all that the sample had no room for calibrate the score and the languages' thresholds.
 HELD = 0.25
+#: Calibration counts logits in steps of 1 / STEPS up to LIMIT either way; a language with fewer than FEW such rows has the threshold of all.
+STEPS, LIMIT, FEW = 64, 64, 40
 EPOCHS, RATE, SEED = 6, 0.05, 11
 #: Buckets found in fewer sampled texts than this have no embedding: what is that rare there can't be learned from.
 LEAST_TEXTS = 3
@@ -153,16 +155,71 @@ class Cnn:
         return 1 / (1 + np.exp(-np.clip(self.logits(*features(texts), answers), -500, 500)))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, rows: int, key: str, text: str, lang: str) -> pd.DataFrame:
-    """(text, lang, toxic) of a bounded sample of labelled rows of the training fold, as many of each label."""
+def training_labels(labels: DataFrame, key: str) -> DataFrame:
+    """(key, toxic, __h, __held) of the labelled ids of the training fold; held ones are not fitted."""
     own = labels.filter("toxic IN (0, 1)").select(key, "toxic").dropna().groupBy(key).agg(F.max("toxic").alias("toxic"))
     own = own.filter(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1).withColumn("__h", F.xxhash64(F.lit(SEED), F.col(key)))
-    # The ids are chosen before the texts are read, so that no text is shuffled.
-    chosen = own.filter("toxic = 0").orderBy("__h", key).limit(rows).unionByName(own.filter("toxic = 1").orderBy("__h", key).limit(rows))
-    train = docs.filter(F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(key, text, lang)
-    some = train.join(F.broadcast(chosen), key).select(key, text, lang, "toxic").toPandas()
+    return own.withColumn("__held", F.pmod(F.xxhash64(F.lit("held"), F.col(key)), F.lit(100)) < int(100 * HELD))
+
+
+def fitted_ids(own: DataFrame, rows: int, key: str) -> DataFrame:
+    """(key, toxic) of at most so many ids of each label; chosen before the texts are read, so that no text is shuffled."""
+    free = own.filter("NOT __held")
+    return free.filter("toxic = 0").orderBy("__h", key).limit(rows).unionByName(free.filter("toxic = 1").orderBy("__h", key).limit(rows)).select(key, "toxic")
+
+
+def fits(text: str) -> Column:
+    return F.coalesce(F.length(text) <= SAMPLE_CHARS, F.lit(False))
+
+
+def sampled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> pd.DataFrame:
+    """(text, toxic) of the chosen rows."""
+    some = docs.filter(fits(text)).select(key, text).join(F.broadcast(chosen), key).select(key, text, "toxic").toPandas()
     # The rows' order must not depend on how they were read.
-    return some.sort_values([key, text], kind="stable", ignore_index=True)[[text, lang, "toxic"]]
+    return some.sort_values([key, text], kind="stable", ignore_index=True)[[text, "toxic"]]
+
+
+def logit_column(net: Cnn, text: Column, spark) -> Column:
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast((net, net.answers()))
+
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        net, answers = shared.value
+        for batch in released(batches):
+            parts = [net.logits(*features(batch.iloc[a:b].tolist()), answers) for a, b in runs(batch)]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+
+    return of(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def calibrated(scored: DataFrame, own: DataFrame, chosen: DataFrame, key: str) -> tuple[float | None, dict[str, float]]:
+    """The logit that parts the labels best, over all and by language, in every labelled row that was not fitted.
+
+    scored is (key, lang, logit, fits). Both labels weigh what they do among all labelled rows, fitted ones too, as
+    the fit takes a larger share of the rarer one. The driver gets one histogram and a row per language.
+    """
+    rows = scored.join(own.select(key, "toxic"), key).join(F.broadcast(chosen.select(key, F.lit(True).alias("chosen"))), key, "left")
+    free = ~(F.coalesce("chosen", F.lit(False)) & F.col("fits"))
+    level = F.floor(F.greatest(F.least("logit", F.lit(LIMIT)), F.lit(-LIMIT)) * STEPS).cast("int")
+    least, most = F.min(F.when(free, F.col("logit"))), F.max(F.when(free, F.col("logit")))
+    found = rows.groupBy("lang", "toxic", level.alias("level")).agg(F.count(F.lit(1)).alias("all"), F.count_if(free).alias("n"), least.alias("lo"), most.alias("hi"))
+    found = written(found)
+    mix = {r["toxic"]: r["all"] / r["n"] for r in found.groupBy("toxic").agg(F.sum("all").alias("all"), F.sum("n").alias("n")).collect() if r["n"]}
+    if len(mix) < 2:
+        return None, {}
+    whole = found.filter("n > 0").groupBy("toxic", "level").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
+
+    def of(group: pd.DataFrame) -> pd.DataFrame:
+        use = group["n"].sum() >= FEW and group["toxic"].nunique() == 2
+        return pd.DataFrame([(str(group["lang"].iloc[0]), histogram_cut(group, mix))] if use else [], columns=["lang", "cut"]).astype({"lang": object, "cut": float})
+
+    cuts = found.filter("n > 0 AND lang IS NOT NULL").groupBy("lang").applyInPandas(of, "lang string, cut double").collect()
+    return histogram_cut(whole, mix), {r["lang"]: r["cut"] for r in cuts}
 
 
 @dataclass
@@ -171,45 +228,35 @@ class ToxicityClassifier:
 
     net: Cnn
     thresholds: dict[str | None, float]
+    shift: float = 0.0
 
     @staticmethod
-    def trained(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ToxicityClassifier:
-        """Fitted on a bounded sample; without rows of both labels every score is near 0."""
-        some = sampled(docs, labels, rows, key, text, lang)
+    def trained(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[ToxicityClassifier, DataFrame]:
+        """The classifier and (key, lang, logit, fits) of all docs, before the shift, written to the shared folder.
+
+        Fitted on a bounded sample, calibrated on all labelled rows of the training fold that the fit doesn't see;
+        without rows of both labels every score is near 0.
+        """
+        spark, own = docs.sparkSession, training_labels(labels, key)
+        chosen = fitted_ids(own, rows, key)
+        some = sampled(docs, chosen, key, text)
         net, y = Cnn.fresh(), some["toxic"].to_numpy(np.float64)
-        if len(some) < 8 or y.min() == y.max():
+        learns = len(some) >= 8 and y.min() < y.max()
+        if learns:
+            net.fit(some[text].tolist(), y)
+        else:
             net.out[:], net.out_bias = 0, -6.0
-            return ToxicityClassifier(net, {None: PREDICTED_FROM})
-        held = np.random.default_rng(SEED).random(len(some)) < HELD
-        texts = some[text].tolist()
-        net.fit([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
-        answers = net.answers()
-        logit = np.concatenate([net.logits(*features(texts[a:b]), answers) for a, b in runs(texts)])
-        # Centre the score: the logit that parts the held rows best becomes the score PREDICTED_FROM.
-        if held.any() and y[held].min() < y[held].max():
-            shift = float(np.log(PREDICTED_FROM / (1 - PREDICTED_FROM))) - best_cut(logit[held], y[held])
-            net.out_bias, logit = net.out_bias + shift, logit + shift
-        score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-        thresholds: dict[str | None, float] = {None: PREDICTED_FROM}
-        for name, at in some.groupby(lang).groups.items():
-            use = np.array(sorted(at))
-            if len(use) >= 40 and 0 < y[use].mean() < 1:
-                thresholds[name] = float(best_cut(score[use], y[use]))
-        return ToxicityClassifier(net, thresholds)
+        scored = written(docs.select(F.col(key), F.col(lang).cast("string").alias("lang"), logit_column(net, F.col(text), spark).alias("logit"), fits(text).alias("fits")))
+        middle, cuts = calibrated(scored, own, chosen, key) if learns else (None, {})
+        # Centre the score: the logit that parts the labels best becomes the score PREDICTED_FROM.
+        shift = 0.0 if middle is None else float(np.log(PREDICTED_FROM / (1 - PREDICTED_FROM))) - middle
+        net.out_bias += shift
+        of = {name: float(1 / (1 + np.exp(-np.clip(cut + shift, -500, 500)))) for name, cut in cuts.items()}
+        return ToxicityClassifier(net, {None: PREDICTED_FROM, **of}, shift), scored
 
     def column(self, text: Column, spark) -> Column:
         """Scores of a text column, 0 to 1."""
-        bounded_batches(spark)
-        shared = spark.sparkContext.broadcast((self.net, self.net.answers()))
-
-        @F.pandas_udf("double")
-        def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            net, answers = shared.value
-            for batch in released(batches):
-                parts = [net.scores(batch.iloc[a:b].tolist(), answers) for a, b in runs(batch)]
-                yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
-
-        return of(F.coalesce(text.cast("string"), F.lit("")))
+        return sigmoid(logit_column(self.net, text, spark))
 
     def threshold(self, lang: Column) -> Column:
         own = {k: v for k, v in self.thresholds.items() if k is not None}
@@ -219,14 +266,15 @@ class ToxicityClassifier:
         return F.coalesce(F.try_element_at(given, F.coalesce(lang, F.lit(""))), F.lit(self.thresholds[None]))
 
 
-def best_cut(x: np.ndarray, y: np.ndarray) -> float:
-    """The level that parts labels 0 and 1 with the fewest errors, halfway between the neighbouring values; the middle one of equals."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
-    least = np.flatnonzero(errors == errors.min())
+def histogram_cut(found: pd.DataFrame, weight: dict[int, float]) -> float:
+    """The level that parts labels 0 and 1 with the least weight of errors, halfway between the neighbouring steps' values; the middle one of equals. found is (toxic, level, n, lo, hi)."""
+    steps = found.assign(clean=found["n"] * (found["toxic"] == 0) * weight[0], toxic=found["n"] * (found["toxic"] == 1) * weight[1])
+    steps = steps.groupby("level", sort=True).agg({"clean": "sum", "toxic": "sum", "lo": "min", "hi": "max"})
+    lo, hi = steps["lo"].to_numpy(float), steps["hi"].to_numpy(float)
+    errors = np.concatenate([[0], np.cumsum(steps["toxic"])]) + np.concatenate([np.cumsum(steps["clean"][::-1])[::-1], [0]])
+    least = np.flatnonzero(errors <= errors.min() * (1 + 1e-9) + 1e-9)
     i = int(least[len(least) // 2])
-    return float(x[0] - 1e-6 if i == 0 else x[-1] + 1e-6 if i == len(x) else (x[i - 1] + x[i]) / 2)
+    return float(lo[0] - 1e-6 if i == 0 else hi[-1] + 1e-6 if i == len(lo) else (hi[i - 1] + lo[i]) / 2)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -235,16 +283,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     Labels are learned only where crc32(key as text) modulo 3 is not 1; held_out marks the rest. The score is a
     function of the text alone; flagged compares it to the threshold calibrated for the row's language.
     """
-    model = ToxicityClassifier.trained(docs, labels, key=key, text=text, lang=lang)
-    rows = docs.select(key, lang, model.column(F.col(text), docs.sparkSession).alias("score"))
+    model, scored = ToxicityClassifier.trained(docs, labels, key=key, text=text, lang=lang)
+    rows = scored.select(key, "lang", sigmoid(F.col("logit") + model.shift).alias("score"))
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    limit = model.threshold(F.col(lang))
+    limit = model.threshold(F.col("lang"))
     return rows.select(key, held.alias("held_out"), "score", (F.col("score") >= PREDICTED_FROM).cast("int").alias("predicted"), limit.alias("threshold"), (F.col("score") >= limit).alias("flagged"))
 
 
 def drop_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is below their language's threshold and below PREDICTED_FROM, with docs' columns."""
-    model = ToxicityClassifier.trained(labelled, labels)
+    model, _ = ToxicityClassifier.trained(labelled, labels)
     scored = docs.withColumn("__toxic", model.column(F.col("text"), docs.sparkSession))
     kept = scored.filter((F.col("__toxic") < model.threshold(F.col("lang"))) & (F.col("__toxic") < PREDICTED_FROM))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

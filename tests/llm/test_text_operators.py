@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +220,33 @@ def test_toxicity(docs, none, sample, labels):
     assert toxicity.drop_toxic(docs, sample, labels).columns == docs.columns
 
 
+def test_toxicity_thresholds_cover_rows_beyond_the_sample(spark):
+    """A word of all toxic and a third of the clean texts is worth flagging at a sample's even mix, not at one in nine."""
+    rng = np.random.default_rng(4)
+    rows, given = [], []
+    for i in range(900):
+        toxic = i % 9 == 0
+        line = [f"w{k}" for k in rng.integers(0, 40, 30)] + (["scum"] if toxic or i % 3 == 1 else [])
+        rows.append((i, " ".join(line), "en"))
+        given.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(given, "doc_id long, toxic int")
+    model, _ = toxicity.ToxicityClassifier.trained(docs, labels, rows=40)
+    scored = docs.withColumn("at", model.column(F.col("text"), spark) >= model.threshold(F.col("lang")))
+    flagged = scored.join(labels, "doc_id")
+    assert flagged.filter("toxic = 0 AND at").count() < 0.05 * 800
+
+
+def test_histogram_cuts_have_the_fewest_errors():
+    rng = np.random.default_rng(5)
+    y = (rng.random(3000) < 0.2).astype(int)
+    x = rng.normal(y * 2.0, 1)
+    rows = pd.DataFrame({"toxic": y, "level": np.floor(x * toxicity.STEPS).astype(int), "x": x})
+    found = rows.groupby(["toxic", "level"]).agg(n=("x", "size"), lo=("x", "min"), hi=("x", "max")).reset_index()
+    for weight in ({0: 1.0, 1: 1.0}, {0: 1.0, 1: 4.0}):
+        errors = lambda t, weight=weight: weight[0] * ((x >= t) & (y == 0)).sum() + weight[1] * ((x < t) & (y == 1)).sum()
+        assert errors(toxicity.histogram_cut(found, weight)) <= min(map(errors, x)) + 10
+
+
 def test_language_model_scores(docs, none, sample, monkeypatch):
     monkeypatch.setattr(lbl, "HEAD", 200)  # most words go by the join
     for table in (docs, sample):
