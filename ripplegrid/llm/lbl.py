@@ -1,12 +1,14 @@
 """Language-model scores of a class-factored log-bilinear model, trained with noise-contrastive estimation.
 
-P(word | before) = P(class | classes of the CONTEXT words before) * P(word | class). The most frequent words
-and the end of a document are classes of their own; other words fall into classes by their last two bytes,
-which says much about language and word form. The first factor is a log-bilinear network: the classes before
-are embedded, weighted by position and summed to a prediction, whose products with the classes' vectors, by
-matrices, are normalised over all classes. The second factor is a smoothed relative frequency, and so is the
-base score. The counts are of all training text; they are joined by shuffle, but for the most frequent words,
-a bounded head that every task gets.
+P(word | before) = P(class | units before) * P(unit | class, units before) * P(word | unit). The most frequent
+words and the end of a document are classes of their own; other words fall into classes by their last two bytes,
+which says much about language and word form. The number of classes grows with the root of the training
+vocabulary. A unit is a class of one word, a word of the head with at least LEAST_COUNT training occurrences,
+or what is left of a class. The CONTEXT units before are embedded, weighted by position and summed to a
+prediction; its products with the classes' vectors are normalised over all classes, those with the units'
+vectors over the class's units, and both tables are trained by NCE. The last factor, for words without a unit of
+their own, is a smoothed relative frequency, and so is the base score. The counts are of all training text; they
+are joined by shuffle, but for the most frequent words, a bounded head that every task gets.
 """
 
 from __future__ import annotations
@@ -23,23 +25,56 @@ from pyspark.sql import functions as F
 from .common import keyed_text, released, runs, shared_folder, written
 from .wordscan import Words, mixed
 
-#: Classes: OWN frequent words, the end, and the rest by their last bytes.
+#: Classes at least: OWN frequent words, the end, and the rest by their last bytes. Of V words, half the root of V is the number of each where that is more.
 OWN, ENDINGS = 63, 64
 CLASSES, END = OWN + 1 + ENDINGS, OWN
 CONTEXT, DIM, NOISE, BATCH, RATE, SEED = 4, 16, 48, 4096, 0.08, 7
 #: The network starts from so many training documents of at most so many characters, on the driver; then every training document is learned from once, in its task.
 START_ROWS, START_CHARS, START_EPOCHS = 300, 8_000, 2
+#: Words found less often in the training text have no vectors of their own; and words drawn from a word's class to tell it from.
+LEAST_COUNT, INNER_NOISE = 20, 4
+#: Weights that a task hands on in a row.
+SLICE = 1 << 15
 #: Most words whose counts are sent to every task (12 bytes each).
 HEAD = 100_000
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 
 
+class Units:
+    """class_of: the class of each unit; units below `classes` are what is left of that class, the others are words. base: natural log of each unit's smoothed count."""
+
+    def __init__(self, class_of: np.ndarray, base: np.ndarray, classes: int):
+        self.class_of, self.base, self.classes = class_of, base, classes
+        self.members = np.argsort(class_of, kind="stable")
+        self.sizes = np.bincount(class_of, minlength=classes)
+        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.rank = np.empty(len(class_of), np.int64)
+        self.rank[self.members] = np.arange(len(class_of)) - self.start[class_of[self.members]]
+        self.cum = np.concatenate([[0.0], np.cumsum(np.exp(base[self.members].astype(np.float64)))])
+        # log of each unit's share in its class
+        self.share = (base - np.log(np.diff(self.cum[self.start]))[class_of]).astype(np.float32)
+
+    @staticmethod
+    def plain(classes: int) -> Units:
+        return Units(np.arange(classes), np.zeros(classes, np.float32), classes)
+
+    def drawn(self, classes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """(classes, INNER_NOISE) units drawn by count from each class."""
+        low, high = self.cum[self.start[classes]], self.cum[self.start[classes + 1]]
+        at = np.searchsorted(self.cum, low[:, None] + rng.random((len(classes), INNER_NOISE)) * (high - low)[:, None], "right") - 1
+        return self.members[np.clip(at, self.start[classes][:, None], self.start[classes + 1][:, None] - 1)]
+
+
 @dataclass
 class Vocabulary:
-    """own: hashes of words that are classes of their own, the index being the class; head: sorted hashes and counts of frequent words; inside: log10 of the smoothed size of each class."""
+    """words: sorted hashes of words with a unit of their own, and unit: theirs; own, endings: numbers of classes; head: sorted hashes and counts of frequent words; inside: log10 of the smoothed size of what is left of each class."""
 
-    own: np.ndarray
+    words: np.ndarray
+    unit: np.ndarray
+    own: int
+    endings: int
+    units: Units
     head: np.ndarray
     head_counts: np.ndarray
     inside: np.ndarray
@@ -48,29 +83,33 @@ class Vocabulary:
     types: int
 
 
-def tokens_of(texts: list[str], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, classes, words before each text) of all words; ends are not among them."""
-    words = Words(texts)
-    names = words.hashes()
+def endings_of(words: Words) -> np.ndarray:
+    """A 15-bit hash of each word's last two bytes."""
     last = words.bytes[words.ends - 1].astype(np.uint64)
     before = np.where(words.ends - words.starts > 1, words.bytes[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
-    classes = (OWN + 1 + (mixed(last << np.uint64(8) | before) % np.uint64(ENDINGS)).astype(np.int64)).astype(np.int16)
-    if len(own):
-        order = np.argsort(own)
-        place = np.minimum(np.searchsorted(own[order], names), len(own) - 1)
-        hit = own[order][place] == names
-        classes[hit] = order[place[hit]]
-    return names, classes, words.first
+    return (mixed(last << np.uint64(8) | before) & np.uint64(0x7FFF)).astype(np.int32)
 
 
-def with_ends(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, targets, ends): the texts' classes with CONTEXT ends before and one after each; where the targets stand; and how many targets there are up to each text."""
+def tokens_of(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, units, words before each text) of all words; ends are not among them."""
+    words = Words(texts)
+    names = words.hashes()
+    units = vocab.own + 1 + endings_of(words) % vocab.endings
+    if len(vocab.words):
+        place = np.minimum(np.searchsorted(vocab.words, names), len(vocab.words) - 1)
+        hit = vocab.words[place] == names
+        units[hit] = vocab.unit[place[hit]]
+    return names, units, words.first
+
+
+def with_ends(units: np.ndarray, first: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, targets, ends): the texts' units with CONTEXT ends before and one after each; where the targets stand; and how many targets there are up to each text."""
     counts = np.diff(first)
     size = counts + CONTEXT + 1
-    line = np.full(int(size.sum()), END, np.int16)
+    line = np.full(int(size.sum()), end, np.int32)
     begin = np.cumsum(size) - size
-    at = np.arange(len(classes)) + np.repeat(begin + CONTEXT - first[:-1], counts)
-    line[at] = classes
+    at = np.arange(len(units)) + np.repeat(begin + CONTEXT - first[:-1], counts)
+    line[at] = units
     real = np.ones(len(line), bool)
     for k in range(CONTEXT):
         real[begin + k] = False
@@ -78,19 +117,25 @@ def with_ends(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class LogBilinear:
-    """Embeddings of classes before, weights of positions, vectors and biases of classes predicted; one flat array holds them all."""
+    """Embeddings of units before, weights of positions, vectors and biases of classes predicted and of units within their class; one flat array holds them all."""
 
-    SIZE = 2 * CLASSES * DIM + CONTEXT * DIM + CLASSES
+    def __init__(self, flat: np.ndarray, units: Units):
+        self.flat, self.units = flat, units
+        u, c = len(units.class_of), units.classes
+        parts = np.split(flat, np.cumsum([u * DIM, u * DIM, u, c * DIM, CONTEXT * DIM]))
+        self.embed, self.inner, self.inner_bias = parts[0].reshape(u, DIM), parts[1].reshape(u, DIM), parts[2]
+        self.out, self.position, self.bias = parts[3].reshape(c, DIM), parts[4].reshape(CONTEXT, DIM), parts[5]
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat
-        a, b, c = CLASSES * DIM, 2 * CLASSES * DIM, 2 * CLASSES * DIM + CONTEXT * DIM
-        self.embed, self.out = flat[:a].reshape(CLASSES, DIM), flat[a:b].reshape(CLASSES, DIM)
-        self.position, self.bias = flat[b:c].reshape(CONTEXT, DIM), flat[c:]
+    @staticmethod
+    def size(units: Units) -> int:
+        return len(units.class_of) * (2 * DIM + 1) + units.classes * (DIM + 1) + CONTEXT * DIM
 
     @staticmethod
-    def fresh(class_counts: np.ndarray) -> LogBilinear:
-        net = LogBilinear(np.random.default_rng(SEED).normal(0, 0.1, LogBilinear.SIZE).astype(np.float32))
+    def fresh(class_counts: np.ndarray, units: Units | None = None) -> LogBilinear:
+        units = units or Units.plain(len(class_counts))
+        net = LogBilinear(np.random.default_rng(SEED).normal(0, 0.1, LogBilinear.size(units)).astype(np.float32), units)
+        net.embed[units.classes :] = net.embed[units.class_of[units.classes :]]  # a word starts as its class
+        net.inner[:], net.inner_bias[:] = 0, units.share
         net.position[:] = 1 / CONTEXT
         net.bias[:] = np.log((class_counts + 1) / (class_counts + 1).sum())
         return net
@@ -102,46 +147,95 @@ class LogBilinear:
         return out
 
     def log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of the normalised probability of the class at each place."""
+        """log10 of the normalised probability of the class of the unit at each place."""
         out = np.empty(len(at), np.float64)
         table = np.ascontiguousarray(self.out.T)
         for i in range(0, len(at), BATCH):
             part = at[i : i + BATCH]
             scores = self.predictions(line, part) @ table
             scores += self.bias
-            chosen = scores[np.arange(len(part)), line[part]].astype(np.float64)
+            chosen = scores[np.arange(len(part)), self.units.class_of[line[part]]].astype(np.float64)
             top = scores.max(1, keepdims=True)
             scores -= top
             np.exp(scores, out=scores)
             out[i : i + BATCH] = (chosen - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))) / np.log(10)
         return out
 
+    def inner_log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 of the normalised probability, within its class, of the unit at each place."""
+        units, out = self.units, np.zeros(len(at), np.float64)
+        classes = units.class_of[line[at]]
+        use = np.flatnonzero(units.sizes[classes] > 1)
+        use = use[np.argsort(classes[use], kind="stable")]
+        cuts = np.searchsorted(classes[use], np.arange(units.classes + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows = units.members[units.start[c] : units.start[c + 1]]
+            table, bias = np.ascontiguousarray(self.inner[rows].T), self.inner_bias[rows]
+            step = max(1, (1 << 19) // len(rows))
+            for i in range(cuts[c], cuts[c + 1], step):
+                part = use[i : min(i + step, cuts[c + 1])]
+                scores = self.predictions(line, at[part]) @ table
+                scores += bias
+                chosen = scores[np.arange(len(part)), units.rank[line[at[part]]]].astype(np.float64)
+                top = scores.max(1, keepdims=True)
+                scores -= top
+                np.exp(scores, out=scores)
+                out[part] = (chosen - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))) / np.log(10)
+        return out
+
     def learn(self, line: np.ndarray, at: np.ndarray, seen: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-        """One Adagrad step of noise-contrastive estimation for each BATCH places: NOISE classes drawn from `noise` are told apart from the true ones."""
+        """One Adagrad step of noise-contrastive estimation for each BATCH places: NOISE classes drawn from `noise` are told apart from the true ones, and INNER_NOISE units of its class from each true unit."""
         logs = np.log(NOISE * noise).astype(np.float32)
-        state = LogBilinear(seen)
-        dims = np.arange(DIM)
-        summed = lambda ids, values: np.bincount((ids[:, None].astype(np.int64) * DIM + dims).ravel(), values.ravel(), CLASSES * DIM).reshape(CLASSES, DIM)
+        units, state, count = self.units, LogBilinear(seen, self.units), self.units.classes
+        dims, index = np.arange(DIM), np.zeros(len(units.class_of), np.int64)
+        summed = lambda ids, values, n: np.bincount((ids[:, None] * DIM + dims).ravel(), values.ravel(), n * DIM).reshape(n, DIM)
+
+        def places(ids):
+            """The distinct ids, and each id's place among them."""
+            has = np.zeros(len(index), bool)
+            has[ids] = True
+            distinct = np.flatnonzero(has)
+            index[distinct] = np.arange(len(distinct))
+            return distinct, index[ids]
+
+        def step(own, old, rows, grad):
+            g = (grad / len(part)).astype(np.float32)
+            old[rows] += g * g
+            own[rows] -= RATE * g / np.sqrt(old[rows] + 1e-8)
+
+        every = slice(None)
         for i in range(0, len(at), BATCH):
             part = at[i : i + BATCH]
-            true, drawn = line[part].astype(np.int64), rng.choice(CLASSES, NOISE, p=noise)
-            before = [line[part - 1 - k].astype(np.int64) for k in range(CONTEXT)]
+            target = line[part]
+            true, drawn = units.class_of[target], rng.choice(count, NOISE, p=noise)
+            before = [line[part - 1 - k] for k in range(CONTEXT)]
             guess = self.predictions(line, part)
             good = (guess * self.out[true]).sum(1) + self.bias[true] - logs[true]
             bad = guess @ self.out[drawn].T + (self.bias - logs)[drawn]
             to_good = -1 / (1 + np.exp(np.clip(good, -30, 30)))
             to_bad = 1 / (1 + np.exp(-np.clip(bad, -30, 30)))
             to_guess = to_good[:, None] * self.out[true] + to_bad @ self.out[drawn]
-            grad = LogBilinear(np.zeros(LogBilinear.SIZE, np.float32))
-            grad.out[:] = summed(true, to_good[:, None] * guess)
-            np.add.at(grad.out, drawn, to_bad.T @ guess)
-            grad.bias[:] = np.bincount(true, to_good, CLASSES) + np.bincount(drawn, to_bad.sum(0), CLASSES)
-            for k, ids in enumerate(before):
-                grad.embed[:] += summed(ids, to_guess * self.position[k])
-                grad.position[k] = (to_guess * self.embed[ids]).sum(0)
-            g = grad.flat / len(part)
-            state.flat += g * g
-            self.flat -= RATE * g / np.sqrt(state.flat + 1e-8)
+            out = summed(true, to_good[:, None] * guess, count)
+            np.add.at(out, drawn, to_bad.T @ guess)
+            bias = np.bincount(true, to_good, count) + np.bincount(drawn, to_bad.sum(0), count)
+            many = np.flatnonzero(units.sizes[true] > 1)
+            if len(many):
+                ids = np.concatenate([target[many, None], units.drawn(true[many], rng)], 1)  # the true unit first
+                own, vectors = guess[many], self.inner[ids]
+                logit = np.einsum("td,tkd->tk", own, vectors) + self.inner_bias[ids] - units.share[ids] - np.float32(np.log(INNER_NOISE))
+                slope = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+                slope[:, 0] -= 1
+                to_guess[many] += np.einsum("tk,tkd->td", slope, vectors)
+                rows, back = places(ids.ravel())
+                step(self.inner, state.inner, rows, summed(back, slope[:, :, None] * own[:, None, :], len(rows)))
+                step(self.inner_bias, state.inner_bias, rows, np.bincount(back, slope.ravel(), len(rows)))
+            rows, back = places(np.concatenate(before))
+            embed = summed(back, np.concatenate([to_guess * self.position[k] for k in range(CONTEXT)]), len(rows))
+            position = np.stack([(to_guess * self.embed[ids]).sum(0) for ids in before])
+            step(self.embed, state.embed, rows, embed)
+            step(self.position, state.position, every, position)
+            step(self.out, state.out, every, out)
+            step(self.bias, state.bias, every, bias)
 
 
 def is_training(key: str):
@@ -150,22 +244,23 @@ def is_training(key: str):
 
 
 def count_words(train: DataFrame, text: str) -> DataFrame:
-    """(h, class, c): hash of each word, its class by ending, its count; each task sums its own first."""
+    """(h, ending, c): hash of each word, that of its ending, its count; each task sums its own first."""
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, size = [], 0
 
         def handed_on():
-            names, classes, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
+            names, endings, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
             h, at, back = np.unique(names, return_index=True, return_inverse=True)
             c = np.bincount(back, counts).astype(np.int64)
-            return h, classes[at], c
+            return h, endings[at], c
 
         for batch in released(batches):
             for a, b in runs(batch[text]):
-                names, classes, _ = tokens_of(batch[text].iloc[a:b].tolist(), np.zeros(0, np.uint64))
+                words = Words(batch[text].iloc[a:b].tolist())
+                names, endings = words.hashes(), endings_of(words)
                 h, at, c = np.unique(names, return_index=True, return_counts=True)
-                kept.append((h, classes[at], c))
+                kept.append((h, endings[at], c))
                 size += len(h)
                 if size > 2 * FLUSH:
                     kept = [handed_on()]
@@ -176,10 +271,10 @@ def count_words(train: DataFrame, text: str) -> DataFrame:
         if kept:
             yield frame(*handed_on())
 
-    def frame(h, classes, c):
-        return pd.DataFrame({"h": h.view(np.int64), "class": classes, "c": c})
+    def frame(h, endings, c):
+        return pd.DataFrame({"h": h.view(np.int64), "ending": endings, "c": c})
 
-    return train.select(text).mapInPandas(work, "h long, class short, c long").groupBy("h").agg(F.max("class").alias("class"), F.sum("c").alias("c"))
+    return train.select(text).mapInPandas(work, "h long, ending int, c long").groupBy("h").agg(F.max("ending").alias("ending"), F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
@@ -192,22 +287,34 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
         if total > HEAD:
             from_step = s + 1
             break
-    head = counts.withColumn("s", step).filter(F.col("s") >= from_step).select("h", "c", "class").toPandas()
+    head = counts.withColumn("s", step).filter(F.col("s") >= from_step).select("h", "c", "ending").toPandas()
     head = head.sort_values(["c", "h"], ascending=[False, True])
-    own = head["h"].to_numpy(np.int64)[:OWN].view(np.uint64)
-    sums = counts.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toPandas()
-    c, n = np.zeros(CLASSES), np.zeros(CLASSES)
-    c[sums["class"]], n[sums["class"]] = sums["c"], sums["n"]
+    half = int(sum(steps.values()) ** 0.5 / 2)
+    own, endings = max(OWN, half), max(ENDINGS, half)
+    classes, end = own + 1 + endings, own
+    sums = counts.groupBy((F.col("ending") % endings).alias("class")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toPandas()
+    c, n = np.zeros(classes), np.zeros(classes)
+    at = own + 1 + sums["class"].to_numpy(np.int64)
+    c[at], n[at] = sums["c"], sums["n"]
     tokens, types = int(c.sum()) + documents, int(n.sum()) + (documents > 0)
-    for i, (own_c, own_class) in enumerate(zip(head["c"][:OWN], head["class"][:OWN], strict=True)):  # they leave their ending's class
-        c[own_class] -= own_c
-        n[own_class] -= 1
-        c[i] = own_c
-    c[END] = documents
-    inside = np.zeros(CLASSES)
-    inside[OWN + 1 :] = np.log10(c[OWN + 1 :] + 0.5 * (n[OWN + 1 :] + 1))
-    by_hash = head.assign(u=head["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
-    return Vocabulary(own, by_hash["u"].to_numpy(np.uint64), by_hash["c"].to_numpy(np.int64), inside, c, tokens, types)
+    names, many = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    of = own + 1 + head["ending"].to_numpy(np.int64) % endings
+    first = min(own, len(head))
+    # The own words leave their ending's class.
+    np.subtract.at(c, of[:first], many[:first])
+    np.subtract.at(n, of[:first], 1)
+    c[:first], c[end] = many[:first], documents
+    # The words with vectors stay in it, but not in what is left of it.
+    last = max(first, int((many >= LEAST_COUNT).sum()))
+    left, left_n = c.copy(), n.copy()
+    np.subtract.at(left, of[first:last], many[first:last])
+    np.subtract.at(left_n, of[first:last], 1)
+    inside = np.zeros(classes)
+    inside[own + 1 :] = np.log10(left[own + 1 :] + 0.5 * (left_n[own + 1 :] + 1))
+    units = Units(np.concatenate([np.arange(classes), of[first:last]]), np.concatenate([inside * np.log(10), np.log(many[first:last] + 0.5)]).astype(np.float32), classes)
+    words, unit = names[:last], np.concatenate([np.arange(first), classes + np.arange(last - first)])
+    by_word, by_hash = np.argsort(words), np.argsort(names)
+    return Vocabulary(words[by_word], unit[by_word].astype(np.int32), own, endings, units, names[by_hash], many[by_hash], inside, c, tokens, types)
 
 
 def trained_network(train: DataFrame, vocab: Vocabulary, key: str, text: str) -> LogBilinear:
@@ -215,39 +322,40 @@ def trained_network(train: DataFrame, vocab: Vocabulary, key: str, text: str) ->
     spark = train.sparkSession
     noise = (vocab.class_counts + 1) ** 0.75
     noise /= noise.sum()
-    net, rng = LogBilinear.fresh(vocab.class_counts), np.random.default_rng(SEED)
+    net, rng = LogBilinear.fresh(vocab.class_counts, vocab.units), np.random.default_rng(SEED)
     # Ids are chosen first, as every task sends its own candidates to the driver.
     short = train.filter(F.length(text) <= START_CHARS)
     chosen = short.select(key).dropna().distinct().orderBy(F.xxhash64(F.lit("start"), F.col(key)), key).limit(START_ROWS)
     some = short.join(F.broadcast(chosen), key, "left_semi").select(key, text).toPandas().sort_values([key, text], ignore_index=True)
-    seen = np.zeros(LogBilinear.SIZE, np.float32)
+    seen = np.zeros(len(net.flat), np.float32)
     for _ in range(START_EPOCHS if len(some) else 0):
-        _, classes, first = tokens_of(some[text].tolist(), vocab.own)
-        line, at, _ = with_ends(classes, first)
+        _, units, first = tokens_of(some[text].tolist(), vocab)
+        line, at, _ = with_ends(units, first, vocab.own)
         net.learn(line, rng.permutation(at), seen, noise, rng)
-    shared = spark.sparkContext.broadcast((net.flat, seen, noise, vocab.own))
+    shared = spark.sparkContext.broadcast((net.flat, seen, noise, vocab))
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, seen, noise, own = shared.value
+        flat, seen, noise, vocab = shared.value
         part = TaskContext.get().partitionId()
-        net, seen, rng, n = LogBilinear(flat.copy()), seen.copy(), np.random.default_rng(part), 0
+        net, seen, rng, n = LogBilinear(flat.copy(), vocab.units), seen.copy(), np.random.default_rng(part), 0
         for batch in released(batches):
             for a, b in runs(batch[text]):
-                _, classes, first = tokens_of(batch[text].iloc[a:b].tolist(), own)
-                line, at, _ = with_ends(classes, first)
+                _, units, first = tokens_of(batch[text].iloc[a:b].tolist(), vocab)
+                line, at, _ = with_ends(units, first, vocab.own)
                 net.learn(line, rng.permutation(at), seen, noise, rng)
                 n += len(at)
-        if n:
-            yield pd.DataFrame({"g": [part % 16], "n": [n], "weights": [net.flat.astype(np.float64) * n]})
+        for i in range(0, len(net.flat) if n else 0, SLICE):
+            yield pd.DataFrame({"g": [i], "n": [n], "weights": [net.flat[i : i + SLICE].tobytes()]})
 
-    def added(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [group["g"].iloc[0]], "n": [group["n"].sum()], "weights": [np.sum(np.stack(group["weights"].to_numpy()), 0)]})
+    def averaged(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(group["weights"], group["n"], strict=True))
+        return pd.DataFrame({"g": [int(group["g"].iloc[0])], "n": [int(group["n"].sum())], "weights": [(total / group["n"].sum()).astype(np.float32).tobytes()]})
 
-    schema = "g int, n long, weights array<double>"
-    parts = train.select(text).mapInPandas(work, schema).groupBy("g").applyInPandas(added, schema).collect()  # 16 rows at most
+    schema = "g int, n long, weights binary"
+    parts = train.select(text).mapInPandas(work, schema).groupBy("g").applyInPandas(averaged, schema).collect()  # one network
     if not parts:
         return net
-    return LogBilinear((np.sum([r["weights"] for r in parts], 0) / sum(r["n"] for r in parts)).astype(np.float32))
+    return LogBilinear(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(parts, key=lambda r: r["g"])]), vocab.units)
 
 
 def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,19 +376,20 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, flat = shared.value
-        net, uid = LogBilinear(flat), TaskContext.get().partitionId() << 40
-        end_log = np.log10(vocab.class_counts[END] + 0.5)
+        net, uid = LogBilinear(flat, vocab.units), TaskContext.get().partitionId() << 40
+        end_log = np.log10(vocab.class_counts[vocab.own] + 0.5)
         for batch in released(batches):
             for a, b in runs(batch[text]):
-                names, classes, first = tokens_of(batch[text].iloc[a:b].tolist(), vocab.own)
-                line, at, ends = with_ends(classes, first)
+                names, units, first = tokens_of(batch[text].iloc[a:b].tolist(), vocab)
+                line, at, ends = with_ends(units, first, vocab.own)
                 of = np.repeat(np.arange(b - a), np.diff(first))
                 summed = lambda v, of=of, n=b - a: np.bincount(of, v, n)
                 place = np.minimum(np.searchsorted(vocab.head, names), max(len(vocab.head) - 1, 0))
                 hit = vocab.head[place] == names if len(vocab.head) else np.zeros(len(names), bool)
                 logs = np.zeros(len(names))
                 logs[hit] = np.log10(vocab.head_counts[place[hit]] + 0.5)
-                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(line, at))])
+                left = (units > vocab.own) & (units < vocab.units.classes)  # words without a unit of their own
+                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(line, at) + net.inner_log_probs(line, at))])
                 ends = np.concatenate([[0], ends])
                 # Words beyond the head, with how often each text has them; their counts are joined later.
                 rest = np.flatnonzero(~hit)
@@ -291,8 +400,8 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
                 cuts = np.searchsorted(t[begin], np.arange(b - a + 1))
                 yield pd.DataFrame(
                     {
-                        "uid": uid + np.arange(b - a), key: batch[key].iloc[a:b].to_numpy(), "n": np.diff(first) + 1, "known": summed(hit).astype(np.int64) + (vocab.class_counts[END] > 0), "logs": summed(logs) + end_log,
-                        "model": np.diff(sums[ends]) + summed(np.where(classes > OWN, logs - vocab.inside[classes], 0.0)),
+                        "uid": uid + np.arange(b - a), key: batch[key].iloc[a:b].to_numpy(), "n": np.diff(first) + 1, "known": summed(hit).astype(np.int64) + (vocab.class_counts[vocab.own] > 0), "logs": summed(logs) + end_log,
+                        "model": np.diff(sums[ends]) + summed(np.where(left, logs - vocab.inside[np.where(left, units, 0)], 0.0)),
                         "h": [h[begin[i:j]] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "tf": [tf[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)],
                     }
                 )

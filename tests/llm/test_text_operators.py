@@ -269,3 +269,29 @@ def test_class_probabilities_sum_to_one():
     line[:, -1] = np.arange(lbl.CLASSES)
     at = np.arange(lbl.CLASSES) * (lbl.CONTEXT + 1) + lbl.CONTEXT
     assert abs((10 ** net.log_probs(line.ravel(), at)).sum() - 1) < 1e-5
+
+
+def test_language_model_learns_words_outside_the_frequent_ones(spark):
+    """Pairs of rare words: which one follows is known from the word before alone, as all end alike."""
+    rng = np.random.default_rng(6)
+    name = lambda side, k: f"{side}{chr(97 + k // 26)}{chr(97 + k % 26)}zz"
+    pairs = [rng.integers(0, 150, 400) for _ in range(120)]
+    common = [f"c{k}" for k in range(70)] * 40  # more frequent than any word of the pairs
+    texts = [" ".join(f"{name('x', k)} {name('y', k)}" for k in ks) for ks in pairs] + [" ".join(common)] * 12
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    free = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 5 != 1][: len(texts)]
+    right = " ".join(f"{name('x', k)} {name('y', k)}" for k in range(100))
+    wrong = " ".join(f"{name('x', k)} {name('y', (k + 37) % 100)}" for k in range(100))
+    docs = spark.createDataFrame([*zip(free, texts, strict=True), (held[0], right), (held[1], wrong)], "doc_id long, text string").coalesce(2)
+    score = {r["doc_id"]: r["score"] for r in lbl.score_documents(docs).collect()}
+    assert score[held[0]] > score[held[1]] + 10
+
+
+def test_unit_probabilities_sum_to_one_in_each_class():
+    units = lbl.Units(np.array([0, 1, 2, 2, 2, 1]), np.log(np.array([1, 2, 3, 4, 5, 6], np.float32)), 3)
+    net = lbl.LogBilinear.fresh(np.ones(3), units)
+    net.inner[:] = np.random.default_rng(0).normal(size=net.inner.shape)
+    line = np.tile(np.arange(lbl.CONTEXT + 1, dtype=np.int32), (6, 1))
+    line[:, -1] = np.arange(6)
+    at = np.arange(6) * (lbl.CONTEXT + 1) + lbl.CONTEXT
+    assert abs((10 ** (net.log_probs(line.ravel(), at) + net.inner_log_probs(line.ravel(), at))).sum() - 1) < 1e-5
