@@ -295,3 +295,14 @@ def test_unit_probabilities_sum_to_one_in_each_class():
     line[:, -1] = np.arange(6)
     at = np.arange(6) * (lbl.CONTEXT + 1) + lbl.CONTEXT
     assert abs((10 ** (net.log_probs(line.ravel(), at) + net.inner_log_probs(line.ravel(), at))).sum() - 1) < 1e-5
+
+
+def test_quality_learns_from_all_trusted_labels(spark):
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]  # the fold kept for evaluation
+    docs = spark.createDataFrame([(i, f"the cat number {i} sat on a mat", "en") for i in ids] + [(1000, "#9 @@ zq!! XJ", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    assert [r["doc_id"] for r in kneser.classify_quality(docs, labels).filter("NOT kept").collect()] == [1000]
+    assert kneser.trusted_ids(labels, fold=True).count() == 0
+    few, _ = kneser.QualityClassifier.trained(docs, labels, rows=5)
+    all_, _ = kneser.QualityClassifier.trained(docs, labels)
+    assert (few.model.logp != all_.model.logp).any()
