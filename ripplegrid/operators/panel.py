@@ -6,8 +6,8 @@ array in a fixed order. Rows are matched by number through equi-joins, so no ste
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +19,11 @@ DAY = "to_date(ts)"
 
 @dataclass
 class Panel:
-    """rows(rn, ts, x) and the assets in the order of x."""
+    """rows(rn, ts, x), the assets in the order of x, and the number of rows once it is known."""
 
     rows: DataFrame
     assets: list[str]
+    total: int | None = None
 
     def long(self) -> DataFrame:
         """(rn, ts, asset, r)"""
@@ -30,7 +31,18 @@ class Panel:
         return each.select("rn", "ts", name(self.assets, F.col("i")).alias("asset"), "r")
 
     def count(self) -> int:
-        return self.rows.count()
+        if self.total is None:
+            self.total = self.rows.count()
+        return self.total
+
+    @contextmanager
+    def kept(self) -> Iterator[Panel]:
+        """The panel with its rows persisted, for callers that pass over them several times; released at the end."""
+        self.rows.persist()
+        try:
+            yield self
+        finally:
+            self.rows.unpersist()
 
 
 def name(assets: Sequence[str], i: Column) -> Column:
@@ -47,52 +59,67 @@ def numbered(stamps: DataFrame) -> DataFrame:
     return inside.join(before.select("day", "before"), "day").select("ts", (F.col("before") + F.col("i")).cast("long").alias("rn"))
 
 
-def complete_prices(prices: DataFrame) -> tuple[DataFrame, int]:
-    """(rn, ts, asset, price) at the timestamps at which every asset has a positive price, and the number of assets."""
-    valid = prices.filter((F.col("price") > 0) & ~F.isnan("price"))
-    n = valid.select("asset").distinct().count()
-    full = valid.groupBy("ts").agg(F.count_distinct("asset").alias("n")).filter(F.col("n") == n).select("ts")
-    return valid.join(numbered(full), "ts").select("rn", "ts", "asset", "price"), n
-
-
 def load_panel(prices: DataFrame, *, log_returns: bool = True, assets: Sequence[str] | None = None) -> Panel:
-    """Returns (or prices) of all assets at complete timestamps. assets: their order; by name if it isn't given.
+    """Returns (or prices) of all assets at the timestamps at which each of them has a price. assets: those taken, in their order; by default all, by name.
 
-    A return is ln(price / price at the complete timestamp before). Assets whose returns never change are left
-    out with a warning, as no correlation with them exists. The long rows are persisted, in memory or else on
-    disk, as every operator passes over them more than once.
+    A return is ln(price / price at the complete timestamp before), of positive prices; without log_returns any price
+    counts that is neither null nor NaN. An asset's prices at one timestamp are averaged. Series that never change
+    stay: their correlations are null. An asset that was asked for and has no price is left out. Rows are made dense by
+    one shuffle on the timestamp, and matched with the row before by number.
     """
-    rows, _ = complete_prices(prices)
-    if log_returns:
-        before = rows.select((F.col("rn") + 1).alias("rn"), "asset", F.col("price").alias("p0"))
-        rows = rows.join(before, ["rn", "asset"]).select((F.col("rn") - 1).alias("rn"), "ts", "asset", F.ln(F.col("price") / F.col("p0")).alias("r"))
-    else:
-        rows = rows.select("rn", "ts", "asset", F.col("price").alias("r"))
-    rows = rows.persist()
-    found = {r["asset"]: r["flat"] for r in rows.groupBy("asset").agg((F.min("r") == F.max("r")).alias("flat")).collect()}  # a row per asset
+    usable = F.col("price").isNotNull() & ~F.isnan("price")
+    valid = prices.filter(usable & (F.col("price") > 0) if log_returns else usable)
+    if assets is not None:
+        valid = valid.filter(F.col("asset").isin(list(assets)))
+    found = {r["asset"] for r in valid.select("asset").distinct().collect()}  # a row per asset
     names = [a for a in assets if a in found] if assets is not None else sorted(found)
-    if flat := [a for a in names if found[a]]:
-        warnings.warn(f"constant series are left out: {', '.join(flat)}", stacklevel=2)
-        names = [a for a in names if a not in flat]
-    return dense(rows, names)
+    once = valid.repartition("ts").groupBy("ts", "asset").agg(F.avg("price").alias("r"))
+    full = wide(once, ["ts"], names).filter(F.size("x") == len(names))
+    rows = full.join(numbered(full.select("ts")), "ts").select("rn", "ts", "x")
+    if log_returns:
+        before = rows.select((F.col("rn") + 1).alias("rn"), F.col("x").alias("x0"))
+        change = F.zip_with("x", "x0", lambda now, then: F.ln(now / then))
+        rows = rows.join(before, "rn").select((F.col("rn") - 1).alias("rn"), "ts", change.alias("x"))
+    return Panel(rows, names)
+
+
+def wide(long: DataFrame, keys: Sequence[str], assets: Sequence[str]) -> DataFrame:
+    """(keys, x): the values of (keys, asset, r) as arrays in the order of the assets; others are left out."""
+    place = F.create_map(*[F.lit(v) for i, a in enumerate(assets) for v in (a, i)]) if assets else F.create_map()
+    ranked = long.filter(F.col("asset").isin(list(assets))).withColumn("i", F.try_element_at(place, F.col("asset")) if assets else F.lit(0))
+    return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda s: s["r"]).alias("x"))
 
 
 def dense(returns: DataFrame, assets: Sequence[str]) -> Panel:
     """A panel of long returns (rn, ts, asset, r)."""
-    place = F.create_map(*[F.lit(v) for i, a in enumerate(assets) for v in (a, i)]) if assets else F.create_map()
-    ranked = returns.filter(F.col("asset").isin(list(assets))).withColumn("i", F.try_element_at(place, F.col("asset")) if assets else F.lit(0))
-    rows = ranked.groupBy("rn", "ts").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("v"))
-    return Panel(rows.select("rn", "ts", F.transform("v", lambda s: s["r"]).alias("x")), list(assets))
+    return Panel(wide(returns, ["rn", "ts"], assets).select("rn", "ts", "x"), list(assets))
+
 
+def overlapping(rows: DataFrame, reach: int, block: int) -> DataFrame:
+    """rows with b, a block of row numbers: each row is in its own block (own: true) and in all that begin at most `reach` rows after it.
 
-def lagged(rows: DataFrame, lags: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, rn, ts, x, y): each row's values as y, and as x the values `lag` rows before, one lag after the other, within equal keys."""
+    So a window function over `reach` rows back runs in each block, and no task gets a whole series.
+    """
+    first = F.floor(F.col("rn") / block)
+    dealt = rows.withColumn("b", F.explode(F.sequence(first, F.floor((F.col("rn") + reach) / block))))
+    return dealt.withColumn("own", F.col("b") == first)
+
+
+def lagged(rows: DataFrame, lags: Sequence[int], keys: Sequence[str] = (), block: int = 4096) -> DataFrame:
+    """(keys, rn, ts, x, y): each row's values as y, and as x the values `lag` rows before, one lag after the other, within equal keys. One shuffle serves all lags."""
+    cut = with_lags(rows, lags, keys, block)
+    for k in lags:
+        cut = cut.filter(F.col(f"__x{k}").isNotNull())
+    return cut.select(*keys, "rn", "ts", F.concat(*[F.col(f"__x{k}") for k in lags]).alias("x"), F.col("x").alias("y"))
+
+
+def with_lags(rows: DataFrame, lags: Sequence[int], keys: Sequence[str] = (), block: int = 4096) -> DataFrame:
+    """(keys, rn, ts, x, __x1 ...): rows with the values of the row numbered `lag` less, null where there is none."""
     if not lags or any(k < 1 for k in lags):
         raise ValueError("lags must be 1 or more")
-    out = rows.select(*keys, "rn", "ts", F.col("x").alias("y"))
-    for k in lags:
-        out = out.join(rows.select(*keys, (F.col("rn") + k).alias("rn"), F.col("x").alias(f"__x{k}")), [*keys, "rn"])
-    return out.select(*keys, "rn", "ts", F.concat(*[F.col(f"__x{k}") for k in lags]).alias("x"), "y")
+    w = Window.partitionBy(*keys, "b").orderBy("rn")
+    dealt = overlapping(rows.select(*keys, "rn", "ts", "x"), max(lags), block)
+    return dealt.select("*", *[F.first("x").over(w.rangeBetween(-k, -k)).alias(f"__x{k}") for k in dict.fromkeys(lags)]).filter("own").drop("own", "b")
 
 
 def windows(rows: DataFrame, size: int, total: int) -> DataFrame:
@@ -123,16 +150,11 @@ def train_test(rows: DataFrame, share: float, total: int) -> DataFrame:
 
 
 def rolling_volatility(panel: Panel, size: int = 50, block: int = 4096) -> DataFrame:
-    """(rn, ts, vol): mean over the assets of the standard deviation of the last `size` rows; null before there are so many.
-
-    Rows are dealt in blocks that begin with the size - 1 rows before them, so the window isn't one task per asset.
-    """
-    long = panel.long().withColumn("b", F.floor(F.col("rn") / block))
-    ahead = long.filter((F.col("rn") + size - 1) >= (F.col("b") + 1) * block).withColumns({"b": F.col("b") + 1, "own": F.lit(False)})
-    every = long.withColumn("own", F.lit(True)).unionByName(ahead)
+    """(rn, ts, vol): mean over the assets of the standard deviation of the last `size` rows; null before there are so many."""
+    dealt = overlapping(panel.long(), size - 1, block)
     w = Window.partitionBy("asset", "b").orderBy("rn").rowsBetween(-(size - 1), 0)
     sd = F.when(F.count("r").over(w) == size, F.stddev_samp("r").over(w))
-    return every.withColumn("sd", sd).filter("own").groupBy("rn", "ts").agg(F.avg("sd").alias("vol"))
+    return dealt.withColumn("sd", sd).filter("own").groupBy("rn", "ts").agg(F.avg("sd").alias("vol"))
 
 
 def business_bins(panel: Panel, days: int = 3) -> DataFrame:

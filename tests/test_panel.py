@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import zipfile
 
 import numpy as np
 import pytest
@@ -18,19 +19,54 @@ def table(spark, rows):
 
 
 def test_doubling_prices_return_ln_2(spark):
-    p = pa.load_panel(table(spark, [(t, a, b * 2.0**i * (1 + 0.1 * (a == "q" and i == 2))) for i, t in enumerate(days(1, 5)) for a, b in (("p", 1.0), ("q", 3.0))]), assets=["p", "q"])
-    assert p.assets == ["q"]  # p's returns are constant
-    rows = p.long().filter("asset = 'q'").orderBy("rn").collect()
-    assert [r["rn"] for r in rows] == [0, 1, 2, 3] and math.isclose(rows[0]["r"], math.log(2))
+    p = pa.load_panel(table(spark, [(t, "price", 2.0**i) for i, t in enumerate(days(1, 5))]))
+    rows = p.long().orderBy("rn").collect()
+    assert p.assets == ["price"] and [r["rn"] for r in rows] == [0, 1, 2, 3] and all(math.isclose(r["r"], math.log(2)) for r in rows)
 
 
 def test_files_are_joined_on_common_dates(spark, tmp_path):
     for name, first in (("a", 1), ("b", 3)):
-        (tmp_path / f"{name}.csv").write_text(f"date,p{name},note\n" + "".join(f"{t:%Y-%m-%d},{1 + i},x\n" for i, t in enumerate(days(first, 5))))
+        (tmp_path / f"{name}.csv").write_text(f"date,p{name}\n" + "".join(f"{t:%Y-%m-%d},1.0\n" for t in days(first, 5)))
     files = [src.read_wide_csv(spark, str(tmp_path / f"{n}.csv")) for n in "ab"]
     p = pa.load_panel(src.joined(files), log_returns=False)
     assert p.count() == 3 and p.assets == ["pa", "pb"]
-    assert [r["ts"].day for r in p.rows.orderBy("rn").collect()] == [3, 4, 5]
+    assert [(r["ts"].day, r["x"]) for r in p.rows.orderBy("rn").collect()] == [(3, [1.0, 1.0]), (4, [1.0, 1.0]), (5, [1.0, 1.0])]
+
+
+def test_text_columns_are_no_assets(spark, tmp_path):
+    """A column is numeric only if all that it holds is: one number among words doesn't make it one."""
+    rows = ["2023-01-01,1,x,,", "2023-01-02,2,7,,", "2023-01-03,4,y,5,"]
+    (tmp_path / "a.csv").write_text("\n".join(["date,p,note,late,none", *rows]))
+    found = src.read_wide_csv(spark, str(tmp_path / "a.csv"))
+    assert {r["asset"] for r in found.collect()} == {"p", "late"}
+    assert pa.load_panel(found, log_returns=False, assets=["p"]).count() == 3
+
+
+def test_an_assets_prices_at_one_time_are_averaged(spark):
+    rows = [(t, "p", float(i + 1)) for i, t in enumerate(days(1, 3))]
+    p = pa.load_panel(table(spark, [*rows, (rows[1][0], "p", 4.0)]), log_returns=False)
+    assert [r["x"] for r in p.rows.orderBy("rn").collect()] == [[1.0], [3.0], [3.0]]
+
+
+@pytest.mark.parametrize("block", [4, 7, 1000])
+def test_volatility_and_lags_reach_over_many_blocks(spark, block):
+    rows = counted(spark, 60)
+    x = np.array([r["x"] for r in rows.orderBy("rn").collect()])
+    p = pa.Panel(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rn long, x array<double>").withColumn("ts", F.timestamp_seconds("rn")), ["a", "b"])
+    got = [r["vol"] for r in pa.rolling_volatility(p, 20, block).orderBy("rn").collect()]
+    assert got[:19] == [None] * 19 and np.allclose(got[19:], [x[i - 19 : i + 1].std(0, ddof=1).mean() for i in range(19, 60)])
+    pairs = pa.lagged(p.rows, [1, 30], block=block).orderBy("rn").collect()
+    assert [r["rn"] for r in pairs] == list(range(30, 60))
+    assert all(np.array_equal(r["x"], np.r_[x[r["rn"] - 1], x[r["rn"] - 30]]) and np.array_equal(r["y"], x[r["rn"]]) for r in pairs)
+
+
+def test_a_sheet_is_read(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as book:
+        book.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Stocks</t></si><si><t>Sectors</t></si><si><t>x</t></si><si><t>Crypto</t></si></sst>")
+        cell = lambda at, v: f'<c r="{at}" t="s"><v>{v}</v></c>'
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData><row>{cell('A1', 0)}{cell('C1', 1)}</row><row>{cell('A2', 2)}{cell('C2', 3)}</row><row><c r='A3' t='inlineStr'><is><t>y</t></is></c></row></sheetData></worksheet>")
+    assert [tuple(r) for r in src.read_categories(spark, str(tmp_path / "c.xlsx")).orderBy("asset").collect()] == [("x", "Crypto", "crypto"), ("y", None, "stock")]
 
 
 def test_prices_that_are_not_positive_leave_their_timestamp(spark):
