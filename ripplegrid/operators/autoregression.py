@@ -7,15 +7,16 @@ reduced to the sums of products, one matrix a task, and solved from those; mask
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .correlation import correlation, cross_sums, quantile_mask, rmt_clip
-from .panel import Panel, lagged, name
+from .correlation import Moments, correlation, cross_sums, quantile_mask, rmt_clip
+from .panel import Panel, chunks, lagged, name
 
 #: Values of x and y of a group up to which it is solved in one task.
 TASK_VALUES = 20_000_000
@@ -27,8 +28,9 @@ def _key_schema(rows: DataFrame, keys: Sequence[str]) -> str:
 
 
 def _threshold(c: np.ndarray, q: float) -> np.ndarray:
-    """Entries above the quantile of all absolute values; none, if any is undefined."""
-    return np.abs(c) > np.quantile(np.abs(c), q)
+    """Entries above the quantile of all absolute values; undefined ones neither count nor pass."""
+    known = np.abs(c[~np.isnan(c)])
+    return np.abs(c) > (np.quantile(known, q) if len(known) else np.inf)
 
 
 def _group_rows(key: dict, out: list[tuple]) -> pd.DataFrame:
@@ -62,62 +64,59 @@ def _solve_rows(x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> list[tuple]:
     return out
 
 
-def _solve_sums(s: np.ndarray, n_x: int, n_y: int, mask: np.ndarray) -> list[tuple]:
-    g = np.asarray(s, float).reshape(1 + n_x + n_y, -1)
-    n, mean = g[0, 0], g[0] / g[0, 0]
-    centred = g - n * np.outer(mean, mean)
-    xx, xy, tss = centred[1 : 1 + n_x, 1 : 1 + n_x], centred[1 : 1 + n_x, 1 + n_x :], np.diag(centred)[1 + n_x :]
+def _solve_moments(m: Moments, n_x: int, mask: np.ndarray) -> list[tuple]:
+    xx, xy, tss = m.products[:n_x, :n_x], m.products[:n_x, n_x:], np.diag(m.products)[n_x:]
     out = []
-    for j in range(n_y):
+    for j in range(mask.shape[1]):
         active = mask[:, j]
         coef = np.zeros(n_x)
         if active.any():
             coef[active] = np.linalg.lstsq(xx[np.ix_(active, active)], xy[active, j], rcond=None)[0]
-        const = mean[1 + n_x + j] - coef @ mean[1 : 1 + n_x]
-        out.append((j, int(n), int(active.sum()), float(const), active, coef, float(tss[j] - coef @ xy[:, j]), float(tss[j])))
+        const = m.mean[n_x + j] - coef @ m.mean[:n_x]
+        out.append((j, m.n, int(active.sum()), float(const), active, coef, float(tss[j] - coef @ xy[:, j]), float(tss[j])))
     return out
 
 
-def _sums_correlation(s: np.ndarray, n_x: int, n_y: int) -> np.ndarray:
-    from .correlation import _matrix
-
-    return _matrix(s, n_x, n_y)
-
-
-def fit(pairs: DataFrame, n_x: int, n_y: int, keys: Sequence[str] = (), *, mask: np.ndarray | None = None, q: float | None = None, q_column: str | None = None, by_sums: bool = False) -> DataFrame:
+def fit(pairs: DataFrame, n_x: int, n_y: int, keys: Sequence[str] = (), *, mask: np.ndarray | None = None, qs: Sequence[float] | None = None, by_sums: bool = False) -> DataFrame:
     """(keys, tgt, n, k, const, active, coef, rss, tss): the regression of every target on its allowed sources, in every group of pairs (keys, x, y).
 
-    mask: allowed (source, target) pairs for all groups (None: all). With q, or the key q_column, the mask is
-    made in each group, of its correlations above their quantile. A target without a source is its mean.
+    mask: allowed (source, target) pairs for all groups (None: all). With qs each group is fitted once for each q, a
+    column more, and the mask is made of the group's own correlations above their quantile; rows are read and moved
+    once for all qs. A target without a source is its mean.
     """
     fixed = np.ones((n_x, n_y), bool) if mask is None else np.asarray(mask) != 0
     keys = list(keys)
 
-    def level(key: dict) -> float | None:
-        return key[q_column] if q_column else q
+    def each(key: dict, m: Callable[[], Moments], solve: Callable[[np.ndarray], list[tuple]]) -> Iterator[pd.DataFrame]:
+        if qs is None:
+            yield _group_rows(key, solve(fixed))
+            return
+        own = m()
+        for q in qs:
+            yield _group_rows(key | {"q": float(q)}, solve(_own_mask(own, n_x, q)))
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
-        key = {k: group[k].iloc[0] for k in keys}
         x, y = np.stack(group["x"].to_numpy()), np.stack(group["y"].to_numpy())
-        allowed = fixed
-        if level(key) is not None:
-            with np.errstate(all="ignore"):
-                allowed = _threshold(np.corrcoef(x.T, y.T)[:n_x, n_x:], level(key))
-        return _group_rows(key, _solve_rows(x, y, allowed))
+        return pd.concat(each({k: group[k].iloc[0] for k in keys}, lambda: Moments.of(np.concatenate([x, y], 1)), lambda allowed: _solve_rows(x, y, allowed)), ignore_index=True)
 
     def reduced(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                key = {k: row[k] for k in keys}
-                allowed = fixed if level(key) is None else _threshold(_sums_correlation(row["s"], n_x, n_y), level(key))
-                yield _group_rows(key, _solve_sums(row["s"], n_x, n_y, allowed))
+                m = Moments.read(row, n_x + n_y)
+                yield from each({k: row[k] for k in keys}, lambda m=m: m, lambda allowed, m=m: _solve_moments(m, n_x, allowed))
 
-    schema = _key_schema(pairs, keys) + FIT
+    schema = _key_schema(pairs, keys) + ("q double, " if qs is not None else "") + FIT
     if by_sums:
-        return cross_sums(pairs, keys, 1 + n_x + n_y).mapInPandas(reduced, schema)
+        return cross_sums(pairs, keys).mapInPandas(reduced, schema)
     return pairs.select(*keys, "x", "y").groupBy(*keys).applyInPandas(whole, schema)
 
 
+def _own_mask(m: Moments, n_x: int, q: float) -> np.ndarray:
+    """Allowed pairs of a group's own lagged correlations."""
+    with np.errstate(invalid="ignore"):
+        return _threshold(m.correlations()[:n_x, n_x:], q)
+
+
 def by_sums(rows: int, n_x: int, n_y: int, way: str) -> bool:
     """Whether a group of so many rows is reduced to sums: if it is too long for a task, and long enough to be well conditioned."""
     if way not in ("auto", "rows", "sums"):
@@ -156,16 +155,14 @@ def residual_covariance(panel: Panel, lags: Sequence[int]) -> DataFrame:
 
     def solve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s in batch["s"]:
-                g = np.asarray(s, float).reshape(1 + n_x + n, -1)
-                rows, mean = g[0, 0], g[0] / g[0, 0]
-                c = g - rows * np.outer(mean, mean)
-                xx, xy, yy = c[1 : 1 + n_x, 1 : 1 + n_x], c[1 : 1 + n_x, 1 + n_x :], c[1 + n_x :, 1 + n_x :]
-                sigma = (yy - xy.T @ np.linalg.lstsq(xx, xy, rcond=None)[0]) / max(rows - n_x - 1, 1)
+            for _, row in batch.iterrows():
+                m = Moments.read(row, n_x + n)
+                xx, xy, yy = m.products[:n_x, :n_x], m.products[:n_x, n_x:], m.products[n_x:, n_x:]
+                sigma = (yy - xy.T @ np.linalg.lstsq(xx, xy, rcond=None)[0]) / max(m.n - n_x - 1, 1)
                 i, j = np.indices((n, n)).reshape(2, -1)
                 yield pd.DataFrame({"i": i, "j": j, "sigma": ((sigma + sigma.T) / 2).ravel()})
 
-    sums = cross_sums(lagged(panel.rows, list(lags)), [], 1 + n_x + n).mapInPandas(solve, "i int, j int, sigma double")
+    sums = cross_sums(lagged(panel.rows, list(lags)), []).mapInPandas(solve, "i int, j int, sigma double")
     return sums.select(name(assets, F.col("i")).alias("a"), name(assets, F.col("j")).alias("b"), "sigma")
 
 
@@ -201,67 +198,119 @@ def var_diagonal(panel: Panel, lag: int = 1) -> DataFrame:
     return out.select(name(panel.assets, F.col("i")).alias("asset"), "a", "c", "r2")
 
 
-def _descend(gram: np.ndarray, xy: np.ndarray, alpha: float, w: np.ndarray, most: int, tolerance: float = 1e-10) -> np.ndarray:
-    """Coordinate descent on 1/2 w'Gw - w'b + alpha * |w|."""
-    left = xy - gram @ w
+def _descend(gram: np.ndarray, xy: np.ndarray, alpha: np.ndarray, w: np.ndarray, most: int, tolerance: float = 1e-10) -> np.ndarray:
+    """Coordinate descent on 1/2 w'Gw - w'b + alpha * |w| for each column of w and xy, whose alphas may differ; all columns move a coordinate at once."""
+    left, scale = xy - gram @ w, np.diag(gram)
     for _ in range(most):
-        moved = 0.0
-        for i in range(len(w)):
-            if gram[i, i] <= 0:
-                continue
-            z = left[i] + gram[i, i] * w[i]
-            new = np.sign(z) * max(abs(z) - alpha, 0) / gram[i, i]
-            if new != w[i]:
-                left -= gram[:, i] * (new - w[i])
-                moved = max(moved, abs(new - w[i]))
-                w[i] = new
-        if moved < tolerance:
+        before = w.copy()
+        for i in np.flatnonzero(scale > 0):
+            z = left[i] + scale[i] * w[i]
+            step = np.sign(z) * np.maximum(np.abs(z) - alpha, 0) / scale[i] - w[i]
+            if step.any():
+                left -= np.outer(gram[:, i], step)
+                w[i] += step
+        if np.abs(w - before).max(initial=0) < tolerance:
             break
     return w
 
 
-def lasso_path(x: np.ndarray, y: np.ndarray, alpha: float | None, folds: int, most: int, standardize: bool) -> tuple[float, np.ndarray, float]:
-    """(intercept, coefficients, alpha) of 1/(2n) |y - Xw|^2 + alpha |w|. Without an alpha: of 100 on a log grid down to 1e-3 of the largest that matters, that of least mean squared error over contiguous folds."""
-    mean, scale = x.mean(0), x.std(0) if standardize else np.ones(x.shape[1])
+def lasso_path(folds: Sequence[Moments], n_x: int, alpha: float | None, most: int, standardize: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(intercepts, coefficients, alphas) by target of 1/(2n) |y - Xw|^2 + alpha |w|, from the moments of (x, y) of each fold.
+
+    Without an alpha each target takes, of 100 on a log grid down to 1e-3 of the largest that matters, that of the
+    least mean squared error over the folds held out. Sources are scaled once, over all rows.
+    """
+    whole = functools.reduce(Moments.joined, folds)
+    scale = np.sqrt(np.diag(whole.products)[:n_x] / whole.n) if standardize else np.ones(n_x)
     scale = np.where(scale > 0, scale, 1.0)
-    z = (x - mean) / scale
-
-    def solve(rows: np.ndarray, alphas: Sequence[float]):
-        zr, yr = z[rows], y[rows]
-        zm, ym = zr.mean(0), yr.mean()
-        gram, b = (zr - zm).T @ (zr - zm) / len(zr), (zr - zm).T @ (yr - ym) / len(zr)
-        w = np.zeros(z.shape[1])
-        for a in alphas:
-            w = _descend(gram, b, a, w.copy(), most)
-            yield w, ym - zm @ w
-
-    everything = np.arange(len(y))
+    scaled = lambda m: (m.products[:n_x, :n_x] / np.outer(scale, scale) / m.n, m.products[:n_x, n_x:] / scale[:, None] / m.n)
+    gram, xy = scaled(whole)
+    targets = xy.shape[1]
     if alpha is None:
-        top = np.abs((z - z.mean(0)).T @ (y - y.mean())).max() / len(y)
-        grid = np.geomspace(max(top, 1e-15), max(top, 1e-15) * 1e-3, 100)
-        errors = np.zeros(len(grid))
-        for held in np.array_split(everything, folds):
-            rest = np.setdiff1d(everything, held)
-            errors += [((y[held] - z[held] @ w - c) ** 2).mean() for w, c in solve(rest, grid)]
-        alpha = float(grid[errors.argmin()])
-    w, _ = next(solve(everything, [alpha]))
-    w = w / scale
-    return float(y.mean() - x.mean(0) @ w), w, alpha
+        top = np.maximum(np.abs(xy).max(0), 1e-15)
+        grid = np.geomspace(top, top * 1e-3, 100)
+        errors = np.zeros((len(grid), targets))
+        for f, held in enumerate(folds):
+            rest = functools.reduce(Moments.joined, [m for i, m in enumerate(folds) if i != f])
+            (own_gram, own_xy), (held_gram, held_xy) = scaled(rest), scaled(held)
+            w = np.zeros((n_x, targets))
+            for a, alphas in enumerate(grid):
+                w = _descend(own_gram, own_xy, alphas, w, most)
+                off = (held.mean - rest.mean)[n_x:] - ((held.mean - rest.mean)[:n_x] / scale) @ w
+                errors[a] += np.diag(held.products)[n_x:] / held.n - 2 * (w * held_xy).sum(0) + (w * (held_gram @ w)).sum(0) + off**2
+        alphas = grid[errors.argmin(0), np.arange(targets)]
+    else:
+        alphas = np.full(targets, float(alpha))
+    w = _descend(gram, xy, alphas, np.zeros((n_x, targets)), most) / scale[:, None]
+    return whole.mean[n_x:] - whole.mean[:n_x] @ w, w, alphas
+
+
+def var_lasso(panel: Panel, lag: int = 1, *, alpha: float | None = None, cv: int = 5, max_iter: int = 5000, standardize: bool = True, at_once: int = 16) -> DataFrame:
+    """(lag, src, tgt, is_const, coef, alpha): each target's L1 regression on all assets; alpha by cross-validation over contiguous folds unless it is given.
+
+    The panel is passed over once, for the folds' moments (N x N each); blocks of at_once targets are then solved in tasks of their own.
+    """
+    n, assets, spark = len(panel.assets), panel.assets, panel.rows.sparkSession
+    total = max(panel.count() - lag, 0)
+    if total < cv:
+        raise ValueError("fewer rows than folds")
+    pairs = chunks(lagged(panel.rows, [lag]).withColumn("rn", F.col("rn") - lag), cv, total)
+    folds = [Moments.read(r, 2 * n) for r in sorted(cross_sums(pairs, ["window_id"]).collect(), key=lambda r: r["window_id"])]  # a row a fold
+    shared = spark.sparkContext.broadcast(folds)
 
+    def solve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in batch["id"]:
+                use = np.r_[:n, n + first : n + min(first + at_once, n)]
+                const, w, alphas = lasso_path([Moments(m.n, m.mean[use], m.products[np.ix_(use, use)]) for m in shared.value], n, alpha, max_iter, standardize)
+                yield pd.DataFrame({"tgt": first + np.arange(len(const)), "const": const, "coef": list(w.T), "alpha": alphas})
 
-def var_lasso(panel: Panel, lag: int = 1, *, alpha: float | None = None, cv: int = 5, max_iter: int = 5000, standardize: bool = True) -> DataFrame:
-    """(lag, src, tgt, is_const, coef, alpha): each target's L1 regression on all assets, a task a target; alpha by cross-validation unless it is given."""
-    n, assets = len(panel.assets), panel.assets
-    each = lagged(panel.rows, [lag]).select("rn", "x", F.posexplode("y").alias("tgt", "v"))
+    fits = spark.range(0, n, at_once, -(-n // at_once)).mapInPandas(solve, "tgt int, const double, coef array<double>, alpha double")
+    out = coefficients(fits.select("tgt", "const", "coef", "alpha"), assets, [lag], ["alpha"])
+    return out.select("lag", "src", "tgt", "is_const", "coef", "alpha")
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rn")
-        const, w, used = lasso_path(np.stack(group["x"].to_numpy()), group["v"].to_numpy(), alpha, cv, max_iter, standardize)
-        return pd.DataFrame({"tgt": [int(group["tgt"].iloc[0])], "const": [const], "coef": [w], "alpha": [used]})
 
-    fits = each.groupBy("tgt").applyInPandas(solve, "tgt int, const double, coef array<double>, alpha double")
-    out = coefficients(fits, assets, [lag])
-    return out.join(fits.select(name(assets, F.col("tgt")).alias("tgt"), "alpha"), "tgt").select("lag", "src", "tgt", "is_const", "coef", "alpha")
+def predicted(panel: Panel, coefs: DataFrame, lag: int = 1, rows: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rn, tgt, y, yhat): x @ A + c. Without keys the matrix (N x N) goes to every task and no row is shuffled; with keys each group of rows meets its own."""
+    pairs = lagged(panel.rows if rows is None else rows, [lag], keys)
+    n, place = len(panel.assets), {a: i for i, a in enumerate(panel.assets)}
+    index = F.create_map(*[F.lit(v) for a, i in place.items() for v in (a, i)])
+    at = lambda c: F.try_element_at(index, F.col(c))
+    cells = coefs.filter("coef <> 0").select(*keys, F.when(F.col("is_const"), F.lit(n)).otherwise(at("src")).alias("i"), at("tgt").alias("j"), "coef")
+
+    def filled(i, j, v) -> np.ndarray:
+        out = np.zeros((n + 1, n))
+        out[np.asarray(i, int), np.asarray(j, int)] = v
+        return out
+
+    def answers(part: pd.DataFrame, a: np.ndarray) -> pd.DataFrame:
+        x = np.stack(part["x"].to_numpy())
+        return part[[*keys, "rn", "y"]].assign(yhat=list(x @ a[:n] + a[n]))
+
+    head = _key_schema(pairs, keys)
+    schema = f"{head}rn long, y array<double>, yhat array<double>"
+    if keys:
+        matrices = cells.groupBy(*keys).agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"), F.collect_list("coef").alias("coef"))  # at most N * (N + 1) each
+
+        def own(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left):
+                return left.assign(yhat=None)[[*keys, "rn", "y", "yhat"]]
+            a = filled(right["i"].iloc[0], right["j"].iloc[0], right["coef"].iloc[0]) if len(right) else np.zeros((n + 1, n))
+            return answers(left, a)
+
+        found = pairs.select(*keys, "rn", "x", "y").groupBy(*keys).cogroup(matrices.groupBy(*keys)).applyInPandas(own, schema)
+    else:
+        held = cells.collect()  # at most N * (N + 1)
+        shared = panel.rows.sparkSession.sparkContext.broadcast(filled([r["i"] for r in held], [r["j"] for r in held], [r["coef"] for r in held]))
+
+        def every(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield answers(batch, shared.value)
+
+        found = pairs.select("rn", "x", "y").mapInPandas(every, schema)
+    each = found.select(*keys, "rn", F.posexplode(F.arrays_zip("y", "yhat")).alias("j", "v"))
+    return each.select(*keys, "rn", name(panel.assets, F.col("j")).alias("tgt"), F.col("v.y").alias("y"), F.col("v.yhat").alias("yhat"))
 
 
 def predicted(panel: Panel, coefs: DataFrame, lag: int = 1, rows: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -285,8 +334,3 @@ def norms(coefs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         root(square).alias("fro"), root(F.when(own, square).otherwise(0.0)).alias("fro_diag"), root(F.when(own, 0.0).otherwise(square)).alias("fro_off"),
         F.avg(F.abs("coef")).alias("mean_abs"), F.max(F.abs("coef")).alias("max_abs"), F.avg((F.abs("coef") > 0.05).cast("int")).alias("share_large"),
     )
-
-
-def shifted(column: str, by: int, keys: Sequence[str], order: str):
-    """A column `by` rows before, within equal keys."""
-    return F.lag(column, by).over(Window.partitionBy(*keys).orderBy(order))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import guarded
-from .autoregression import predicted, subset_fits
-from .panel import Panel, name
+from .autoregression import FIT, _solve_moments, predicted
+from .correlation import MOMENTS, Moments, merged_moments, moment_rows
+from .panel import Panel, name, with_lags
 
 
 def r2_per_asset(panel: Panel, coefs: DataFrame, lag: int = 1) -> DataFrame:
@@ -48,18 +51,44 @@ def fit_ratio(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return means.withColumn("ratio", F.col("r2") / F.greatest("r2_null", F.lit(1e-12)))
 
 
+def spec_fits(panel: Panel, specs: Sequence[Sequence[int]]) -> DataFrame:
+    """(spec, and the columns of a fit) of the regression on each set of lags, from one pass: every task sums the moments of each set over the rows that have all its lags."""
+    n, specs = len(panel.assets), [list(s) for s in specs]
+    lags = sorted({k for s in specs for k in s})
+    rows = with_lags(panel.rows, lags).select("x", *[f"__x{k}" for k in lags])
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, Moments] = {}
+        for batch in batches:
+            held = {k: batch[f"__x{k}"].notna().to_numpy() for k in lags}
+            y = np.stack(batch["x"].to_numpy())
+            x = {k: np.stack(batch[f"__x{k}"].map(lambda v: np.zeros(n) if v is None else v).to_numpy()) for k in lags}
+            for i, spec in enumerate(specs):
+                use = np.logical_and.reduce([held[k] for k in spec])
+                if use.any():
+                    own = Moments.of(np.concatenate([x[k][use] for k in spec] + [y[use]], 1))
+                    found[(i,)] = found[(i,)].joined(own) if (i,) in found else own
+        if found:
+            yield moment_rows(found, ["i"])
+
+    def solve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                n_x = n * len(specs[row["i"]])
+                m = Moments.read(row, n_x + n)
+                out = pd.DataFrame(_solve_moments(m, n_x, np.ones((n_x, n), bool)), columns=["tgt", "n", "k", "const", "active", "coef", "rss", "tss"])
+                yield out.assign(spec=str(specs[row["i"]]))[["spec", *out.columns]]
+
+    sums = merged_moments(rows.mapInPandas(work, f"i int, {MOMENTS}"), ["i"])
+    return sums.mapInPandas(solve, f"spec string, {FIT}")
+
+
 def lag_scores(panel: Panel, specs: Sequence[Sequence[int]]) -> DataFrame:
     """(spec, bic, aic, r2_mean, r2_median) of the regression on each set of lags: criteria per equation, averaged. spec is the set in brackets."""
-    out = None
-    for lags in specs:
-        fits = subset_fits(panel, list(lags))
-        n, k = F.col("n"), F.lit(1 + len(panel.assets) * len(lags))
-        base = n * F.ln(F.col("rss") / n)
-        scores = fits.agg(
-            F.avg(base + k * F.ln(n)).alias("bic"), F.avg(base + 2 * k).alias("aic"), F.avg(1 - F.col("rss") / guarded(F.col("tss"))).alias("r2_mean"), F.median(1 - F.col("rss") / guarded(F.col("tss"))).alias("r2_median")
-        ).select(F.lit(str(list(lags))).alias("spec"), "*")
-        out = scores if out is None else out.unionByName(scores)
-    return out
+    fits = spec_fits(panel, specs)
+    n, k, r2 = F.col("n"), F.col("k") + 1, 1 - F.col("rss") / guarded(F.col("tss"))
+    base = n * F.ln(F.col("rss") / n)
+    return fits.groupBy("spec").agg(F.avg(base + k * F.ln(n)).alias("bic"), F.avg(base + 2 * k).alias("aic"), F.avg(r2).alias("r2_mean"), F.median(r2).alias("r2_median"))
 
 
 def one_lag(scores: DataFrame) -> DataFrame:

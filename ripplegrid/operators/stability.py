@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import isclose
-from .autoregression import coefficients, fit
+from .autoregression import by_sums, coefficients, fit
 from .goodness import fit_ratio, fit_stats
 from .panel import Panel, chunks, lagged
 
@@ -40,11 +40,11 @@ def magnitude_summary(magnitude: DataFrame, eps: float = 1e-6) -> DataFrame:
     return magnitude.agg(F.avg("magnitude").alias("mean"), F.min("magnitude").alias("min"), F.max("magnitude").alias("max"), F.sum((F.abs("magnitude") < eps).cast("long")).alias("n_small"))
 
 
-def chunk_fits(panel: Panel, lag: int, q: float, n_chunks: int) -> DataFrame:
-    """Fits of every chunk on the sources that its own lagged correlations single out."""
-    n = len(panel.assets)
-    rows = chunks(panel.rows, n_chunks, panel.count())
-    return fit(lagged(rows, [lag], ["window_id"]), n, n, ["window_id"], q=q)
+def chunk_fits(panel: Panel, lag: int, q: float, n_chunks: int, way: str = "auto") -> DataFrame:
+    """Fits of every chunk on the sources that its own lagged correlations single out; long chunks are reduced to moments."""
+    n, total = len(panel.assets), panel.count()
+    rows = chunks(panel.rows, n_chunks, total)
+    return fit(lagged(rows, [lag], ["window_id"]), n, n, ["window_id"], qs=[q], by_sums=by_sums(total // n_chunks, n, n, way)).drop("q")
 
 
 def chunk_stats(panel: Panel, lag: int, q: float, n_chunks: int) -> DataFrame:
@@ -66,15 +66,14 @@ def active_magnitude(coefs: DataFrame) -> DataFrame:
     return coefs.filter("NOT is_const").groupBy("src", "tgt").agg(F.coalesce(mean, F.lit(0.0)).alias("weight"))
 
 
-def sweep_fits(panel: Panel, lag: int, qs: Sequence[float], n_chunks: Sequence[int]) -> DataFrame:
-    """Fits of every combination of quantile and number of chunks, in one job: each row is dealt to its chunk of each combination."""
-    n, total = len(panel.assets), panel.count()
-    cells = None
+def sweep_fits(panel: Panel, lag: int, qs: Sequence[float], n_chunks: Sequence[int], way: str = "auto") -> DataFrame:
+    """Fits of every combination of quantile and number of chunks: a row goes to one chunk of each number of chunks, where all quantiles are taken from it."""
+    n, total, out = len(panel.assets), panel.count(), None
     for k in n_chunks:
-        cell = chunks(panel.rows, k, total).withColumn("n_chunks", F.lit(int(k)))
-        cells = cell if cells is None else cells.unionByName(cell)
-    pairs = lagged(cells, [lag], ["n_chunks", "window_id"]).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-    return fit(pairs, n, n, ["n_chunks", "q", "window_id"], q_column="q")
+        rows = chunks(panel.rows, k, total).withColumn("n_chunks", F.lit(int(k)))
+        cell = fit(lagged(rows, [lag], ["n_chunks", "window_id"]), n, n, ["n_chunks", "window_id"], qs=qs, by_sums=by_sums(total // k, n, n, way))
+        out = cell if out is None else out.unionByName(cell)
+    return out
 
 
 def sweep(panel: Panel, lag: int, qs: Sequence[float], n_chunks: Sequence[int]) -> DataFrame:

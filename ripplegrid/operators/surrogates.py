@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .panel import Panel, dense
+from .panel import Panel
 
 #: Rows whose normal numbers are drawn together, so that a number depends on asset and row alone.
 BLOCK = 4096
@@ -33,28 +33,35 @@ def _schema(panel: Panel) -> str:
     return f"rn long, ts {panel.rows.schema['ts'].dataType.simpleString()}, x array<double>"
 
 
-def randomized_phases(values: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A series with the amplitudes of `values` at every frequency and random phases; the mean, and for an even length the fastest frequency, have phase zero."""
-    size = np.abs(np.fft.rfft(values))
-    turn = rng.uniform(0, 2 * np.pi, len(size))
-    turn[0] = 0
-    if len(values) % 2 == 0:
-        turn[-1] = 0
-    return np.fft.irfft(size * np.exp(1j * turn), n=len(values))
+def turned(values: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Series (rows, assets) whose spectra are multiplied by the unit phasors of complex draws (frequencies, assets).
 
+    Every frequency keeps its amplitude. The bins that are real in any real series, the mean's and, with an even
+    length, the fastest one's, are left alone, so each series keeps its mean.
+    """
+    unit = draws / np.abs(draws)
+    unit[0] = 1
+    if not len(values) % 2:
+        unit[-1] = 1
+    return np.fft.irfft(np.fft.rfft(values, axis=0) * unit, n=len(values), axis=0)
 
-def phase_randomized(panel: Panel, seed: int = 0) -> Panel:
-    """Each asset's phases drawn anew, a task an asset: a Fourier transform needs a whole series."""
-    place = {a: i for i, a in enumerate(panel.assets)}
+
+def phase_randomized(panel: Panel, seed: int = 0, at_once: int = 8) -> Panel:
+    """Each asset's phases drawn anew, a task for at_once assets: a Fourier transform needs a whole series."""
+    blocks = [(i, panel.assets[i : i + at_once]) for i in range(0, len(panel.assets), at_once)]
+    cut = panel.rows.select("rn", "ts", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.slice("x", i + 1, len(names)).alias("x")) for i, names in blocks])).alias("part"))
 
     def turn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rn")
-        rng = np.random.default_rng([seed, place[group["asset"].iloc[0]]])
-        return group.assign(r=randomized_phases(group["r"].to_numpy(), rng))[["rn", "ts", "asset", "r"]]
-
-    long = panel.long()
-    kind = long.schema["ts"].dataType.simpleString()
-    return dense(long.groupBy("asset").applyInPandas(turn, f"rn long, ts {kind}, asset string, r double"), panel.assets)
+        values = np.stack(group["x"].to_numpy())
+        rng = np.random.default_rng([seed, int(group["i"].iloc[0])])
+        draws = rng.normal(size=(2, len(values) // 2 + 1, values.shape[1]))
+        return group.assign(x=list(turned(values, draws[0] + 1j * draws[1])))
+
+    kind = panel.rows.schema["ts"].dataType.simpleString()
+    parts = cut.select("rn", "ts", "part.*").groupBy("i").applyInPandas(turn, f"rn long, ts {kind}, i int, x array<double>")
+    joined = parts.groupBy("rn", "ts").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    return Panel(joined.select("rn", "ts", F.flatten(F.transform("v", lambda s: s["x"])).alias("x")), panel.assets, panel.total)
 
 
 def block_starts(total: int, block: int, seed: int = 0) -> list[int]:

@@ -8,6 +8,9 @@ from __future__ import annotations
 #: Starts of the blocks of the fixed bootstrap.
 STARTS = [0, 17, 250, 400, 33, 33, 480, 121]
 
+#: Parameters of the network model at which its R2 is compared.
+THETA = [0.01, -0.5, 0.1, 0.3, 0.02, 0.2, -0.1]
+
 E_HOUR = "p0 AS (SELECT date_trunc('hour', ts) AS ts, event_type AS asset, avg(value) AS price FROM events WHERE value > 0 GROUP BY ALL)"
 L_DAY = """p0 AS (SELECT date_trunc('day', l_shipdate) AS ts, r_name AS asset, avg(l_extendedprice) AS price FROM lineitem
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -119,6 +122,19 @@ def oracle_sql() -> dict[str, str]:
     def sweep(q: float, n: int) -> str:
         return f"({with_(*day, chunked(n), chunk_masked(1, q), OWN_MASK, solved([1]))}SELECT {n}::BIGINT AS n_chunks, {q}::DOUBLE AS q, {r9(f'avg({R2})', 'r2')}, {r9('avg(k / (n - 1))', 'r2_null')}, {r9(f'avg({R2}) / greatest(avg(k / (n - 1)), 1e-12)', 'ratio')} FROM stats)"
 
+    flat = (E_HOUR.replace("p0 AS", "pe AS"), "p0 AS (SELECT * FROM pe UNION ALL SELECT DISTINCT ts, 'flat', 2.5::DOUBLE FROM pe)", RETURNS)
+    flat_corr = CORR0.replace("corr(a.r, b.r)", "CASE WHEN 'flat' IN (a.asset, b.asset) THEN NULL ELSE corr(a.r, b.r) END").replace("asset, asset, 1.0", "asset, asset, CASE WHEN asset <> 'flat' THEN 1.0 END")
+    levels = L_DAY.replace("avg(l_extendedprice) AS price", "avg(l_extendedprice) + 1e7 AS price")
+    numbered = "r AS (SELECT pn AS rn, ts, asset, price AS r FROM p0 JOIN num USING (ts))"
+    as_levels = (levels, *RETURNS.split(",\n")[:2], numbered)
+
+    def sweep_freq(q: float, n: int) -> str:
+        return f"({with_(*day, chunked(n), chunk_masked(1, q), OWN_MASK, solved([1]))}SELECT {n}::BIGINT AS n_chunks, {q}::DOUBLE AS q, src, tgt, {r9('avg((coef <> 0)::INT)', 'freq')} FROM coefs WHERE NOT is_const GROUP BY src, tgt)"
+
+    a0, a1, a2, b1, c0, c1, c2 = THETA
+    node = "(SELECT sum(freq) FROM freq WHERE src = o.asset) + (SELECT sum(freq) FROM freq WHERE tgt = o.asset)"
+    linked = "o.asset IN (SELECT src FROM edges UNION SELECT dst FROM edges)"
+    degrees = "(SELECT count(*) FROM edges WHERE dst = o.asset) AS in_degree, (SELECT count(*) FROM edges WHERE src = o.asset) AS out_degree"
     r2_asset = f"r2 AS (SELECT tgt AS asset, CASE WHEN tss > 0 THEN 1 - rss / tss ELSE 0 END AS r2 FROM stats)"
     pooled = "pooled AS (SELECT tgt AS asset, 1 - var_pop(y - yhat) / nullif(var_pop(y), 0) AS r2 FROM fitted GROUP BY ALL)"
     return {
@@ -168,6 +184,20 @@ SELECT asset, sector, CASE WHEN sector = 'Crypto' THEN 'crypto' WHEN sector = 'U
   FROM ord o WHERE o.asset IN (SELECT src FROM edges UNION SELECT dst FROM edges)""",
         "graph_density": with_(*ten, freq, edges) + f"SELECT n AS n_nodes, e AS n_edges, {r9('e / greatest(n * (n - 1), 1)', 'density')} FROM (SELECT count(*) AS n FROM (SELECT src FROM edges UNION SELECT dst FROM edges)), (SELECT count(*) AS e FROM edges)",
         "graph_sizes": with_(*ten, freq, edges) + f"SELECT src, dst, {r9('weight', 'weight')}, {r9('0.3 + 3.5 * weight / max(weight) OVER ()', 'width')} FROM edges",
+        "log_returns_flat": with_(*flat) + f"SELECT rn, ts, asset, {r9('r', 'r')} FROM r",
+        "corr_flat": with_(*flat, flat_corr) + f"SELECT src, tgt, {r9('rho', 'rho')} FROM corr",
+        "corr_mask_flat": with_(*flat, flat_corr, masked(0.6)) + f"SELECT src, tgt, {r9('rho', 'rho')} FROM mask",
+        "corr_levels": with_(*as_levels) + " UNION ALL ".join(f"SELECT {k}::BIGINT AS lag, x.asset AS src, y.asset AS tgt, {r9('corr(x.r - 1e7, y.r - 1e7)', 'rho')} FROM r x JOIN r y ON y.rn = x.rn + {k} GROUP BY ALL" for k in (0, 1)),
+        "several_lag_scores": all_scores[-1],
+        "sweep_freq": " UNION ALL ".join(sweep_freq(q, n) for q in (0.55, 0.7) for n in (2, 5)),
+        "chunk_freq_by_sums": with_(*ten, freq) + f"SELECT src, tgt, {r9('freq', 'freq')} FROM freq",
+        "graph_sectors": with_(*ten, freq, edges) + f"SELECT o.asset, CASE WHEN o.asset < 'AS' THEN 'south' WHEN o.asset > 'EZ' THEN 'east' ELSE 'autre' END AS sector, {r9(node, 'freq')}, {degrees} FROM ord o WHERE {linked}",
+        "graph_node_sizes": with_(*ten, freq, edges, f"f AS (SELECT o.asset, {node} AS freq, {degrees} FROM ord o WHERE {linked})") + f"SELECT asset, 'autre' AS sector, {r9('freq', 'freq')}, in_degree, out_degree, {r9('50 + 800 * freq / max(freq) OVER ()', 'size')} FROM f",
+        "dynamics_given": with_(*hour, "n AS (SELECT count(*) AS n FROM ord)") + f"""SELECT CASE WHEN x.rn < floor((t - 1) * 0.9) THEN 'train' ELSE 'test' END AS split,
+  {r9(f'1 - sum((y.r - ({a0} + {a1} * x.r + {a2} * x.r ** 2 + (1 + {b1} * x.r) * 0.5 * ({c0} + {c1} * z.r + {c2} * z.r ** 2))) ** 2) / (var_pop(y.r) * count(*))', 'r2')}
+  FROM r x JOIN ord o USING (asset) JOIN ord p ON p.o = (o.o + 1) % (SELECT n FROM n) JOIN r z ON z.asset = p.asset AND z.rn = x.rn JOIN r y ON y.asset = x.asset AND y.rn = x.rn + 1, size GROUP BY 1""",
+        "csv_round_trip": with_(*hour) + f"SELECT rn, ts, asset, {r9('r', 'r')} FROM r",
+        "rolling_cached": rolling + f"SELECT w AS window_id, {COEF} FROM coefs",
         "roll_vol": with_(*day) + f"SELECT rn, ts, {r9('avg(sd)', 'vol')} FROM (SELECT rn, ts, CASE WHEN count(r) OVER w = 50 THEN stddev_samp(r) OVER w END AS sd FROM r WINDOW w AS (PARTITION BY asset ORDER BY rn ROWS 49 PRECEDING)) GROUP BY ALL",
         "bday_resample": with_(*day, """d AS (SELECT *, date_diff('day', DATE '1970-01-05', ts::DATE) AS g FROM r),
 e AS (SELECT *, (g // 7) * 5 + least(g % 7, 4) AS o FROM d), f AS (SELECT *, min(o) OVER () AS o0 FROM e), h AS (SELECT *, (o - o0) // 3 AS bin FROM f),

@@ -307,6 +307,109 @@ def hist_corr(spark, sf_dir):
     return rounded(co.histogram(co.upper_triangle(co.correlation(p), p.assets), "rho", -0.2, 1.0, 79))
 
 
+def _with_flat(spark, sf_dir):
+    """The hourly prices, and an asset whose price never changes."""
+    p = tables.event_prices(spark, sf_dir)
+    return p.unionByName(p.select("ts").distinct().select("ts", F.lit("flat").alias("asset"), F.lit(2.5).alias("price")))
+
+
+@query
+def log_returns_flat(spark, sf_dir):
+    return rounded(pa.load_panel(_with_flat(spark, sf_dir)).long())
+
+
+@query
+def corr_flat(spark, sf_dir):
+    """An asset that never changes is in the panel, and its correlations are null."""
+    return rounded(co.correlation(pa.load_panel(_with_flat(spark, sf_dir))))
+
+
+@query
+def corr_mask_flat(spark, sf_dir):
+    return rounded(co.quantile_mask(co.correlation(pa.load_panel(_with_flat(spark, sf_dir))), 0.6))
+
+
+def _levels(spark, sf_dir):
+    """Price levels far from zero."""
+    p = tables.region_prices(spark, sf_dir)
+    return pa.load_panel(p.withColumn("price", F.col("price") + 1e7), log_returns=False)
+
+
+@query
+def corr_levels(spark, sf_dir):
+    p = _levels(spark, sf_dir)
+    return rounded(co.correlation(p).select(F.lit(0).alias("lag"), "*").unionByName(co.correlation(p, 1).select(F.lit(1).alias("lag"), "*")))
+
+
+@query
+def several_lag_scores(spark, sf_dir):
+    return rounded(goodness.several_lags(goodness.lag_scores(l_day(spark, sf_dir), SPECS)))
+
+
+@query
+def sweep_freq(spark, sf_dir):
+    return rounded(stability.sweep_frequency(l_day(spark, sf_dir), 1, [0.55, 0.7], [2, 5]))
+
+
+@query
+def chunk_freq_by_sums(spark, sf_dir):
+    """Link frequencies from the chunks' moments, the way for long chunks."""
+    p = l_day(spark, sf_dir)
+    fits = stability.chunk_fits(p, 1, 0.6, 10, way="sums")
+    return rounded(stability.chunk_frequency(ar.coefficients(fits, p.assets, [1], ["window_id"])))
+
+
+def _regions(spark, sf_dir):
+    """Regions with a sector; those of the middle of the alphabet have none."""
+    names = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("asset"))
+    return names.withColumn("sector", F.when(F.col("asset") < "AS", "south").when(F.col("asset") > "EZ", "east"))
+
+
+@query
+def graph_sectors(spark, sf_dir):
+    return rounded(link_graph(l_day(spark, sf_dir), lag=1, q=0.6, n_chunks=10, sectors=_regions(spark, sf_dir)).nodes)
+
+
+@query
+def graph_node_sizes(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    return rounded(graph.visual_sizes(s.nodes, s.edges)[0])
+
+
+@query
+def dynamics_given(spark, sf_dir):
+    """In-sample and later R2 of the network model at given parameters, on a ring of the assets."""
+    p = e_hour(spark, sf_dir)
+    ring = spark.createDataFrame([(a, p.assets[(i + 1) % len(p.assets)], 0.5) for i, a in enumerate(p.assets)], "src string, tgt string, weight double")
+    found = dynamics.predicted_at(p, ring, oracles.THETA)
+    split = F.when(F.col("rn") < int((p.count() - 1) * 0.9), "train").otherwise("test")
+    return rounded(found.groupBy(split.alias("split")).agg((1 - F.try_divide(F.sum(F.pow(F.col("y") - F.col("yhat"), 2)), F.var_pop("y") * F.count("y"))).alias("r2")))
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """Prices written as a wide CSV file with a column of remarks, read again, as returns."""
+    path = prices.scratch(spark)
+    long = tables.event_prices(spark, sf_dir)
+    kinds = sorted(r[0] for r in long.select("asset").distinct().collect())
+    long.groupBy(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date")).pivot("asset", kinds).agg(F.first("price")).withColumn("remark", F.lit("1 or so")).write.option("header", True).csv(path)
+    return rounded(pa.load_panel(prices.read_wide_csv(spark, path)).long())
+
+
+@query
+def rolling_cached(spark, sf_dir):
+    """Window coefficients that the second of two runs reads from the cache."""
+    folder, p = prices.scratch(spark), e_hour(spark, sf_dir)
+    rolling_fit(p, 0.6, interval=100, clip=False, cache=folder)
+    return rounded(rolling_fit(p, 0.6, interval=100, clip=False, cache=folder).coefs.select("window_id", "src", "tgt", "is_const", "coef"))
+
+
+@query
+def var_masked_clipped(spark, sf_dir):
+    """The default: the mask of the cleaned correlations."""
+    return rounded(ar.var_masked(e_hour(spark, sf_dir), q=0.6).select("src", "tgt", "is_const", "coef"))
+
+
 @query
 def block_boot_fixed(spark, sf_dir):
     p = surrogates.block_bootstrap(e_hour(spark, sf_dir), 20, starts=oracles.STARTS)

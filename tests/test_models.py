@@ -107,8 +107,10 @@ def test_r2(spark, abc):
     r2 = goodness.r2_per_asset(abc, ar.var_masked(abc))
     by = {r["asset"]: r["r2"] for r in r2.collect()}
     assert by["B"] > 0.1 and by["C"] < 0.05 and 0 <= goodness.r2_total(r2).first()[0] <= 1
-    kinds = spark.createDataFrame([("A", "stock"), ("B", "stock"), ("C", None)], "asset string, category string")
-    assert [r["category"] for r in goodness.r2_per_category(r2, kinds).collect()] == ["stock"]
+    kinds = spark.createDataFrame([("A", "stock"), ("B", "stock"), ("C", "crypto")], "asset string, category string")
+    assert {r["category"] for r in goodness.r2_per_category(r2, kinds).collect()} == {"stock", "crypto"}
+    few = spark.createDataFrame([("A", "stock"), ("B", "stock"), ("C", None)], "asset string, category string")
+    assert [r["category"] for r in goodness.r2_per_category(r2, few).collect()] == ["stock"]  # an asset without one is left out
 
 
 def test_rolling_fit_and_its_cache(spark, tmp_path):
@@ -151,17 +153,70 @@ def test_graph_drops_isolated_assets(spark):
     assert graph.density(links).first()["density"] == 0.5
 
 
+def folds_of(x, y, n):
+    return [co.Moments.of(part) for part in np.array_split(np.c_[x, y], n)]
+
+
 def test_lasso_meets_its_conditions():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(150, 6))
-    y = x[:, 0] - 0.5 * x[:, 3] + rng.normal(0, 0.3, 150) + 2
-    const, w, alpha = ar.lasso_path(x, y, 0.1, 5, 5000, True)
+    y = np.c_[x[:, 0] - 0.5 * x[:, 3] + rng.normal(0, 0.3, 150) + 2, x[:, 5] * 3 + rng.normal(0, 1, 150)]
+    const, w, _ = ar.lasso_path(folds_of(x, y, 5), 6, 0.1, 5000, True)
     z, r = (x - x.mean(0)) / x.std(0), y - const - x @ w
-    slope = z.T @ r / len(y)
-    on = w != 0
-    assert np.allclose(slope[on], 0.1 * np.sign(w[on]), atol=1e-8) and (np.abs(slope[~on]) <= 0.1 + 1e-8).all() and 0 < on.sum() < 6
-    _, w, alpha = ar.lasso_path(x, y, None, 5, 5000, True)
-    assert 0 < alpha < 0.2 and abs(w[0] - 1) < 0.1
+    slope, on = z.T @ r / len(y), w != 0
+    assert np.allclose(slope[on], 0.1 * np.sign(w[on]), atol=1e-8) and (np.abs(slope[~on]) <= 0.1 + 1e-8).all() and 0 < on.sum() < 12
+    # Alphas by brute force: every fold held out in turn, errors from the rows.
+    _, _, alphas = ar.lasso_path(folds_of(x, y, 5), 6, None, 5000, True)
+    for j in range(2):
+        top = np.abs(z.T @ (y[:, j] - y[:, j].mean())).max() / len(y)
+        grid, errors = np.geomspace(top, top * 1e-3, 100), np.zeros(100)
+        for held in np.array_split(np.arange(150), 5):
+            rest = np.setdiff1d(np.arange(150), held)
+            zm, ym, w1 = z[rest].mean(0), y[rest, j].mean(), np.zeros((6, 1))
+            gram, xy = (z[rest] - zm).T @ (z[rest] - zm) / len(rest), (z[rest] - zm).T @ (y[rest, j] - ym)[:, None] / len(rest)
+            for a, alpha in enumerate(grid):
+                w1 = ar._descend(gram, xy, alpha, w1, 5000)
+                errors[a] += ((y[held, j] - ym - (z[held] - zm) @ w1[:, 0]) ** 2).mean()
+        assert abs(alphas[j] / grid[errors.argmin()] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e6, 1e8])
+def test_levels_far_from_zero_correlate_as_in_numpy(spark, mean):
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.normal(size=(500, 3)), 0) * 0.1 + mean
+    x[:, 1] += x[:, 0] - mean
+    p = panel(spark, x)
+    p.rows = p.rows.repartition(5)
+    assert np.allclose(co.as_matrix(co.correlation(p), p.assets, "rho"), np.corrcoef(x.T), atol=1e-9)
+    assert np.allclose(co.as_matrix(co.correlation(p, 1), p.assets, "rho"), np.corrcoef(x[:-1].T, x[1:].T)[:3, 3:], atol=1e-9)
+    # The sums' coefficients are those of the same rows without their mean, but for the intercept.
+    assert np.allclose(matrix(ar.var_full(p, way="sums"))[1:], matrix(ar.var_full(panel(spark, x - mean), way="rows"))[1:], atol=1e-6)
+
+
+def test_constant_series_have_no_place_in_a_cleaned_matrix(spark):
+    x = np.random.default_rng(9).normal(size=(300, 4)) + np.random.default_rng(10).normal(size=(300, 1)) * 2
+    x[:, 2] = 7.0
+    p = panel(spark, x)
+    out = {(r["src"], r["tgt"]): r["rho"] for r in co.rmt_clip(co.correlation(p), p.assets, 300).collect()}
+    assert all((v is None) == ("C" in k) for k, v in out.items()) and out["A", "A"] == 1
+    a = co.cleaned_adjacency(co.correlation(p), p.assets, 300)
+    assert not a[2].any() and abs(np.linalg.eigvalsh(a).max() - 1) < 1e-9
+    assert ar.var_masked(p, q=0.5).filter("coef IS NULL").count() == 0
+
+
+def test_lag_scores_are_those_of_each_regression(spark, abc):
+    x, got = driven(3000), {r["spec"]: r for r in goodness.lag_scores(abc, [[1], [3], [1, 5]]).collect()}
+    for spec in ([1], [3], [1, 5]):
+        k = max(spec)
+        d = np.c_[np.ones(3000 - k), *[x[k - s : 3000 - s] for s in spec]]
+        rss = ((x[k:] - d @ np.linalg.lstsq(d, x[k:], rcond=None)[0]) ** 2).sum(0)
+        n = 3000 - k
+        assert abs(got[str(spec)]["bic"] - (n * np.log(rss / n) + d.shape[1] * np.log(n)).mean()) < 1e-6
+
+
+def test_sweeps_by_rows_and_by_sums_agree(spark, abc):
+    read = lambda way: sorted((r["n_chunks"], r["q"], r["window_id"], r["tgt"], r["k"], round(r["rss"], 9)) for r in stability.sweep_fits(abc, 1, [0.4, 0.8], [2, 3], way).collect())
+    assert read("rows") == read("sums") and len(read("sums")) == 2 * (2 + 3) * 3
 
 
 def test_lasso_by_target(spark):
@@ -174,7 +229,8 @@ def test_surrogates_keep_what_they_should(spark):
     p = panel(spark, x)
     values = lambda q: np.array([r["x"] for r in q.rows.orderBy("rn").collect()])
     a = values(surrogates.phase_randomized(p, 3))
-    assert np.allclose(np.abs(np.fft.rfft(a, axis=0))[1:], np.abs(np.fft.rfft(x, axis=0))[1:], atol=1e-9)
+    assert np.allclose(np.abs(np.fft.rfft(a, axis=0)), np.abs(np.fft.rfft(x, axis=0)), atol=1e-9) and np.allclose(a.mean(0), x.mean(0), atol=1e-12)
+    assert np.abs(np.corrcoef(a.T, x.T)[:3, 3:]).max() < 0.3
     b = values(surrogates.iid_gaussian(p, 3))
     assert b.shape == x.shape and np.allclose(b, values(surrogates.iid_gaussian(Panel(p.rows.repartition(7), p.assets), 3)))
     assert (np.abs(b.std(0) / x.std(0) - 1) < 0.2).all()
