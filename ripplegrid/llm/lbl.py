@@ -1,14 +1,14 @@
-"""Language-model scores of a class-factored log-bilinear model, trained with noise-contrastive estimation.
-
-P(word | before) = P(class | units before) * P(unit | class, units before) * P(word | unit). The most frequent
-words and the end of a document are classes of their own; other words fall into classes by their last two bytes,
-which says much about language and word form. The number of classes grows with the root of the training
-vocabulary. A unit is a class of one word, a word of the head with at least LEAST_COUNT training occurrences,
-or what is left of a class. The CONTEXT units before are embedded, weighted by position and summed to a
-prediction; its products with the classes' vectors are normalised over all classes, those with the units'
-vectors over the class's units, and both tables are trained by NCE. The last factor, for words without a unit of
-their own, is a smoothed relative frequency, and so is the base score. The counts are of all training text; they
-are joined by shuffle, but for the most frequent words, a bounded head that every task gets.
+"""Language-model scores of a tree-factored log-bilinear model, trained with noise-contrastive estimation.
+
+A word is reached by at most three choices. The root has the most frequent words, the end of a document and CLASSES
+classes, to which other words fall by their last two bytes. Each class has its most frequent words and as many
+subclasses, by first two bytes; each subclass has all its other words of the head with LEAST_COUNT training
+occurrences, and what is left. So the words that the network tells apart grow with the training text, up to HEAD,
+while a word costs about as many products as a choice has outcomes. The CONTEXT units before (words, or what is
+left of a subclass) are embedded, weighted by position and summed to a prediction; its products with the vectors of
+a choice's outcomes, in batched matrix products, are normalised over all of them. Embeddings and outcomes are
+trained by NCE. A word in what is left of a subclass has its smoothed share of the counts there, and so is the base
+score made. The counts are of all training text, joined by shuffle but for those of the head, which every task gets.
 """
 
 from __future__ import annotations
@@ -22,91 +22,97 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, released, runs, shared_folder, written
+from .common import keyed_text, released, runs, written
 from .wordscan import Words, mixed
 
-#: Classes at least: OWN frequent words, the end, and the rest by their last bytes. Of V words, half the root of V is the number of each where that is more.
-OWN, ENDINGS = 63, 64
-CLASSES, END = OWN + 1 + ENDINGS, OWN
-CONTEXT, DIM, NOISE, BATCH, RATE, SEED = 4, 16, 48, 4096, 0.08, 7
-#: The network starts from so many training documents of at most so many characters, on the driver; then every training document is learned from once, in its task.
-START_ROWS, START_CHARS, START_EPOCHS = 300, 8_000, 2
-#: Words found less often in the training text have no vectors of their own; and words drawn from a word's class to tell it from.
-LEAST_COUNT, INNER_NOISE = 20, 4
-#: Weights that a task hands on in a row.
-SLICE = 1 << 15
-#: Most words whose counts are sent to every task (12 bytes each).
+#: Frequent words that are outcomes of the root; classes, subclasses of a class, and frequent words of a class.
+OWN, CLASSES, BRANCH = 63, 64, 64
+END, ROOT, LEAVES = OWN, OWN + 1 + CLASSES, CLASSES * BRANCH
+CONTEXT, DIM, NOISE, INNER_NOISE, BATCH, RATE, SEED = 4, 16, 48, 4, 4096, 0.08, 7
+#: Words found less often in the training text have no vectors of their own.
+LEAST_COUNT = 20
+#: Training documents are dealt to buckets of about so many tokens by a hash, at most MOST_BUCKETS; each bucket learns a share of its documents in each round, between which the buckets' networks are averaged.
+BUCKET_TOKENS, MOST_BUCKETS, ROUNDS = 16_000_000, 4096, 2
+#: Tokens of a bucket that are mixed before they are learned from.
+MIXED = 1 << 17
+#: Weights in a row of those handed on, and networks added up in a task.
+SLICE, ADDED = 1 << 16, 64
+#: Most words whose counts are sent to every task, and that have vectors (under 200 bytes each).
 HEAD = 100_000
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 
 
-class Units:
-    """class_of: the class of each unit; units below `classes` are what is left of that class, the others are words. base: natural log of each unit's smoothed count."""
+class Tree:
+    """Of each unit (own words, the end, other words with vectors, what is left of each subclass) the root's outcome and its cells, at most two; a cell is an outcome of a class's or a subclass's choice. Cells stand in the order of their nodes."""
 
-    def __init__(self, class_of: np.ndarray, base: np.ndarray, classes: int):
-        self.class_of, self.base, self.classes = class_of, base, classes
-        self.members = np.argsort(class_of, kind="stable")
-        self.sizes = np.bincount(class_of, minlength=classes)
-        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.rank = np.empty(len(class_of), np.int64)
-        self.rank[self.members] = np.arange(len(class_of)) - self.start[class_of[self.members]]
-        self.cum = np.concatenate([[0.0], np.cumsum(np.exp(base[self.members].astype(np.float64)))])
-        # log of each unit's share in its class
-        self.share = (base - np.log(np.diff(self.cum[self.start]))[class_of]).astype(np.float32)
+    def __init__(self, path: np.ndarray, node: np.ndarray, counts: np.ndarray):
+        order = np.argsort(node, kind="stable")
+        back = np.empty(len(order) + 1, np.int64)
+        back[order], back[-1] = np.arange(len(order)), -1
+        self.path = np.concatenate([path[:, :1], back[path[:, 1:]]], 1).astype(np.int32)
+        self.node, counts = node[order].astype(np.int32), np.maximum(counts[order], 0) + 0.5
+        nodes = int(node.max(initial=-1)) + 1
+        self.start = np.searchsorted(self.node, np.arange(nodes + 1))
+        self.cum = np.concatenate([[0.0], np.cumsum(counts)])
+        # log of each cell's share of its node's counts
+        self.share = np.log(counts / np.diff(self.cum[self.start])[self.node]).astype(np.float32)
 
-    @staticmethod
-    def plain(classes: int) -> Units:
-        return Units(np.arange(classes), np.zeros(classes, np.float32), classes)
-
-    def drawn(self, classes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """(classes, INNER_NOISE) units drawn by count from each class."""
-        low, high = self.cum[self.start[classes]], self.cum[self.start[classes + 1]]
-        at = np.searchsorted(self.cum, low[:, None] + rng.random((len(classes), INNER_NOISE)) * (high - low)[:, None], "right") - 1
-        return self.members[np.clip(at, self.start[classes][:, None], self.start[classes + 1][:, None] - 1)]
+    def drawn(self, cells: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """(cells, INNER_NOISE) cells drawn by count from each one's node."""
+        nodes = self.node[cells]
+        first, after = self.start[nodes], self.start[nodes + 1]
+        low, high = self.cum[first], self.cum[after]
+        at = np.searchsorted(self.cum, low[:, None] + rng.random((len(cells), INNER_NOISE)) * (high - low)[:, None], "right") - 1
+        return np.clip(at, first[:, None], after[:, None] - 1)
 
 
 @dataclass
 class Vocabulary:
-    """words: sorted hashes of words with a unit of their own, and unit: theirs; own, endings: numbers of classes; head: sorted hashes and counts of frequent words; inside: log10 of the smoothed size of what is left of each class."""
+    """head: sorted hashes of frequent words, with their counts and units (-1: none); left: log10 of the smoothed size of what is left of each subclass; root_counts: of the root's outcomes."""
 
-    words: np.ndarray
-    unit: np.ndarray
-    own: int
-    endings: int
-    units: Units
     head: np.ndarray
     head_counts: np.ndarray
-    inside: np.ndarray
-    class_counts: np.ndarray
+    head_units: np.ndarray
+    tree: Tree
+    left: np.ndarray
+    root_counts: np.ndarray
     tokens: int
     types: int
 
+    @property
+    def first_leaf(self) -> int:
+        return len(self.tree.path) - LEAVES
 
-def endings_of(words: Words) -> np.ndarray:
-    """A 15-bit hash of each word's last two bytes."""
-    last = words.bytes[words.ends - 1].astype(np.uint64)
-    before = np.where(words.ends - words.starts > 1, words.bytes[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
-    return (mixed(last << np.uint64(8) | before) & np.uint64(0x7FFF)).astype(np.int32)
 
+def leaves_of(words: Words) -> np.ndarray:
+    """The subclass of each word: hashes of its last two bytes and of its first two."""
+    last, before = words.bytes[words.ends - 1], words.bytes[np.maximum(words.ends - 2, words.starts)]
+    first, second = words.bytes[words.starts], words.bytes[np.minimum(words.starts + 1, words.ends - 1)]
+    pair = lambda a, b, n: (mixed(a.astype(np.uint64) << np.uint64(8) | b.astype(np.uint64)) >> np.uint64(20)).astype(np.int64) % n
+    return (pair(last, before, CLASSES) * BRANCH + pair(first, second, BRANCH)).astype(np.int32)
 
-def tokens_of(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, units, words before each text) of all words; ends are not among them."""
+
+def tokens_of(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, places in the head or -1, units, words before each text) of all words; ends are not among them."""
     words = Words(texts)
     names = words.hashes()
-    units = vocab.own + 1 + endings_of(words) % vocab.endings
-    if len(vocab.words):
-        place = np.minimum(np.searchsorted(vocab.words, names), len(vocab.words) - 1)
-        hit = vocab.words[place] == names
-        units[hit] = vocab.unit[place[hit]]
-    return names, units, words.first
-
-
-def with_ends(units: np.ndarray, first: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    units = vocab.first_leaf + leaves_of(words)
+    place = np.full(len(names), -1, np.int64)
+    if len(vocab.head):
+        at = np.minimum(np.searchsorted(vocab.head, names), len(vocab.head) - 1)
+        hit = np.flatnonzero(vocab.head[at] == names)
+        place[hit] = at[hit]
+        own = vocab.head_units[at[hit]]
+        units[hit] = np.where(own >= 0, own, units[hit])
+    return names, place, units.astype(np.int32), words.first
+
+
+def with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, targets, ends): the texts' units with CONTEXT ends before and one after each; where the targets stand; and how many targets there are up to each text."""
     counts = np.diff(first)
     size = counts + CONTEXT + 1
-    line = np.full(int(size.sum()), end, np.int32)
+    line = np.full(int(size.sum()), END, np.int32)
     begin = np.cumsum(size) - size
     at = np.arange(len(units)) + np.repeat(begin + CONTEXT - first[:-1], counts)
     line[at] = units
@@ -116,28 +122,38 @@ def with_ends(units: np.ndarray, first: np.ndarray, end: int = END) -> tuple[np.
     return line, np.flatnonzero(real), np.cumsum(counts + 1)
 
 
+def chosen_logs(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log10 of the normalised probability of the chosen column in each row; scores are overwritten."""
+    own = scores[np.arange(len(scores)), chosen].astype(np.float64)
+    top = scores.max(1, keepdims=True)
+    scores -= top
+    np.exp(scores, out=scores)
+    return (own - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))) / np.log(10)
+
+
 class LogBilinear:
-    """Embeddings of units before, weights of positions, vectors and biases of classes predicted and of units within their class; one flat array holds them all."""
+    """Embeddings of units before, weights of positions, and vectors and biases of the root's outcomes and of cells; one flat array holds them all."""
 
-    def __init__(self, flat: np.ndarray, units: Units):
-        self.flat, self.units = flat, units
-        u, c = len(units.class_of), units.classes
-        parts = np.split(flat, np.cumsum([u * DIM, u * DIM, u, c * DIM, CONTEXT * DIM]))
-        self.embed, self.inner, self.inner_bias = parts[0].reshape(u, DIM), parts[1].reshape(u, DIM), parts[2]
-        self.out, self.position, self.bias = parts[3].reshape(c, DIM), parts[4].reshape(CONTEXT, DIM), parts[5]
+    def __init__(self, flat: np.ndarray, tree: Tree):
+        self.flat, self.tree = flat, tree
+        u, c = len(tree.path), len(tree.node)
+        parts = np.split(flat, np.cumsum([u * DIM, c * DIM, c, ROOT * DIM, CONTEXT * DIM]))
+        self.embed, self.inner, self.inner_bias = parts[0].reshape(u, DIM), parts[1].reshape(c, DIM), parts[2]
+        self.out, self.position, self.bias = parts[3].reshape(ROOT, DIM), parts[4].reshape(CONTEXT, DIM), parts[5]
 
     @staticmethod
-    def size(units: Units) -> int:
-        return len(units.class_of) * (2 * DIM + 1) + units.classes * (DIM + 1) + CONTEXT * DIM
+    def size(tree: Tree) -> int:
+        return len(tree.path) * DIM + len(tree.node) * (DIM + 1) + ROOT * (DIM + 1) + CONTEXT * DIM
 
     @staticmethod
-    def fresh(class_counts: np.ndarray, units: Units | None = None) -> LogBilinear:
-        units = units or Units.plain(len(class_counts))
-        net = LogBilinear(np.random.default_rng(SEED).normal(0, 0.1, LogBilinear.size(units)).astype(np.float32), units)
-        net.embed[units.classes :] = net.embed[units.class_of[units.classes :]]  # a word starts as its class
-        net.inner[:], net.inner_bias[:] = 0, units.share
+    def fresh(root_counts: np.ndarray, tree: Tree) -> LogBilinear:
+        """Units that share a root outcome start with the same embedding; outcomes start at their shares of the counts."""
+        net, rng = LogBilinear(np.zeros(LogBilinear.size(tree), np.float32), tree), np.random.default_rng(SEED)
+        net.embed[:] = rng.normal(0, 0.1, (ROOT, DIM)).astype(np.float32)[tree.path[:, 0]]
+        net.out[:] = rng.normal(0, 0.1, (ROOT, DIM))
+        net.inner_bias[:] = tree.share
         net.position[:] = 1 / CONTEXT
-        net.bias[:] = np.log((class_counts + 1) / (class_counts + 1).sum())
+        net.bias[:] = np.log((root_counts + 1) / (root_counts + 1).sum())
         return net
 
     def predictions(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -147,47 +163,32 @@ class LogBilinear:
         return out
 
     def log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of the normalised probability of the class of the unit at each place."""
-        out = np.empty(len(at), np.float64)
+        """log10 of the normalised probability of the unit at each place: of the root's outcome and of its cells."""
+        tree, out = self.tree, np.empty(len(at), np.float64)
+        guess, path = self.predictions(line, at), tree.path[line[at]]
         table = np.ascontiguousarray(self.out.T)
         for i in range(0, len(at), BATCH):
-            part = at[i : i + BATCH]
-            scores = self.predictions(line, part) @ table
-            scores += self.bias
-            chosen = scores[np.arange(len(part)), self.units.class_of[line[part]]].astype(np.float64)
-            top = scores.max(1, keepdims=True)
-            scores -= top
-            np.exp(scores, out=scores)
-            out[i : i + BATCH] = (chosen - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))) / np.log(10)
-        return out
-
-    def inner_log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of the normalised probability, within its class, of the unit at each place."""
-        units, out = self.units, np.zeros(len(at), np.float64)
-        classes = units.class_of[line[at]]
-        use = np.flatnonzero(units.sizes[classes] > 1)
-        use = use[np.argsort(classes[use], kind="stable")]
-        cuts = np.searchsorted(classes[use], np.arange(units.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            rows = units.members[units.start[c] : units.start[c + 1]]
-            table, bias = np.ascontiguousarray(self.inner[rows].T), self.inner_bias[rows]
-            step = max(1, (1 << 19) // len(rows))
-            for i in range(cuts[c], cuts[c + 1], step):
-                part = use[i : min(i + step, cuts[c + 1])]
-                scores = self.predictions(line, at[part]) @ table
-                scores += bias
-                chosen = scores[np.arange(len(part)), units.rank[line[at[part]]]].astype(np.float64)
-                top = scores.max(1, keepdims=True)
-                scores -= top
-                np.exp(scores, out=scores)
-                out[part] = (chosen - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))) / np.log(10)
+            out[i : i + BATCH] = chosen_logs(guess[i : i + BATCH] @ table + self.bias, path[i : i + BATCH, 0])
+        for level in (1, 2):
+            use = np.flatnonzero(path[:, level] >= 0)
+            cells = path[use, level]
+            order = np.argsort(cells, kind="stable")
+            use, cells = use[order], cells[order]
+            cuts = np.searchsorted(cells, tree.start)
+            for n in np.flatnonzero(np.diff(cuts)):
+                a, b = tree.start[n], tree.start[n + 1]
+                vectors, bias = self.inner[a:b].T, self.inner_bias[a:b]
+                step = max(1, (1 << 19) // (b - a))
+                for i in range(cuts[n], cuts[n + 1], step):
+                    j = min(i + step, cuts[n + 1])
+                    out[use[i:j]] += chosen_logs(guess[use[i:j]] @ vectors + bias, cells[i:j] - a)
         return out
 
     def learn(self, line: np.ndarray, at: np.ndarray, seen: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-        """One Adagrad step of noise-contrastive estimation for each BATCH places: NOISE classes drawn from `noise` are told apart from the true ones, and INNER_NOISE units of its class from each true unit."""
+        """One Adagrad step of noise-contrastive estimation for each BATCH places: NOISE outcomes of the root drawn from `noise` are told apart from the true ones, and INNER_NOISE cells of its node from each true cell."""
         logs = np.log(NOISE * noise).astype(np.float32)
-        units, state, count = self.units, LogBilinear(seen, self.units), self.units.classes
-        dims, index = np.arange(DIM), np.zeros(len(units.class_of), np.int64)
+        tree, state, dims = self.tree, LogBilinear(seen, self.tree), np.arange(DIM)
+        index = np.zeros(max(len(tree.path), len(tree.node)), np.int64)
         summed = lambda ids, values, n: np.bincount((ids[:, None] * DIM + dims).ravel(), values.ravel(), n * DIM).reshape(n, DIM)
 
         def places(ids):
@@ -203,32 +204,38 @@ class LogBilinear:
             old[rows] += g * g
             own[rows] -= RATE * g / np.sqrt(old[rows] + 1e-8)
 
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         every = slice(None)
         for i in range(0, len(at), BATCH):
             part = at[i : i + BATCH]
-            target = line[part]
-            true, drawn = units.class_of[target], rng.choice(count, NOISE, p=noise)
+            path = tree.path[line[part]]
+            true, drawn = path[:, 0], rng.choice(ROOT, NOISE, p=noise)
             before = [line[part - 1 - k] for k in range(CONTEXT)]
             guess = self.predictions(line, part)
-            good = (guess * self.out[true]).sum(1) + self.bias[true] - logs[true]
-            bad = guess @ self.out[drawn].T + (self.bias - logs)[drawn]
-            to_good = -1 / (1 + np.exp(np.clip(good, -30, 30)))
-            to_bad = 1 / (1 + np.exp(-np.clip(bad, -30, 30)))
+            to_good = sigmoid((guess * self.out[true]).sum(1) + self.bias[true] - logs[true]) - 1
+            to_bad = sigmoid(guess @ self.out[drawn].T + (self.bias - logs)[drawn])
             to_guess = to_good[:, None] * self.out[true] + to_bad @ self.out[drawn]
-            out = summed(true, to_good[:, None] * guess, count)
+            out = summed(true.astype(np.int64), to_good[:, None] * guess, ROOT)
             np.add.at(out, drawn, to_bad.T @ guess)
-            bias = np.bincount(true, to_good, count) + np.bincount(drawn, to_bad.sum(0), count)
-            many = np.flatnonzero(units.sizes[true] > 1)
-            if len(many):
-                ids = np.concatenate([target[many, None], units.drawn(true[many], rng)], 1)  # the true unit first
-                own, vectors = guess[many], self.inner[ids]
-                logit = np.einsum("td,tkd->tk", own, vectors) + self.inner_bias[ids] - units.share[ids] - np.float32(np.log(INNER_NOISE))
-                slope = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-                slope[:, 0] -= 1
-                to_guess[many] += np.einsum("tk,tkd->td", slope, vectors)
-                rows, back = places(ids.ravel())
-                step(self.inner, state.inner, rows, summed(back, slope[:, :, None] * own[:, None, :], len(rows)))
-                step(self.inner_bias, state.inner_bias, rows, np.bincount(back, slope.ravel(), len(rows)))
+            bias = np.bincount(true, to_good, ROOT) + np.bincount(drawn, to_bad.sum(0), ROOT)
+            ids_of, slopes, guesses = [], [], []
+            for level in (1, 2):
+                use = np.flatnonzero(path[:, level] >= 0)
+                if len(use):
+                    cells = path[use, level]
+                    ids = np.concatenate([cells[:, None], tree.drawn(cells, rng)], 1)  # the true cell first
+                    own, vectors = guess[use], self.inner[ids]
+                    slope = sigmoid(np.einsum("td,tkd->tk", own, vectors) + self.inner_bias[ids] - tree.share[ids] - np.float32(np.log(INNER_NOISE)))
+                    slope[:, 0] -= 1
+                    to_guess[use] += np.einsum("tk,tkd->td", slope, vectors)
+                    ids_of.append(ids.ravel())
+                    slopes.append(slope.ravel())
+                    guesses.append(np.repeat(own, INNER_NOISE + 1, 0))
+            if ids_of:
+                rows, back = places(np.concatenate(ids_of))
+                slope = np.concatenate(slopes)
+                step(self.inner, state.inner, rows, summed(back, slope[:, None] * np.concatenate(guesses), len(rows)))
+                step(self.inner_bias, state.inner_bias, rows, np.bincount(back, slope, len(rows)))
             rows, back = places(np.concatenate(before))
             embed = summed(back, np.concatenate([to_guess * self.position[k] for k in range(CONTEXT)]), len(rows))
             position = np.stack([(to_guess * self.embed[ids]).sum(0) for ids in before])
@@ -244,23 +251,22 @@ def is_training(key: str):
 
 
 def count_words(train: DataFrame, text: str) -> DataFrame:
-    """(h, ending, c): hash of each word, that of its ending, its count; each task sums its own first."""
+    """(h, leaf, c): hash of each word, its subclass, its count; each task sums its own first."""
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, size = [], 0
 
         def handed_on():
-            names, endings, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
+            names, leaves, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
             h, at, back = np.unique(names, return_index=True, return_inverse=True)
-            c = np.bincount(back, counts).astype(np.int64)
-            return h, endings[at], c
+            return h, leaves[at], np.bincount(back, counts).astype(np.int64)
 
         for batch in released(batches):
             for a, b in runs(batch[text]):
                 words = Words(batch[text].iloc[a:b].tolist())
-                names, endings = words.hashes(), endings_of(words)
+                names, leaves = words.hashes(), leaves_of(words)
                 h, at, c = np.unique(names, return_index=True, return_counts=True)
-                kept.append((h, endings[at], c))
+                kept.append((h, leaves[at], c))
                 size += len(h)
                 if size > 2 * FLUSH:
                     kept = [handed_on()]
@@ -271,14 +277,14 @@ def count_words(train: DataFrame, text: str) -> DataFrame:
         if kept:
             yield frame(*handed_on())
 
-    def frame(h, endings, c):
-        return pd.DataFrame({"h": h.view(np.int64), "ending": endings, "c": c})
+    def frame(h, leaves, c):
+        return pd.DataFrame({"h": h.view(np.int64), "leaf": leaves, "c": c})
 
-    return train.select(text).mapInPandas(work, "h long, ending int, c long").groupBy("h").agg(F.max("ending").alias("ending"), F.sum("c").alias("c"))
+    return train.select(text).mapInPandas(work, "h long, leaf int, c long").groupBy("h").agg(F.max("leaf").alias("leaf"), F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
-    """Sums over all counts, and the head; the driver gets at most HEAD words and a histogram of the counts by powers of 2 ** 0.25."""
+    """Sums over all counts, the head and the tree; the driver gets at most HEAD words, a histogram of the counts by powers of 2 ** 0.25 and a row a subclass."""
     step = F.floor(F.log2("c") * 4).cast("int")
     steps = {r["s"]: r["n"] for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total, from_step = 0, 0
@@ -287,75 +293,105 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
         if total > HEAD:
             from_step = s + 1
             break
-    head = counts.withColumn("s", step).filter(F.col("s") >= from_step).select("h", "c", "ending").toPandas()
+    head = counts.withColumn("s", step).filter(F.col("s") >= from_step).select("h", "c", "leaf").toPandas()
     head = head.sort_values(["c", "h"], ascending=[False, True])
-    half = int(sum(steps.values()) ** 0.5 / 2)
-    own, endings = max(OWN, half), max(ENDINGS, half)
-    classes, end = own + 1 + endings, own
-    sums = counts.groupBy((F.col("ending") % endings).alias("class")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toPandas()
-    c, n = np.zeros(classes), np.zeros(classes)
-    at = own + 1 + sums["class"].to_numpy(np.int64)
-    c[at], n[at] = sums["c"], sums["n"]
-    tokens, types = int(c.sum()) + documents, int(n.sum()) + (documents > 0)
-    names, many = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
-    of = own + 1 + head["ending"].to_numpy(np.int64) % endings
-    first = min(own, len(head))
-    # The own words leave their ending's class.
-    np.subtract.at(c, of[:first], many[:first])
-    np.subtract.at(n, of[:first], 1)
-    c[:first], c[end] = many[:first], documents
-    # The words with vectors stay in it, but not in what is left of it.
-    last = max(first, int((many >= LEAST_COUNT).sum()))
-    left, left_n = c.copy(), n.copy()
-    np.subtract.at(left, of[first:last], many[first:last])
-    np.subtract.at(left_n, of[first:last], 1)
-    inside = np.zeros(classes)
-    inside[own + 1 :] = np.log10(left[own + 1 :] + 0.5 * (left_n[own + 1 :] + 1))
-    units = Units(np.concatenate([np.arange(classes), of[first:last]]), np.concatenate([inside * np.log(10), np.log(many[first:last] + 0.5)]).astype(np.float32), classes)
-    words, unit = names[:last], np.concatenate([np.arange(first), classes + np.arange(last - first)])
-    by_word, by_hash = np.argsort(words), np.argsort(names)
-    return Vocabulary(words[by_word], unit[by_word].astype(np.int32), own, endings, units, names[by_hash], many[by_hash], inside, c, tokens, types)
+    sums = counts.groupBy("leaf").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toPandas()
+    left, left_n = np.zeros(LEAVES), np.zeros(LEAVES)
+    left[sums["leaf"]], left_n[sums["leaf"]] = sums["c"], sums["n"]
+    tokens, types = int(left.sum()) + documents, int(left_n.sum()) + (documents > 0)
+    names, many, leaf = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), head["leaf"].to_numpy(np.int64)
+    own = min(OWN, len(head))
+    last = max(own, int((many >= LEAST_COUNT).sum()))
+    # Words with vectors leave what is left of their subclass.
+    np.subtract.at(left, leaf[:last], many[:last])
+    np.subtract.at(left_n, leaf[:last], 1)
+    ranks = np.arange(own, last)
+    of_class = leaf[own:last] // BRANCH
+    by_class = np.argsort(of_class, kind="stable")
+    first = np.searchsorted(of_class[by_class], np.arange(CLASSES))
+    place = np.empty(len(ranks), np.int64)
+    place[by_class] = np.arange(len(ranks)) - first[of_class[by_class]]  # by frequency within the class
+    high, low = ranks[place < BRANCH], ranks[place >= BRANCH]
+    # Cells: subclasses of classes, frequent words of classes, other words of subclasses, what is left of subclasses.
+    below = left.copy()
+    np.add.at(below, leaf[low], many[low])
+    node = np.concatenate([np.repeat(np.arange(CLASSES), BRANCH), leaf[high] // BRANCH, CLASSES + leaf[low], CLASSES + np.arange(LEAVES)])
+    cell_counts = np.concatenate([below, many[high], many[low], left])
+    path = np.full((OWN + 1 + len(ranks) + LEAVES, 3), -1, np.int64)
+    path[: OWN + 1, 0] = np.arange(OWN + 1)
+    unit = np.full(len(head), -1, np.int64)
+    unit[:own], unit[high], unit[low] = np.arange(own), END + 1 + np.arange(len(high)), END + 1 + len(high) + np.arange(len(low))
+    path[unit[high], 0], path[unit[high], 1] = END + 1 + leaf[high] // BRANCH, LEAVES + np.arange(len(high))
+    path[unit[low], 0], path[unit[low], 1], path[unit[low], 2] = END + 1 + leaf[low] // BRANCH, leaf[low], LEAVES + len(high) + np.arange(len(low))
+    leaves = np.arange(LEAVES)
+    chosen = np.bincount(leaf[low], minlength=LEAVES) > 0  # else there is nothing to choose between
+    path[len(path) - LEAVES :] = np.stack([END + 1 + leaves // BRANCH, leaves, np.where(chosen, LEAVES + len(ranks) + leaves, -1)], 1)
+    root = np.zeros(ROOT)
+    root[:own], root[END] = many[:own], documents
+    np.add.at(root, END + 1 + of_class, many[own:last])
+    np.add.at(root, END + 1 + leaves // BRANCH, left)
+    by_hash = np.argsort(names)
+    return Vocabulary(names[by_hash], many[by_hash], unit[by_hash], Tree(path, node, cell_counts), np.log10(left + 0.5 * (left_n + 1)), root, tokens, types)
 
 
 def trained_network(train: DataFrame, vocab: Vocabulary, key: str, text: str) -> LogBilinear:
-    """Starts on the driver from a bounded sample, then learns from every training document in its task; the tasks' networks are averaged by their tokens."""
-    spark = train.sparkSession
-    noise = (vocab.class_counts + 1) ** 0.75
+    """Learned from every training document; the same on any partitioning, as documents are dealt and ordered by hashes of id and text."""
+    spark = train.sparkSession.sparkContext
+    noise = (vocab.root_counts + 1) ** 0.75
     noise /= noise.sum()
-    net, rng = LogBilinear.fresh(vocab.class_counts, vocab.units), np.random.default_rng(SEED)
-    # Ids are chosen first, as every task sends its own candidates to the driver.
-    short = train.filter(F.length(text) <= START_CHARS)
-    chosen = short.select(key).dropna().distinct().orderBy(F.xxhash64(F.lit("start"), F.col(key)), key).limit(START_ROWS)
-    some = short.join(F.broadcast(chosen), key, "left_semi").select(key, text).toPandas().sort_values([key, text], ignore_index=True)
-    seen = np.zeros(len(net.flat), np.float32)
-    for _ in range(START_EPOCHS if len(some) else 0):
-        _, units, first = tokens_of(some[text].tolist(), vocab)
-        line, at, _ = with_ends(units, first, vocab.own)
-        net.learn(line, rng.permutation(at), seen, noise, rng)
-    shared = spark.sparkContext.broadcast((net.flat, seen, noise, vocab))
+    net = LogBilinear.fresh(vocab.root_counts, vocab.tree)
+    words = spark.broadcast(vocab)
+    buckets = min(max(1, -(-vocab.tokens // BUCKET_TOKENS)), MOST_BUCKETS)
 
-    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, seen, noise, vocab = shared.value
-        part = TaskContext.get().partitionId()
-        net, seen, rng, n = LogBilinear(flat.copy(), vocab.units), seen.copy(), np.random.default_rng(part), 0
+    def coded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in released(batches):
             for a, b in runs(batch[text]):
-                _, units, first = tokens_of(batch[text].iloc[a:b].tolist(), vocab)
-                line, at, _ = with_ends(units, first, vocab.own)
-                net.learn(line, rng.permutation(at), seen, noise, rng)
-                n += len(at)
-        for i in range(0, len(net.flat) if n else 0, SLICE):
-            yield pd.DataFrame({"g": [i], "n": [n], "weights": [net.flat[i : i + SLICE].tobytes()]})
+                _, _, units, first = tokens_of(batch[text].iloc[a:b].tolist(), words.value)
+                yield pd.DataFrame({"h": batch["h"].iloc[a:b], "units": [units[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]})
 
-    def averaged(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(group["weights"], group["n"], strict=True))
-        return pd.DataFrame({"g": [int(group["g"].iloc[0])], "n": [int(group["n"].sum())], "weights": [(total / group["n"].sum()).astype(np.float32).tobytes()]})
+    named = train.select(F.xxhash64(key, text).alias("h"), text)
+    lines = written(named.mapInPandas(coded, "h long, units binary"))
+    for turn in range(ROUNDS):
+        start = spark.broadcast(net.flat)
 
-    schema = "g int, n long, weights binary"
-    parts = train.select(text).mapInPandas(work, schema).groupBy("g").applyInPandas(averaged, schema).collect()  # one network
-    if not parts:
-        return net
-    return LogBilinear(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(parts, key=lambda r: r["g"])]), vocab.units)
+        def learned(batches: Iterable[pd.DataFrame], start=start, turn=turn) -> Iterator[pd.DataFrame]:
+            net, rng = None, np.random.default_rng([SEED, turn, TaskContext.get().partitionId()])
+            held, size, n = [], 0, 0
+
+            def taken():
+                first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+                line, at, _ = with_ends(np.concatenate(held), first)
+                net.learn(line, rng.permutation(at), seen, noise, rng)
+                return len(at)
+
+            for batch in released(batches):
+                if net is None and len(batch):
+                    net, seen = LogBilinear(start.value.copy(), words.value.tree), np.zeros(len(start.value), np.float32)
+                for units in batch["units"]:
+                    held.append(np.frombuffer(units, np.int32))
+                    size += len(held[-1]) + 1
+                    if size >= MIXED:
+                        n, held, size = n + taken(), [], 0
+            if held:
+                n += taken()
+            for i in range(0, len(net.flat) if n else 0, SLICE):
+                yield pd.DataFrame({"g": [i], "bucket": [TaskContext.get().partitionId()], "n": [n], "weights": [net.flat[i : i + SLICE].tobytes()]})
+
+        def averaged(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("bucket")
+            total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(group["weights"], group["n"], strict=True))
+            return pd.DataFrame({"g": [int(group["g"].iloc[0])], "bucket": [int(group["bucket"].iloc[0])], "n": [int(group["n"].sum())], "weights": [(total / group["n"].sum()).astype(np.float32).tobytes()]})
+
+        schema = "g int, bucket int, n long, weights binary"
+        own = lines.filter(F.pmod(F.xxhash64(F.lit("round"), "h"), F.lit(ROUNDS)) == turn)
+        dealt = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "h"), F.lit(buckets)).cast("int"))
+        parts = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("h", "units").select("units").mapInPandas(learned, schema)
+        if buckets > 1:  # in two steps, so that no task gets a slice of every bucket
+            parts = parts.withColumn("many", F.floor(F.col("bucket") / ADDED)).groupBy("g", "many").applyInPandas(lambda d: averaged(d), schema)
+        found = parts.groupBy("g").applyInPandas(averaged, schema).collect()  # one network
+        if found:
+            net = LogBilinear(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["g"])]), vocab.tree)
+    return net
 
 
 def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,20 +412,19 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, flat = shared.value
-        net, uid = LogBilinear(flat, vocab.units), TaskContext.get().partitionId() << 40
-        end_log = np.log10(vocab.class_counts[vocab.own] + 0.5)
+        net, uid = LogBilinear(flat, vocab.tree), TaskContext.get().partitionId() << 40
+        end_log = np.log10(vocab.root_counts[END] + 0.5)
         for batch in released(batches):
             for a, b in runs(batch[text]):
-                names, units, first = tokens_of(batch[text].iloc[a:b].tolist(), vocab)
-                line, at, ends = with_ends(units, first, vocab.own)
+                names, place, units, first = tokens_of(batch[text].iloc[a:b].tolist(), vocab)
+                line, at, ends = with_ends(units, first)
                 of = np.repeat(np.arange(b - a), np.diff(first))
                 summed = lambda v, of=of, n=b - a: np.bincount(of, v, n)
-                place = np.minimum(np.searchsorted(vocab.head, names), max(len(vocab.head) - 1, 0))
-                hit = vocab.head[place] == names if len(vocab.head) else np.zeros(len(names), bool)
+                hit = place >= 0
                 logs = np.zeros(len(names))
                 logs[hit] = np.log10(vocab.head_counts[place[hit]] + 0.5)
-                left = (units > vocab.own) & (units < vocab.units.classes)  # words without a unit of their own
-                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(line, at) + net.inner_log_probs(line, at))])
+                leaf = units - vocab.first_leaf  # not negative: a word without a unit of its own
+                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(line, at))])
                 ends = np.concatenate([[0], ends])
                 # Words beyond the head, with how often each text has them; their counts are joined later.
                 rest = np.flatnonzero(~hit)
@@ -400,15 +435,15 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
                 cuts = np.searchsorted(t[begin], np.arange(b - a + 1))
                 yield pd.DataFrame(
                     {
-                        "uid": uid + np.arange(b - a), key: batch[key].iloc[a:b].to_numpy(), "n": np.diff(first) + 1, "known": summed(hit).astype(np.int64) + (vocab.class_counts[vocab.own] > 0), "logs": summed(logs) + end_log,
-                        "model": np.diff(sums[ends]) + summed(np.where(left, logs - vocab.inside[np.where(left, units, 0)], 0.0)),
+                        "uid": uid + np.arange(b - a), key: batch[key].iloc[a:b].to_numpy(), "n": np.diff(first) + 1, "known": summed(hit).astype(np.int64) + (vocab.root_counts[END] > 0), "logs": summed(logs) + end_log,
+                        "model": np.diff(sums[ends]) + summed(np.where(leaf >= 0, logs - vocab.left[np.maximum(leaf, 0)], 0.0)),
                         "h": [h[begin[i:j]] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "tf": [tf[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)],
                     }
                 )
                 uid += b - a
 
     kind = rows.schema[key].dataType.simpleString()
-    part = written(rows.mapInPandas(work, f"uid long, {key} {kind}, n long, known long, logs double, model double, h array<long>, tf array<int>"), shared_folder(spark))
+    part = written(rows.mapInPandas(work, f"uid long, {key} {kind}, n long, known long, logs double, model double, h array<long>, tf array<int>"))
     rare = part.filter(F.size("h") > 0).select("uid", F.explode(F.arrays_zip("h", "tf")).alias("w")).select("uid", "w.h", "w.tf")
     joined = rare.join(counts.select("h", "c"), "h", "left")
     more = joined.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more_logs"))

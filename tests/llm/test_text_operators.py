@@ -263,12 +263,90 @@ def test_language_model_scores(docs, none, sample, monkeypatch):
     assert lbl.score_documents(none).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    net = lbl.LogBilinear.fresh(np.arange(lbl.CLASSES))
-    line = np.tile(np.arange(lbl.CONTEXT + 1, dtype=np.int16), (lbl.CLASSES, 1))
-    line[:, -1] = np.arange(lbl.CLASSES)
-    at = np.arange(lbl.CLASSES) * (lbl.CONTEXT + 1) + lbl.CONTEXT
-    assert abs((10 ** net.log_probs(line.ravel(), at)).sum() - 1) < 1e-5
+def small_vocabulary(spark, n=500):
+    """Words that all end alike, so that one class has more than it holds itself."""
+    rng = np.random.default_rng(0)
+    words = [f"{chr(97 + k % 26)}{chr(97 + k % 7)}{k}zz" for k in range(n)]
+    texts = [" ".join(rng.choice(words, 400, p=(w := 1 / np.arange(5, n + 5)) / w.sum())) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    return texts, lbl.vocabulary(lbl.count_words(docs, "text"), len(texts))
+
+
+def test_units_and_what_is_left_share_all_probability(spark):
+    """Over all units the probabilities add up to 1, whatever stands before; those of the words left of a subclass add up to its own."""
+    texts, vocab = small_vocabulary(spark)
+    tree = vocab.tree
+    net = lbl.LogBilinear.fresh(vocab.root_counts, tree)
+    net.flat[:] = np.random.default_rng(1).normal(0, 0.5, len(net.flat))
+    assert (tree.path[:, 2] >= 0).any() and len(tree.path) > 100
+    for before in ([0, 1, 2, 3], [lbl.END] * 4, [len(tree.path) - 1, 7, 7, 30]):
+        line = np.array([x for u in range(len(tree.path)) for x in (*before, u)], np.int32)
+        p = 10 ** net.log_probs(line, np.arange(len(tree.path)) * 5 + 4)
+        assert abs(p.sum() - 1) < 1e-5
+    counts = collections.Counter(w for t in texts for w in t.split())
+    _, place, units, _ = lbl.tokens_of([" ".join(counts)], vocab)
+    left = collections.Counter()
+    for w, u in zip(counts, units, strict=True):
+        if u >= vocab.first_leaf:
+            left[u - vocab.first_leaf] += counts[w] + 0.5
+    assert left and all(abs(math.log10(v + 0.5) - vocab.left[k]) < 1e-9 for k, v in left.items())  # 0.5 is for all others
+
+
+def test_scores_are_the_networks(spark, monkeypatch):
+    """A document's score from the network's weights, by loops."""
+    texts, vocab = small_vocabulary(spark)
+    kept = {}
+    real = lbl.trained_network
+    monkeypatch.setattr(lbl, "trained_network", lambda *a: kept.setdefault("net", real(*a)))
+    free = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1][: len(texts)]
+    docs = spark.createDataFrame([*zip(free, texts, strict=True), (5001, "aa0zz zz0 unseen Words aa0zz"), (5002, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["score"] for r in lbl.score_documents(docs).collect()}
+    net, tree = kept["net"], kept["net"].tree
+    train = [t.lower() for i, t in [*zip(free, texts, strict=True), (5001, "aa0zz zz0 unseen Words aa0zz"), (5002, "")] if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = collections.Counter(w for t in train for w in t.split())
+    vocab = lbl.vocabulary(lbl.count_words(docs.filter(lbl.is_training("doc_id")), "text"), len(train))
+
+    def chosen(guess, vectors, bias, at):
+        scores = [float(guess @ v) + float(b) for v, b in zip(vectors, bias, strict=True)]
+        return scores[at] - math.log(sum(map(math.exp, scores)))
+
+    for i, t in [*list(zip(free, texts, strict=True))[:3], (5001, "aa0zz zz0 unseen Words aa0zz"), (5002, "")]:
+        words = t.lower().split()
+        units = [*(lbl.tokens_of([t], vocab)[2].tolist() if words else []), lbl.END]
+        total = 0.0
+        for k, u in enumerate(units):
+            before = [units[k - 1 - j] if k - 1 - j >= 0 else lbl.END for j in range(lbl.CONTEXT)]
+            guess = sum(net.embed[x].astype(float) * net.position[j] for j, x in enumerate(before))
+            total += chosen(guess, net.out, net.bias, tree.path[u, 0])
+            for cell in tree.path[u, 1:]:
+                if cell >= 0:
+                    a, b = tree.start[tree.node[cell]], tree.start[tree.node[cell] + 1]
+                    total += chosen(guess, net.inner[a:b], net.inner_bias[a:b], cell - a)
+            if u >= vocab.first_leaf:
+                total += math.log(counts[words[k]] + 0.5) - math.log(10) * vocab.left[u - vocab.first_leaf]
+        assert abs(rows[i] - total / math.log(10)) < 1e-3
+
+
+def test_scores_are_the_same_on_any_partitioning(sample, monkeypatch):
+    monkeypatch.setattr(lbl, "BUCKET_TOKENS", 100_000)  # several buckets
+    part = sample.limit(300)
+    few, many = ({r["doc_id"]: r["score"] for r in lbl.score_documents(part.repartition(n)).collect()} for n in (2, 16))
+    assert all(abs(few[k] - many[k]) < 1e-6 * abs(few[k]) for k in few)
+
+
+def test_learning_makes_true_units_likelier(spark):
+    """Words in fixed pairs: on the places learned from, probabilities rise beyond those of the counts."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"a{k}zz b{k}zz" for k in rng.integers(0, 40, 300)) for _ in range(20)]
+    vocab = lbl.vocabulary(lbl.count_words(spark.createDataFrame([(t,) for t in texts], "text string"), "text"), len(texts))
+    net = lbl.LogBilinear.fresh(vocab.root_counts, vocab.tree)
+    seen = np.zeros(len(net.flat), np.float32)
+    _, _, units, first = lbl.tokens_of(texts, vocab)
+    line, at, _ = lbl.with_ends(units, first)
+    was, noise = net.log_probs(line, at).mean(), (vocab.root_counts + 1) ** 0.75
+    for _ in range(60):
+        net.learn(line, at, seen, noise / noise.sum(), rng)
+    assert net.log_probs(line, at).mean() > was + 0.2
 
 
 def test_language_model_learns_words_outside_the_frequent_ones(spark):
@@ -287,16 +365,6 @@ def test_language_model_learns_words_outside_the_frequent_ones(spark):
     assert score[held[0]] > score[held[1]] + 10
 
 
-def test_unit_probabilities_sum_to_one_in_each_class():
-    units = lbl.Units(np.array([0, 1, 2, 2, 2, 1]), np.log(np.array([1, 2, 3, 4, 5, 6], np.float32)), 3)
-    net = lbl.LogBilinear.fresh(np.ones(3), units)
-    net.inner[:] = np.random.default_rng(0).normal(size=net.inner.shape)
-    line = np.tile(np.arange(lbl.CONTEXT + 1, dtype=np.int32), (6, 1))
-    line[:, -1] = np.arange(6)
-    at = np.arange(6) * (lbl.CONTEXT + 1) + lbl.CONTEXT
-    assert abs((10 ** (net.log_probs(line.ravel(), at) + net.inner_log_probs(line.ravel(), at))).sum() - 1) < 1e-5
-
-
 def test_quality_learns_from_all_trusted_labels(spark):
     ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]  # the fold kept for evaluation
     docs = spark.createDataFrame([(i, f"the cat number {i} sat on a mat", "en") for i in ids] + [(1000, "#9 @@ zq!! XJ", "en")], "doc_id long, text string, lang string")
