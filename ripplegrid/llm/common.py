@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a worker handles at a time; a longer text is handled alone.
@@ -24,12 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in local tests, a temporary folder is made and set.
+    Only on a local master, as in tests, a temporary folder stands in where that setting is missing.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or _OWN.get(context.applicationId)
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ripplegrid-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         context.setCheckpointDir(base)
         _OWN[context.applicationId] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -42,20 +47,45 @@ _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """The rows of df, written to the shared folder and read again: cuts the lineage, survives lost executors. erased() deletes them."""
     spark = df.sparkSession
     path = path or shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def erased(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets Python workers get at most BATCH_ROWS texts at a time, unless the session asks for fewer."""
+    """Lets Python workers get at most BATCH_ROWS texts at a time, unless the session asks for fewer: for queries and jobs, which own their session. Operators leave it alone; Spark's own bound, in bytes, holds for them in any case."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Rows up to which what is left out of a table is sent to every task (16 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, rows: DataFrame, key: str, tag: Column) -> DataFrame:
+    """docs less the rows whose key and tag, a hash of what else tells them apart, are in rows (k, t). Up to BROADCAST_ROWS of them go to every task, and no text is shuffled; beyond that, rows are matched by shuffle."""
+    gone = written(rows.select("k", "t").distinct())
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(few, docs[key].eqNullSafe(few["k"]) & (tag == few["t"]), "left_anti")
+
+
 def released(batches: Iterable, using: str = "words") -> Iterator:
     """The batches, for work that uses one of the tables in HELD. Workers live on between tasks: so they drop the other tables first, and after each batch give unused memory back to the system."""
     for name, drop in HELD.items():
@@ -75,7 +105,6 @@ def tasks(spark: SparkSession) -> int:
 
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone; a null text counts as empty."""
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
