@@ -3,11 +3,15 @@
 Equal vectors are one point of the index, with their smallest ids, so a vector that fills a third of the
 table costs no more than any other. Points are dealt to shards by hash; in a shard, greedy searches propose
 each point's neighbours, and pruning with a relaxed distance keeps those that no kept one stands in for. A
-query's beams search every shard, and the best of all are scored in double precision.
+query's beams search every shard, and the best of all are scored in double precision. A shard's task reads its part
+of the index once and then the queries batch by batch, so the index is never copied and memory doesn't grow with
+the queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,14 +20,15 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Points of a shard on average, edges of a point, beam widths of building and of searching, relaxations of the two passes.
-SHARD, DEGREE, BUILD_BEAM, BEAM, RELAXED = 2048, 24, 48, 128, (1.0, 1.2)
-#: Queries searched in a shard at once; entry points beside the central one.
-QUERIES, ENTRIES, AT_ONCE = 2048, 7, 256
+SHARD, DEGREE, BUILD_BEAM, BEAM, RELAXED = 100_000, 32, 48, 128, (1.0, 1.2)
+#: Entry points beside the central one; points and queries handled together.
+ENTRIES, AT_ONCE = 7, 256
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    v = vectors.astype(np.float64)
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    """Vectors of length 1, in double precision whatever their size."""
+    v = vectors / np.abs(vectors).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def entries(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -32,8 +37,8 @@ def entries(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.unique(np.append(rng.integers(0, len(points), ENTRIES), middle)).astype(np.int32)
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, begin: np.ndarray, queries: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, likeness) of the `width` points found nearest to each query, best first; -1 where there are fewer. Each round follows the edges of the `step` best points not yet followed."""
+def beam_search(points: np.ndarray, graph: np.ndarray, begin: np.ndarray, queries: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, likeness, visits) of the `width` points found nearest to each query, best first, -1 where there are fewer, and how many were looked at. Each round follows the edges of the `step` best points not yet followed."""
     b, n = len(queries), len(points)
     ids = np.full((b, width), -1, np.int32)
     near = np.full((b, width), -np.inf, np.float32)
@@ -75,7 +80,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, begin: np.ndarray, querie
         all_done = np.concatenate([followed[rows], np.zeros(new.shape, bool)], 1)
         best = np.argsort(-all_near, 1, kind="stable")[:, :width]
         ids[rows], near[rows], followed[rows] = (np.take_along_axis(x, best, 1) for x in (all_ids, all_near, all_done))
-    return ids, near
+    return ids, near, seen.sum(1)
 
 
 def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, relaxed: float, degree: int) -> np.ndarray:
@@ -111,7 +116,7 @@ def build_graph(points: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarr
     graph = rng.integers(0, n, (n, DEGREE)).astype(np.int32)
     for relaxed in RELAXED:
         for own in np.array_split(rng.permutation(n).astype(np.int32), -(-n // AT_ONCE)):
-            found, _ = beam_search(points, graph, begin, points[own], BUILD_BEAM)
+            found, _, _ = beam_search(points, graph, begin, points[own], BUILD_BEAM)
             graph[own] = robust_prune(points, own, np.concatenate([found, graph[own]], 1), relaxed, DEGREE)
             # Every edge is offered in the other direction; full points prune again.
             src, dst = np.repeat(own, DEGREE), graph[own].ravel()
@@ -130,19 +135,59 @@ def build_graph(points: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarr
     return graph, begin
 
 
-def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    q, v = query.astype(np.float64), vectors.astype(np.float64)
-    return (v * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(1)))
-
-
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of rows with an id and a finite vector that isn't zero."""
+    """(id, v) of rows with an id and a finite vector that isn't zero, in double precision."""
     v = F.col("v")
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull())
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull())
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
 
 
+def stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+INDEX = "shard int, dim int, ids binary, sizes binary, points binary, graph binary, entries binary"
+
+
+class Shard:
+    """A shard's part of the index, read from its row."""
+
+    def __init__(self, row):
+        self.own = np.frombuffer(row["points"], np.float64).reshape(-1, int(row["dim"]))
+        self.graph, self.begin = np.frombuffer(row["graph"], np.int32).reshape(len(self.own), -1), np.frombuffer(row["entries"], np.int32)
+        self.sizes, self.ids = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["ids"], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.units = unit(self.own)
+        self.points = self.units.astype(np.float32)
+
+    @staticmethod
+    def row(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep")
+        own = stacked(group["v"])
+        graph, begin = build_graph(unit(own).astype(np.float32))
+        ids = [np.asarray(x, np.int64).tobytes() for x in group["ids"]]
+        sizes = np.array([len(x) // 8 for x in ids], np.int32)
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "dim": [group["dim"].iloc[0]], "ids": [b"".join(ids)], "sizes": [sizes.tobytes()], "points": [own.tobytes()], "graph": [graph.tobytes()], "entries": [begin.tobytes()]})
+
+    def nearest(self, names: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+        """(q, id, score): the k + 1 nearest points found to each query with all ids that they have; every point of the beam is scored in double precision."""
+        out = {"q": [], "id": [], "score": []}
+        for i in range(0, len(queries), AT_ONCE):
+            asked = unit(queries[i : i + AT_ONCE])
+            found, _, _ = beam_search(self.points, self.graph, self.begin, asked.astype(np.float32), min(BEAM, len(self.own)))
+            for q, vector, best in zip(names[i : i + AT_ONCE].tolist(), asked, found, strict=True):
+                best = best[best >= 0]
+                score = self.units[best] @ vector
+                least = self.ids[self.ends[best] - self.sizes[best]]
+                for at in np.lexsort((least, -score))[: k + 1].tolist():
+                    members = self.ids[self.ends[best[at]] - self.sizes[best[at]] : self.ends[best[at]]].tolist()
+                    out["q"] += [q] * len(members)
+                    out["id"] += members
+                    out["score"] += [float(score[at])] * len(members)
+        return pd.DataFrame(out).astype({"q": "int64", "id": "int64", "score": "float64"})
+
+
 def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD, path: str | None = None) -> DataFrame:
     """(query_id, rank, key, score): of each row whose id is divisible by `every`, the k rows found nearest by cosine, itself left out.
 
@@ -150,57 +195,33 @@ def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_
     or non-finite parts take no part, rows without an id neither; vectors are only compared with those of their
     length, and a repeated row counts once. The index (points, edges) is written to the shared folder.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, key, vector).distinct()
     # Of equal vectors, the k + 1 smallest ids: enough for any query, as one of them may be its own.
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     classes = written(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v", F.size("v").alias("dim")))
     shards = max(1, -(-classes.count() // shard))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(shards)).cast("int"))
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep")
-        own = np.stack(group["v"].to_numpy()).astype(np.float32)
-        graph, begin = build_graph(unit(own))
-        ids = pd.Series([np.asarray(x, np.int64).tobytes() for x in group["ids"]])
-        sizes = np.array([len(x) // 8 for x in ids], np.int32)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "dim": [group["dim"].iloc[0]], "ids": [b"".join(ids)], "sizes": [sizes.tobytes()], "points": [own.tobytes()], "graph": [graph.tobytes()], "entries": [begin.tobytes()]})
-
-    schema = "shard int, dim int, ids binary, sizes binary, points binary, graph binary, entries binary"
-    index = written(dealt.groupBy("shard", "dim").applyInPandas(build, schema), path)
+    index = written(dealt.groupBy("shard", "dim").applyInPandas(lambda g: Shard.row(g), INDEX), path)
 
     asked = rows.filter(F.col("id") % every == 0)
     distinct = asked.groupBy("v").agg(F.min("id").alias("q"))
-    blocks = max(1, -(-distinct.count() // QUERIES))
-    block = F.pmod(F.xxhash64("q", F.lit(4)), F.lit(blocks)).cast("int")
-    queries = distinct.select("q", "v", F.size("v").alias("dim"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "id": [], "score": []}
-        if len(left) and len(right):
-            row, dim = left.iloc[0], int(left["dim"].iloc[0])
-            own = np.frombuffer(row["points"], np.float32).reshape(-1, dim)
-            graph, begin = np.frombuffer(row["graph"], np.int32).reshape(len(own), -1), np.frombuffer(row["entries"], np.int32)
-            sizes = np.frombuffer(row["sizes"], np.int32)
-            ends = np.cumsum(sizes)
-            ids = np.frombuffer(row["ids"], np.int64)
-            points = unit(own)
-            asked = np.stack(right["v"].to_numpy()).astype(np.float32)
-            for i in range(0, len(asked), AT_ONCE):
-                found, _ = beam_search(points, graph, begin, unit(asked[i : i + AT_ONCE]), min(BEAM, len(own)))
-                for q, vector, best in zip(right["q"].iloc[i : i + AT_ONCE], asked[i : i + AT_ONCE], found, strict=True):
-                    best = best[best >= 0][: 4 * (k + 1)]
-                    score = cosines(vector, own[best])
-                    for s, c in sorted(zip(score.tolist(), best.tolist(), strict=True), key=lambda x: (-x[0], ids[ends[x[1]] - sizes[x[1]]]))[: k + 1]:
-                        members = ids[ends[c] - sizes[c] : ends[c]].tolist()
-                        out["q"] += [q] * len(members)
-                        out["id"] += members
-                        out["score"] += [s] * len(members)
-        return pd.DataFrame(out).astype({"q": "int64", "id": "int64", "score": "float64"})
-
-    keys = ["shard", "block", "dim"]
-    found = copies.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "q long, id long, score double")
+    every_shard = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("v").alias("dim"), "q", "v")
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "sizes", "points", "graph", "entries")]
+    line = index.select("*", F.lit(None).cast("long").alias("q"), F.lit(None).cast("array<double>").alias("v")).unionByName(every_shard.select("shard", "dim", *empty, "q", "v"))
+
+    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = None
+        for batch in batches:
+            for (number, dim), part in batch.groupby(["shard", "dim"], sort=False):
+                for _, row in part[part["points"].notna()].iterrows():
+                    here = (number, dim), Shard(row)
+                queries = part[part["points"].isna()]
+                # Without an index row before them, queries of this length have no candidate here.
+                if len(queries) and here and here[0] == (number, dim):
+                    yield here[1].nearest(queries["q"].to_numpy(np.int64), stacked(queries["v"]), k)
+
+    sent = line.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", F.col("q").asc_nulls_first())
+    found = sent.mapInPandas(search, "q long, id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     top = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("q", "id", "score")
     # Queries of equal vectors share what was found; each leaves itself out.
