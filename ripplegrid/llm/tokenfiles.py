@@ -3,7 +3,8 @@
 A token file holds 16-bit little-endian ids and an end-of-document id after each document, nothing else.
 Each file is cut into blocks that are searched at once, with one vector comparison a block. A document that
 crosses blocks is stitched by a prefix scan over the blocks: the start that a block hands on is the last start
-known before it, an associative "last that is not null", so no block needs the content of another.
+known before it, an associative "last that is not null". Beyond its own tokens a block needs the few after it that lead
+its last document.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import built, vocabulary
-from .common import keyed_text, released, runs, shared_folder
+from .common import keyed_text, released, shared_folder
 
 #: Tokens of a block (2 MB).
 BLOCK_TOKENS = 1 << 20
+#: Bytes of a token file that is written; a longer document has a file of its own.
+FILE_BYTES = 64 << 20
 #: Leading tokens of a document that hold its integer id, in digits of base 2**15, lowest first.
 ID_TOKENS, ID_BITS = 5, 15
 
@@ -37,8 +40,8 @@ def ids_of(digits: np.ndarray) -> np.ndarray:
     return v.view(np.int64)
 
 
-def write_token_files(docs: DataFrame, path: str, vocab_path: str | None = None, *, separator: int = 49407, key: str = "doc_id", text: str = "text") -> None:
-    """Writes each document as id tokens, its text's BPE ids and the separator; a file holds one partition.
+def write_token_files(docs: DataFrame, path: str, vocab_path: str | None = None, *, separator: int = 49407, file_bytes: int = FILE_BYTES, key: str = "doc_id", text: str = "text") -> None:
+    """Writes each document as id tokens, its text's BPE ids and the separator; a file has at most file_bytes, or one document.
 
     Strings of special tokens are ordinary text here, so that no document holds the separator. Null texts are
     empty documents; rows without a key are left out by callers (a null key can't be written as tokens).
@@ -48,15 +51,25 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str | None = None,
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab_path))
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = built(shared.value, False)
+        codec, end = built(shared.value, False), np.array([separator], "<u2").tobytes()
+        held, size = [], 0
         for batch in released(batches, "codecs"):
-            for a, b in runs(batch[text]):
-                heads = id_tokens(batch[key].iloc[a:b].to_numpy(np.int64))
-                yield pd.DataFrame({"tokens": [h.tobytes() + codec.encode(x) for h, x in zip(heads, batch[text].iloc[a:b], strict=True)]})
+            heads = id_tokens(batch[key].to_numpy(np.int64))
+            for head, x in zip(heads, batch[text], strict=True):
+                tokens = head.tobytes() + codec.encode(x)
+                if held and size + len(tokens) + 2 > file_bytes:
+                    yield pd.DataFrame({"tokens": [end.join(held)]})
+                    held, size = [], 0
+                held.append(tokens)
+                size += len(tokens) + 2
+        if held:
+            yield pd.DataFrame({"tokens": [end.join(held)]})
 
     rows = keyed_text(docs.filter(F.col(key).isNotNull()), key, text).withColumn(key, F.col(key).cast("long"))
-    end = bytes((separator & 255, separator >> 8)).decode("latin-1")
-    rows.mapInPandas(work, "tokens binary").select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
+    last = bytes((separator & 255, separator >> 8)).decode("latin-1")
+    # A row is a whole file less its last separator.
+    files = rows.mapInPandas(work, "tokens binary").select(F.col("tokens").cast("string").alias("value"))
+    files.write.option("lineSep", last).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def scan_token_files(spark, path: str, *, separator: int = 49407, lead: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -64,8 +77,9 @@ def scan_token_files(spark, path: str, *, separator: int = 49407, lead: int = 0,
 
     start: token offset in the file; n_tokens: without separator and lead tokens; lead: its first `lead` tokens,
     as bytes; closed: whether a separator follows. Two adjacent separators hold an empty document; tokens after
-    the last separator are an open one. A file of an odd number of bytes raises an error. A task reads one file;
-    the prefix scan moves one row a block and the documents' positions, never tokens.
+    the last separator are an open one. A file of an odd number of bytes raises an error. A task reads a file, of at
+    most 2 GB, Spark's bound for a binary value; the prefix scan moves one row a block and the documents' positions,
+    never tokens.
     """
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_folder
+from .common import shared_folder
 
 DICTIONARY, FRAME, EMPTY = 0x184D2A5D, 0xFD2FB528, "P*M\x18\0\0\0\0"
 #: The dictionary is trained on so many pages' first characters; it bears on the archives' size alone.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 20_000, 32 << 10
+#: Bytes of an archive; a longer record has an archive of its own.
+ARCHIVE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -130,15 +132,15 @@ def classified(pages: DataFrame, least_bytes: int, key: str, html: str) -> DataF
     return found.select(key, "digest", F.when(~F.col(key).eqNullSafe(F.col("top")), F.col("top")).alias("refers_to")).dropDuplicates([key, "digest"])
 
 
-def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes a record per row of pages: html in UTF-8 as payload (null: empty).
 
     Of records with equal payloads of least_bytes or more, that with the largest key is the response and the
     others revisit it; smaller payloads are all responses. Rows that repeat the largest key are responses
-    too, and so are all of a group without any key. An archive holds one partition; no rows give no archive.
+    too, and so are all of a group without any key. An archive has at most archive_bytes, or one record more; a
+    partition makes as many as it needs, each with the dictionary in its first frame. No rows give no archive.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
     text = F.coalesce(F.col(html).cast("string"), F.lit(""))
     sample = [r[0].encode() for r in pages.select(F.substring(text, 1, SAMPLE_CHARS)).limit(SAMPLE_PAGES).collect()]
     head = spark.sparkContext.broadcast(train_dictionary(sample))
@@ -149,23 +151,25 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, date: s
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        packer = None
+        packer, first, held, size = None, b"", [], 0
         for batch in batches:
             if len(batch) and packer is None:
                 packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(head.value), write_checksum=True)
-                yield pd.DataFrame({"frame": [skippable(head.value)]})
-            for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                yield pd.DataFrame(
-                    {
-                        "frame": [
-                            packer.compress(record("response" if to is None else "revisit", ident or "", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri), date, body.encode(), to))
-                            for ident, uri, body, to in zip(*(part[c].astype(object).where(part[c].notna(), None) for c in part.columns), strict=True)
-                        ]
-                    }
-                )
-
-    joined.mapInPandas(work, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY).text(path)
+                first = skippable(head.value)
+            for ident, uri, body, to in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in batch.columns), strict=True):
+                uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)
+                frame = packer.compress(record("response" if to is None else "revisit", ident or "", uri, date, body.encode(), to))
+                if held and size + len(frame) > archive_bytes:
+                    yield pd.DataFrame({"archive": [first + b"".join(held)]})
+                    held, size = [], 0
+                held.append(frame)
+                size += len(frame)
+        if held:
+            yield pd.DataFrame({"archive": [first + b"".join(held)]})
+
+    # A row is a whole archive, and each has a file of its own.
+    archives = joined.mapInPandas(work, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", EMPTY).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark, path: str, *, payloads: bool = False, strict: bool = True) -> DataFrame:
@@ -173,16 +177,17 @@ def read_archives(spark, path: str, *, payloads: bool = False, strict: bool = Tr
 
     Each archive's dictionary is loaded from its leading skippable frame, each record decoded from a frame of
     its own, its headers, lengths and digests checked. strict: a faulty record or archive raises; else it is a
-    row with a problem, and what follows a damaged frame in the archive is not read. A task holds one archive.
+    row with a problem, and what follows a damaged frame in the archive is not read. A dictionary frame elsewhere than
+    in front is passed over. A task holds one archive at a time, of at most 2 GB, Spark's bound for a binary value.
     """
 
     def rows(content: bytes) -> Iterator[dict]:
         import zstandard
 
-        known, decoder = None, zstandard.ZstdDecompressor()
+        decoder = zstandard.ZstdDecompressor()
         try:
-            for magic, data in frames(content):
-                if magic == DICTIONARY and known is None:
+            for place, (magic, data) in enumerate(frames(content)):
+                if magic == DICTIONARY and not place:
                     known = zstandard.ZstdDecompressor().decompress(data) if data[:4] == struct.pack("<I", FRAME) else data
                     decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(known))
                 if magic != FRAME:
