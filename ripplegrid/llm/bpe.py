@@ -255,28 +255,28 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, specials: bool
     return source.mapInPandas(work, f"{key} {source.schema[key].dataType.simpleString()}, ids binary")
 
 
-def bpe_digests(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids and of their decoding.
+def bpe_digests(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256 (, ids)): of encode_documents' output, digests of each text's ids and of their decoding, and with ids the output itself.
 
     ids_sha256 is of the decimal ids joined by blanks; both digests of an empty text are those of no bytes.
     Null texts count as empty; null keys and repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    encoded = encode_documents(docs, path, key=key, text=text)
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = built(shared.value)
         for batch in released(batches, "codecs"):
-            for a, b in runs(batch[text], 1 << 18):
-                coded = [codec.encode(x) for x in batch[text].iloc[a:b]]
+            for a, b in runs(batch["ids"], 1 << 18):
+                coded = batch["ids"].iloc[a:b]
                 counts = np.array([len(x) // 2 for x in coded], np.int64)
-                ids = np.frombuffer(b"".join(coded), "<u2").astype(np.int64)
+                numbers = np.frombuffer(b"".join(coded), "<u2").astype(np.int64)
                 digests = []
                 for part in (codec.decimals, codec.texts):
-                    buffer, ends = part.join(ids)
+                    buffer, ends = part.join(numbers)
                     ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
                     view = memoryview(buffer)
                     digests.append([hashlib.sha256(view[i : max(i, j - 1)]).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
-                yield pd.DataFrame({key: batch[key].iloc[a:b], "n_tokens": counts, "ids_sha256": digests[0], "decoded_sha256": digests[1]})
+                yield pd.DataFrame({key: batch[key].iloc[a:b], "n_tokens": counts, "ids_sha256": digests[0], "decoded_sha256": digests[1], **({"ids": coded} if ids else {})})
 
-    source = keyed_text(docs, key, text)
-    return source.mapInPandas(work, f"{key} {source.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInPandas(work, f"{key} {encoded.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' * ids}")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, released, runs, tasks
+from .common import released, runs, tasks
 from .wordscan import mixed
 
 #: Levels whose names make the fingerprint (a phrase of level n spans about 3.5 ** n characters), and its size.
@@ -138,7 +138,6 @@ def in_order_with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     from pyspark.ml.feature import Bucketizer
 
-    bounded_batches(docs.sparkSession)
     n = tasks(docs.sparkSession)
     order = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     rows = docs.select(order.alias("k"), F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).withColumn("kd", F.col("k").cast("double"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, bpe, kneser, lbl, minhash, mixing, parsing, tokenfiles, toxicity, warc
-from .common import table
+from .common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +43,7 @@ def op7_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,15 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (op1_separator_scan, op2_bpe_backtracking, op3_toxicity_cnn, op4_consistent_parsing, op5_vamana_search, op6_poisson_mixing, op7_log_bilinear_scores, op8_minmax_near_dedup, op9_kneser_ney_quality, op10_warc_zstd)
-    return {f.__name__: f for f in found}
+    return {f.__name__: _batched(f) for f in found}
+
+
+def _batched(f: Query) -> Query:
+    """A query sets its session's batches, which it owns."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return f(spark, sf_dir)
+
+    return run

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, released, runs, written
+from .common import released, runs, written
 from .wordscan import LETTERS, Words
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
@@ -173,14 +173,13 @@ def fits(text: str) -> Column:
 
 
 def sampled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> pd.DataFrame:
-    """(text, toxic) of the chosen rows."""
-    some = docs.filter(fits(text)).select(key, text).join(F.broadcast(chosen), key).select(key, text, "toxic").toPandas()
+    """(text, toxic) of the chosen ids, each with the least of its texts, as an id may be repeated without end."""
+    some = docs.filter(fits(text)).select(key, text).join(F.broadcast(chosen), key).groupBy(key, "toxic").agg(F.min(text).alias(text)).toPandas()
     # The rows' order must not depend on how they were read.
     return some.sort_values([key, text], kind="stable", ignore_index=True)[[text, "toxic"]]
 
 
 def logit_column(net: Cnn, text: Column, spark) -> Column:
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((net, net.answers()))
 
     @F.pandas_udf("double")
@@ -291,8 +290,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score is below their language's threshold and below PREDICTED_FROM, with docs' columns."""
+    """The rows of docs whose score is below their language's threshold and below PREDICTED_FROM, with docs' columns; no names are reserved.
+
+    Null and empty texts have the score of no word, and a null or unseen language the threshold of all. A score that
+    equals its limit goes. Repeated rows share their fate; without labels of both kinds all rows stay.
+    """
     model, _ = ToxicityClassifier.trained(labelled, labels)
-    scored = docs.withColumn("__toxic", model.column(F.col("text"), docs.sparkSession))
-    kept = scored.filter((F.col("__toxic") < model.threshold(F.col("lang"))) & (F.col("__toxic") < PREDICTED_FROM))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.filter(model.column(F.col("text"), docs.sparkSession) < F.least(model.threshold(F.col("lang")), F.lit(PREDICTED_FROM)))
