@@ -12,13 +12,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ripplegrid.llm import ann, minhash, mixing, warc
+from ripplegrid.llm import ann, common, minhash, mixing, warc
 
 
-def shingles(text):
+def shingles(text, size=4):
     low = "".join(c.lower() if c.isascii() else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
 def near_texts():
@@ -38,31 +38,54 @@ def near_texts():
     return out + ["A b  c", "a\tB c", "a b", "", " ", "\n", "x " * 5000, "x x x x", out[0].upper()]
 
 
-@pytest.mark.parametrize("small", [minhash.SMALL, 1])
-def test_near_duplicates_are_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)  # 1: every open bucket is compared in blocks
-    monkeypatch.setattr(minhash, "BLOCK", 3)
-    rows = [(i * 7 % 1000, t, "x", i) for i, t in enumerate(near_texts())] + [(2000, None, "x", 0), (None, "no id at all here", "x", 0)]
-    rows.append(rows[0])
-    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, n int").repartition(3)
-    sets = {i: shingles(t) for i, t, *_ in rows if i is not None}
-    label = {i: i for i in sets}
+def brute_components(sets):
+    """The least place reachable from each place, over links of sets."""
+    label = list(range(len(sets)))
 
     def find(i):
         while label[i] != i:
             i = label[i]
         return i
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 label[y] = x
-    want = collections.Counter((i, len(sets[i]), find(i), i == find(i)) for i, *_ in rows if i is not None)
-    got = minhash.near_duplicates(docs)
-    assert collections.Counter(map(tuple, got.collect())) == want
-    kept = minhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted({find(i) for i in sets})
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("small", "size"), [(minhash.SMALL, 4), (1, 4), (1, 5)])
+def test_near_duplicates_are_brute_force(spark, monkeypatch, small, size):
+    monkeypatch.setattr(minhash, "SMALL", small)  # 1: every open bucket is compared in blocks
+    monkeypatch.setattr(minhash, "BLOCK", 300)
+    monkeypatch.setattr(minhash, "SALTED", 2)
+    rows = [(i * 7 % 1000, t, "x", i) for i, t in enumerate(near_texts())] + [(2000, None, "x", 0), (None, "no id at all here", "x", 0)]
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, n int").repartition(3)
+    own = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    sets = [shingles(r[1], size) for r in own]
+    least = [own[i][0] for i in brute_components(sets)]
+    want = collections.Counter((r[0], len(s), c, r[0] == c) for r, s, c in zip(own, sets, least, strict=True))
+    assert collections.Counter(map(tuple, minhash.near_duplicates(docs, shingle=size).collect())) == want
+    kept = minhash.drop_near_duplicates(docs, shingle=size)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted(set(least))
+    assert kept.filter("doc_id IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_dropping_keeps_texts_that_share_an_id(spark, monkeypatch, few):
+    """Of each component one row stays, of the least id; texts of one id that are linked to nothing all stay."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", few)
+    line = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, line("a")), (5, line("a")), (5, line("b")), (5, line("c")), (7, line("c") + " more"), (3, line("d")), (3, line("d")), (4, ""), (4, None), (6, ""), (9, line("b")), (None, line("a")), (None, line("a"))]
+    docs = spark.createDataFrame([(*r, i, "x", 0) for i, r in enumerate(rows)], "doc_id long, text string, k int, t string, __k int").repartition(4)
+    got = minhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    want = [(1, line("a")), (5, line("b")), (5, line("c")), (3, line("d")), (4, ""), (6, ""), (None, line("a")), (None, line("a"))]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=key) == sorted(want, key=key)
 
 
 def test_no_documents_have_no_duplicates(spark):
@@ -138,6 +161,26 @@ def test_nearest_is_brute_force(spark):
     assert sorted((r["query_id"], r["rank"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(0, [1.0, 2e-9, 0.0]), (1, [1e-59, 2e-68, 0.0]), (2, [1.0, 3e-9, 0.0]), (3, [1e200, 0.0, 1e192]), (4, [0.0, 0.0, 1.0])]
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").orderBy("rank").collect()]
+    x = np.array([np.array(v) / max(v) for _, v in rows])
+    want = x @ x[0] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[0])
+    assert {i for i, _ in got} == {1, 2, 3, 4} and got[-1][0] == 4 and all(abs(s - want[i]) < 1e-15 for i, s in got)
+
+
+def test_a_shard_is_searched_in_part_only():
+    """Of clustered and of random points one shard's graph finds at least nine in ten of the nearest, and looks at a part of them."""
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(6000, 24)), rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + rng.normal(0, 0.2, (6000, 24))):
+        points = ann.unit(x).astype(np.float32)
+        graph, begin = ann.build_graph(points)
+        found, _, visits = ann.beam_search(points, graph, begin, points[:200], ann.BEAM)
+        want = np.argsort(-(points[:200] @ points.T), 1)[:, :6]
+        assert np.mean([len(set(a[:6]) & set(b)) / 6 for a, b in zip(found, want, strict=True)]) > 0.9
+        assert visits.mean() < 0.4 * len(points)
+
+
 def pages(spark):
     rows = [(i, f"http://x/{i}\r\nEvil: 1", ["same", "", None, f"page {i} é" * (1 + i % 50)][i % 4], i) for i in range(300)]
     return spark.createDataFrame([*rows, (None, None, "lone", 0), rows[3], (10_000, "http://big", "z" * 3_000_000, 0)], "page_id long, url string, html string, record_type int").repartition(3)
@@ -177,6 +220,15 @@ def test_archives_hold_payloads_and_show_damage(spark, tmp_path):
     assert warc.archive_round_trip(table.filter("false")).count() == 0
 
 
+def test_archives_are_rolled(spark, tmp_path):
+    """Small archives: many of them, each with the dictionary in front, and all records among them."""
+    table = pages(spark)
+    warc.write_archives(table, str(tmp_path / "a"), archive_bytes=2000)
+    parts = [p.read_bytes() for p in (tmp_path / "a").glob("part-*")]
+    assert len(parts) > 10 and all(next(warc.frames(p))[0] == warc.DICTIONARY for p in parts)
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == table.count()
+
+
 def test_records_are_checked():
     good = warc.record("response", "1", "http://x", "2024-01-01T00:00:00Z", b"abc", None)
     assert warc.parse(good)[2] == b"abc"
@@ -196,7 +248,7 @@ def test_pipeline_stages(spark):
         n = out.count()
         docs = spark.createDataFrame(out.collect(), docs.schema)
         if name == "near_dedup":
-            sets = [shingles(r["text"]) for r in docs.collect()]
+            sets = [shingles(r["text"], 5) for r in docs.collect()]
             assert not any(a and 100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     assert docs.filter("copy <> 'mine'").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == n > 0

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -99,6 +100,12 @@ def test_scan_stitches_blocks(spark, tmp_path, block):
     assert sorted((r["file"].rsplit("/", 1)[1], r["start"], r["n_tokens"], r["closed"]) for r in got) == sorted(want)
 
 
+def test_token_files_are_rolled(spark, docs, tmp_path):
+    tokenfiles.write_token_files(docs, str(tmp_path / "a"), file_bytes=40)
+    found = tokenfiles.scan_token_files(spark, str(tmp_path / "a"), lead=tokenfiles.ID_TOKENS).collect()
+    assert len({r["file"] for r in found}) > 3 and len(found) == len([r for r in ROWS if r[0] is not None]) and all(r["closed"] for r in found)
+
+
 def test_id_tokens():
     ids = np.array([0, 1, -1, 2**63 - 1, -(2**63), 123456789012345])
     assert (tokenfiles.ids_of(tokenfiles.id_tokens(ids)) == ids).all() and tokenfiles.id_tokens(ids).max() < 1 << 15
@@ -146,45 +153,105 @@ def test_phrases_have_two_symbols_and_few():
     assert len(merged) / 9 < len(out) <= len(merged) / 2 + 1
 
 
+def plain_units(text):
+    """Units by a pattern: ideographs and marks one by one, runs of all else between blanks."""
+    return re.findall(r"[\u3000-\u9fff\U00010000-\U0010ffff]|[!-/:-@\[-`{-\x7f]|(?:(?![\u3000-\u9fff\U00010000-\U0010ffff!-/:-@\[-`{-\x7f])[^ \t-\r])+", text)
+
+
+def test_units_are_those_of_the_pattern():
+    texts = ["", "Ab, c!!", "日本語xé.z", "  ", "x\u3000y", "a\x1cb (ab) 1,5", "é漢é 😀😀k", "end"]
+    words = kneser.units_of(texts)
+    assert words.strings() == [u for t in texts for u in plain_units(t)]
+    assert words.counts().tolist() == [len(plain_units(t)) for t in texts]
+
+
 def brute_kneser(texts):
-    """Interpolated modified Kneser-Ney over the units of texts, by dictionaries."""
-    u, n = kneser.UNITS, kneser.ORDER
-    counts = [None] * (n + 1)
-    counts[n] = collections.Counter()
-    for t in texts:
-        counts[n].update(kneser.units([t])[0].tolist())
-    for k in range(n - 1, 0, -1):
-        counts[k] = collections.Counter(g % u**k for g in counts[k + 1])
-    cut = [None] + [kneser.discounts(collections.Counter(counts[k].values())) for k in range(1, n + 1)]
-
-    def p(gram, k):
-        if k == 0:
-            return 1 / u
-        context, off = gram // u, lambda c: cut[k][min(c, 3) - 1]
-        row = {g: c for g, c in counts[k].items() if g // u == context}
-        total = sum(row.values())
-        below = p(gram % u ** (k - 1), k - 1)
-        if not total:
-            return below
-        own = max(row.get(gram, 0) - off(row[gram]), 0) if gram in row else 0
-        return (own + sum(off(c) for c in row.values()) * below) / total
-
-    return lambda gram: p(gram, n)
-
-
-def test_kneser_ney_is_brute_force(spark):
-    texts = ["the cat sat.", "the dog sat, the cat ran", "Ab ab 12", "", "the the the end"]
-    model = kneser.KneserNey.trained(spark.createDataFrame([(t,) for t in texts], "text string"))
-    want = brute_kneser(texts)
-    for gram in kneser.units([*texts, "zq the rat sat"])[0].tolist():
-        assert abs(10 ** float(model.logp[gram]) - want(gram)) < 1e-5
-    assert np.allclose((10.0 ** model.logp.astype(float)).reshape(-1, kneser.UNITS).sum(1), 1, atol=1e-4)
+    """log10 p of a text under interpolated modified Kneser-Ney trigrams of texts, by dictionaries."""
+    words = collections.Counter(u for t in texts for u in plain_units(t))
+    known = {w for w, c in words.items() if c >= 2}
+    left_out = len(words) - len(known) + 1
+    unit = lambda w: w if w in known else "<unk>"
+    line = lambda t: ["<pad>", "<pad>", *map(unit, plain_units(t)), "<end>"]
+    three = collections.Counter(g for t in texts for x in [line(t)] for g in zip(x, x[1:], x[2:]))
+    two = collections.Counter((b, c) for _, b, c in three)
+    one = collections.Counter(c for _, c in two)
+    cut = {k: kneser.discounts([sum(v == n for v in c.values()) for n in (1, 2, 3, 4)]) for k, c in ((1, one), (2, two), (3, three))}
+    d = lambda k, c: cut[k][min(c, 3) - 1]
+    size = len(known) + 2
+
+    def p1(w):
+        return (one[w] - (d(1, one[w]) if one[w] else 0) + sum(d(1, c) for c in one.values()) / size) / sum(one.values())
+
+    def p2(b, w):
+        row = {y: c for (x, y), c in two.items() if x == b}
+        if not row:
+            return p1(w)
+        return ((row[w] - d(2, row[w]) if w in row else 0) + sum(d(2, c) for c in row.values()) * p1(w)) / sum(row.values())
+
+    def p3(a, b, w):
+        row = {z: c for (x, y, z), c in three.items() if (x, y) == (a, b)}
+        if not row:
+            return p2(b, w)
+        own = {z: (c - d(3, c)) / sum(row.values()) for z, c in row.items() if c >= kneser.LEAST_TRIGRAM}
+        return own.get(w, 0) + (1 - sum(own.values())) * p2(b, w)
+
+    def logp(t):
+        x = line(t)
+        return sum(math.log10(p3(*g)) for g in zip(x, x[1:], x[2:])) - math.log10(left_out) * x.count("<unk>"), len(x) - 2
+
+    total = lambda a, b: sum(p3(a, b, w) for w in [*known, "<unk>", "<end>"])
+    return logp, total
+
+
+def prose(n, seed, words=60):
+    rnd = random.Random(seed)
+    return [" ".join(rnd.choice(["the", "cat", "sat", "on", "a"] + [f"w{i}" for i in range(words)]) + rnd.choice(["", "", ",", "."]) for _ in range(rnd.randint(0, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("head", [300_000, 64])
+def test_perplexities_are_brute_force(spark, monkeypatch, head):
+    monkeypatch.setattr(kneser, "HEAD", head)  # few: most n-grams are joined
+    texts = [*prose(40, 1), "", "the the the the end"]
+    model = kneser.KneserNey.trained(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    logp, total = brute_kneser(texts)
+    assert abs(total("the", "cat") - 1) < 1e-9 and abs(total("<pad>", "<pad>") - 1) < 1e-9 and abs(total("zz", "the") - 1) < 1e-9
+    asked = [(2**60 + i, t) for i, t in enumerate([*texts[:10], *prose(10, 2, 90), "", None, "zq zq, the rat 漢字 sat", "the the the", texts[0]])] + [(None, "no id")]
+    docs = spark.createDataFrame([*asked, asked[0]], "doc_id long, text string").repartition(4)
+    want = collections.Counter((i, n, round(-p / n, 4)) for i, t in [*asked, asked[0]] for p, n in [logp(t or "")])
+    got = kneser.perplexities(model, docs, "text", ("doc_id",)).collect()
+    assert collections.Counter((r["doc_id"], r["n_units"], round(r["log10_perplexity"], 4)) for r in got) == want
+
+
+def test_quality_thresholds_are_quantiles(spark):
+    good = prose(300, 3)
+    rows = [(i, t, ["en", "fr", None][i % 3]) for i, t in enumerate(good)] + [(1000, "#9 @@ zq!! XJ", "en"), (1001, "ZQ!! QX!! VV!!", "xx"), (1002, "", None), (1003, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(None, 1), (1000, 0)], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in kneser.classify_quality(docs, labels, quantile=0.9).collect()}
+    assert len(out) == len(rows) and not out[1000]["kept"] and not out[1001]["kept"]
+    model = kneser.QualityClassifier.trained(docs, labels)
+    rest = {r["doc_id"] for r in model.rest.collect()}
+    assert 30 < len(rest) < 100
+
+    def quantile(ids):
+        v = sorted(out[i]["log10_perplexity"] for i in ids)
+        return v[math.ceil(0.9 * len(v)) - 1]
+
+    for lang in ("en", "fr"):
+        assert {r["threshold"] for r in out.values() if r["lang"] == lang} == {quantile([i for i in rest if out[i]["lang"] == lang])}
+    assert {r["threshold"] for r in out.values() if r["lang"] in (None, "xx")} == {quantile(rest)}
+    assert all(r["kept"] == (r["log10_perplexity"] <= r["threshold"]) for r in out.values())
+    assert any(r["log10_perplexity"] == r["threshold"] and r["kept"] for r in out.values())  # equal is kept
+    odd = docs.withColumns({"__lang": F.lit(1), "__own": F.lit(2), "threshold": F.lit(3), "kept": F.lit(False), "c": F.lit(5), "k": F.lit(6), "t": F.lit(7)})
+    kept = kneser.keep_good(odd, docs, labels, quantile=0.9)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if r["kept"]}
 
 
 def test_quality(docs, none, sample, labels):
     got = kneser.classify_quality(docs, labels)
-    assert got.count() == len(ROWS) and got.filter("kept IS NULL OR log10_perplexity IS NULL").count() == 0
-    assert kneser.classify_quality(none, labels).count() == 0 and kneser.classify_quality(docs, labels.filter("false")).filter("NOT kept").count() == 0
+    assert got.count() == len(ROWS) and kneser.classify_quality(none, labels).count() == 0
+    assert kneser.classify_quality(docs, labels.filter("false")).filter("NOT kept").count() == 0
+    assert kneser.keep_good(docs, docs.filter("false"), labels).count() == len(ROWS)
     kept = kneser.keep_good(docs, sample, labels)
     assert kept.columns == docs.columns
     found = kneser.classify_quality(sample, labels).join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id")
@@ -371,6 +438,5 @@ def test_quality_learns_from_all_trusted_labels(spark):
     labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
     assert [r["doc_id"] for r in kneser.classify_quality(docs, labels).filter("NOT kept").collect()] == [1000]
     assert kneser.trusted_ids(labels, fold=True).count() == 0
-    few, _ = kneser.QualityClassifier.trained(docs, labels, rows=5)
-    all_, _ = kneser.QualityClassifier.trained(docs, labels)
-    assert (few.model.logp != all_.model.logp).any()
+    few, many = (kneser.QualityClassifier.trained(docs, labels, rows=n).model for n in (5, 1000))
+    assert few.numbers.spared > many.numbers.spared
