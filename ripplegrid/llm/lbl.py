@@ -2,7 +2,7 @@
 
 A word is reached by at most three choices. The root has the most frequent words, the end of a document and CLASSES
 classes, to which other words fall by their last two bytes. Each class has its most frequent words and as many
-subclasses, by first two bytes; each subclass has all its other words of the head with LEAST_COUNT training
+subclasses, by first three bytes; each subclass has all its other words of the head with LEAST_COUNT training
 occurrences, and what is left. So the words that the network tells apart grow with the training text, up to HEAD,
 while a word costs about as many products as a choice has outcomes. The CONTEXT units before (words, or what is
 left of a subclass) are embedded, weighted by position and summed to a prediction; its products with the vectors of
@@ -28,13 +28,13 @@ from .wordscan import Words, mixed
 #: Frequent words that are outcomes of the root; classes, subclasses of a class, and frequent words of a class.
 OWN, CLASSES, BRANCH = 63, 64, 64
 END, ROOT, LEAVES = OWN, OWN + 1 + CLASSES, CLASSES * BRANCH
-CONTEXT, DIM, NOISE, INNER_NOISE, BATCH, RATE, SEED = 4, 16, 48, 4, 4096, 0.08, 7
+CONTEXT, DIM, NOISE, INNER_NOISE, BATCH, RATE, SEED = 4, 8, 32, 1, 1024, 0.15, 7
 #: Words found less often in the training text have no vectors of their own.
 LEAST_COUNT = 20
 #: Training documents are dealt to buckets of about so many tokens by a hash, at most MOST_BUCKETS; each bucket learns a share of its documents in each round, between which the buckets' networks are averaged.
 BUCKET_TOKENS, MOST_BUCKETS, ROUNDS = 16_000_000, 4096, 2
-#: Tokens of a bucket that are mixed before they are learned from.
-MIXED = 1 << 17
+#: Tokens that are put in a line to be learned from or scored together.
+LINE = 1 << 17
 #: Weights in a row of those handed on, and networks added up in a task.
 SLICE, ADDED = 1 << 16, 64
 #: Most words whose counts are sent to every task, and that have vectors (under 200 bytes each).
@@ -86,11 +86,13 @@ class Vocabulary:
 
 
 def leaves_of(words: Words) -> np.ndarray:
-    """The subclass of each word: hashes of its last two bytes and of its first two."""
-    last, before = words.bytes[words.ends - 1], words.bytes[np.maximum(words.ends - 2, words.starts)]
-    first, second = words.bytes[words.starts], words.bytes[np.minimum(words.starts + 1, words.ends - 1)]
-    pair = lambda a, b, n: (mixed(a.astype(np.uint64) << np.uint64(8) | b.astype(np.uint64)) >> np.uint64(20)).astype(np.int64) % n
-    return (pair(last, before, CLASSES) * BRANCH + pair(first, second, BRANCH)).astype(np.int32)
+    """The subclass of each word: a hash of its last two bytes and one of its first three."""
+    byte = lambda at: words.bytes[at].astype(np.uint64)
+    first, last = words.starts, words.ends - 1
+    end = byte(last) << np.uint64(8) | byte(np.maximum(last - 1, first))
+    start = byte(first) << np.uint64(16) | byte(np.minimum(first + 1, last)) << np.uint64(8) | byte(np.minimum(first + 2, last))
+    place = lambda x, n: (mixed(x) >> np.uint64(20)).astype(np.int64) % n
+    return (place(end, CLASSES) * BRANCH + place(start, BRANCH)).astype(np.int32)
 
 
 def tokens_of(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,13 +124,18 @@ def with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return line, np.flatnonzero(real), np.cumsum(counts + 1)
 
 
-def chosen_logs(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """log10 of the normalised probability of the chosen column in each row; scores are overwritten."""
-    own = scores[np.arange(len(scores)), chosen].astype(np.float64)
+def log_sums(left: np.ndarray, right: np.ndarray, calm: bool) -> np.ndarray:
+    """log of the sum of the exponentials of each row of left @ right.T; calm: no product is far from 0."""
+    scores = left @ right.T
+    if calm:
+        np.exp(scores, out=scores)
+        return np.log(scores @ np.ones(len(right), np.float32))
     top = scores.max(1, keepdims=True)
-    scores -= top
-    np.exp(scores, out=scores)
-    return (own - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))) / np.log(10)
+    return top[:, 0] + np.log(np.exp(scores - top).sum(1))
+
+
+def with_column(vectors: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors, np.broadcast_to(column, len(vectors))[:, None]], 1).astype(np.float32)
 
 
 class LogBilinear:
@@ -156,90 +163,106 @@ class LogBilinear:
         net.bias[:] = np.log((root_counts + 1) / (root_counts + 1).sum())
         return net
 
-    def predictions(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(at), DIM), np.float32)
+    def predictions(self, line: np.ndarray) -> np.ndarray:
+        """Of each place of the line, from the units before it in the line."""
+        embedded, out = self.embed[line], np.zeros((len(line), DIM), np.float32)
         for k in range(CONTEXT):
-            out += self.embed[line[at - 1 - k]] * self.position[k]
+            out[k + 1 :] += embedded[: len(line) - k - 1] * self.position[k]
         return out
 
     def log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 of the normalised probability of the unit at each place: of the root's outcome and of its cells."""
         tree, out = self.tree, np.empty(len(at), np.float64)
-        guess, path = self.predictions(line, at), tree.path[line[at]]
-        table = np.ascontiguousarray(self.out.T)
-        for i in range(0, len(at), BATCH):
-            out[i : i + BATCH] = chosen_logs(guess[i : i + BATCH] @ table + self.bias, path[i : i + BATCH, 0])
+        guess, path = with_column(self.predictions(line)[at], np.float32(1)), tree.path[line[at]]
+        root, inner = with_column(self.out, self.bias), with_column(self.inner, self.inner_bias)
+        longest = lambda x: float(np.sqrt((x * x).sum(1).max(initial=0)))
+        calm = longest(guess) * max(longest(root), longest(inner)) < 60
+        for i in range(0, len(at), 4096):
+            part, own = guess[i : i + 4096], path[i : i + 4096, 0]
+            out[i : i + 4096] = np.einsum("td,td->t", part, root[own]) - log_sums(part, root, calm)
         for level in (1, 2):
             use = np.flatnonzero(path[:, level] >= 0)
-            cells = path[use, level]
-            order = np.argsort(cells, kind="stable")
-            use, cells = use[order], cells[order]
-            cuts = np.searchsorted(cells, tree.start)
-            for n in np.flatnonzero(np.diff(cuts)):
+            use = use[np.argsort(path[use, level], kind="stable")]
+            cells, own = path[use, level], guess[use]
+            sums, cuts = np.empty(len(use), np.float32), np.searchsorted(cells, tree.start)
+            for n in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = tree.start[n], tree.start[n + 1]
-                vectors, bias = self.inner[a:b].T, self.inner_bias[a:b]
                 step = max(1, (1 << 19) // (b - a))
                 for i in range(cuts[n], cuts[n + 1], step):
                     j = min(i + step, cuts[n + 1])
-                    out[use[i:j]] += chosen_logs(guess[use[i:j]] @ vectors + bias, cells[i:j] - a)
-        return out
+                    sums[i:j] = log_sums(own[i:j], inner[a:b], calm)
+            out[use] += np.einsum("td,td->t", own, inner[cells]) - sums
+        return out / np.log(10)
 
     def learn(self, line: np.ndarray, at: np.ndarray, seen: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-        """One Adagrad step of noise-contrastive estimation for each BATCH places: NOISE outcomes of the root drawn from `noise` are told apart from the true ones, and INNER_NOISE cells of its node from each true cell."""
+        """One Adagrad step of noise-contrastive estimation for each BATCH places of the line, of which those in `at` are predicted: NOISE outcomes of the root drawn from `noise` are told apart from the true ones, and INNER_NOISE cells of its node from each true cell."""
         logs = np.log(NOISE * noise).astype(np.float32)
-        tree, state, dims = self.tree, LogBilinear(seen, self.tree), np.arange(DIM)
-        index = np.zeros(max(len(tree.path), len(tree.node)), np.int64)
-        summed = lambda ids, values, n: np.bincount((ids[:, None] * DIM + dims).ravel(), values.ravel(), n * DIM).reshape(n, DIM)
-
-        def places(ids):
-            """The distinct ids, and each id's place among them."""
-            has = np.zeros(len(index), bool)
-            has[ids] = True
-            distinct = np.flatnonzero(has)
-            index[distinct] = np.arange(len(distinct))
-            return distinct, index[ids]
+        tree, state = self.tree, LogBilinear(seen, self.tree)
+
+        def summed(ids, values):
+            """The distinct ids, and the sums of each one's rows of values(order)."""
+            order = np.argsort(ids)
+            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            return ids[order][first], np.add.reduceat(values(order), first, axis=0)
 
         def step(own, old, rows, grad):
-            g = (grad / len(part)).astype(np.float32)
-            old[rows] += g * g
-            own[rows] -= RATE * g / np.sqrt(old[rows] + 1e-8)
+            # One rate a row: a row's squared slopes are averaged over its columns.
+            g = grad / np.float32(len(use))
+            square = old[rows, -1] + (g * g).mean(-1) if g.ndim > 1 else old[rows] + g * g
+            if g.ndim > 1:
+                old[rows, -1] = square
+                square = square[:, None]
+            else:
+                old[rows] = square
+            own[rows] -= RATE * g / np.sqrt(square + 1e-8)
 
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         every = slice(None)
-        for i in range(0, len(at), BATCH):
-            part = at[i : i + BATCH]
-            path = tree.path[line[part]]
+        cuts = np.searchsorted(at, np.arange(CONTEXT, len(line) + BATCH, BATCH))
+        for i, low, high in zip(range(CONTEXT, len(line), BATCH), cuts[:-1], cuts[1:], strict=False):
+            use = at[low:high] - i
+            if not len(use):
+                continue
+            here = line[i - CONTEXT : i + BATCH]
+            embedded, size = self.embed[here], len(here) - CONTEXT
+            shifted = [embedded[CONTEXT - 1 - k : CONTEXT - 1 - k + size] for k in range(CONTEXT)]
+            guess = sum(e * p for e, p in zip(shifted, self.position, strict=True))[use]
+            path = tree.path[here[CONTEXT:][use]]
             true, drawn = path[:, 0], rng.choice(ROOT, NOISE, p=noise)
-            before = [line[part - 1 - k] for k in range(CONTEXT)]
-            guess = self.predictions(line, part)
             to_good = sigmoid((guess * self.out[true]).sum(1) + self.bias[true] - logs[true]) - 1
             to_bad = sigmoid(guess @ self.out[drawn].T + (self.bias - logs)[drawn])
             to_guess = to_good[:, None] * self.out[true] + to_bad @ self.out[drawn]
-            out = summed(true.astype(np.int64), to_good[:, None] * guess, ROOT)
+            out = np.zeros((ROOT, DIM), np.float32)
+            rows, sums = summed(true, lambda order: to_good[order, None] * guess[order])  # noqa: B023
+            out[rows] = sums
             np.add.at(out, drawn, to_bad.T @ guess)
-            bias = np.bincount(true, to_good, ROOT) + np.bincount(drawn, to_bad.sum(0), ROOT)
-            ids_of, slopes, guesses = [], [], []
+            bias = (np.bincount(true, to_good, ROOT) + np.bincount(drawn, to_bad.sum(0), ROOT)).astype(np.float32)
+            ids_of, slopes, tokens = [], [], []
             for level in (1, 2):
-                use = np.flatnonzero(path[:, level] >= 0)
-                if len(use):
-                    cells = path[use, level]
+                some = np.flatnonzero(path[:, level] >= 0)
+                if len(some):
+                    cells = path[some, level]
                     ids = np.concatenate([cells[:, None], tree.drawn(cells, rng)], 1)  # the true cell first
-                    own, vectors = guess[use], self.inner[ids]
+                    own, vectors = guess[some], self.inner[ids]
                     slope = sigmoid(np.einsum("td,tkd->tk", own, vectors) + self.inner_bias[ids] - tree.share[ids] - np.float32(np.log(INNER_NOISE)))
                     slope[:, 0] -= 1
-                    to_guess[use] += np.einsum("tk,tkd->td", slope, vectors)
+                    to_guess[some] += np.einsum("tk,tkd->td", slope, vectors)
                     ids_of.append(ids.ravel())
                     slopes.append(slope.ravel())
-                    guesses.append(np.repeat(own, INNER_NOISE + 1, 0))
+                    tokens.append(np.repeat(some, INNER_NOISE + 1))
             if ids_of:
-                rows, back = places(np.concatenate(ids_of))
-                slope = np.concatenate(slopes)
-                step(self.inner, state.inner, rows, summed(back, slope[:, None] * np.concatenate(guesses), len(rows)))
-                step(self.inner_bias, state.inner_bias, rows, np.bincount(back, slope, len(rows)))
-            rows, back = places(np.concatenate(before))
-            embed = summed(back, np.concatenate([to_guess * self.position[k] for k in range(CONTEXT)]), len(rows))
-            position = np.stack([(to_guess * self.embed[ids]).sum(0) for ids in before])
-            step(self.embed, state.embed, rows, embed)
+                slope, token = np.concatenate(slopes)[:, None], np.concatenate(tokens)
+                rows, sums = summed(np.concatenate(ids_of), lambda order: np.concatenate([slope[order] * guess[token[order]], slope[order]], 1))  # noqa: B023
+                step(self.inner, state.inner, rows, sums[:, :DIM])
+                step(self.inner_bias, state.inner_bias, rows, sums[:, DIM])
+            # Each place hands its slope on to the CONTEXT places before it.
+            whole, to_embedded = np.zeros((size, DIM), np.float32), np.zeros((len(here), DIM), np.float32)
+            whole[use] = to_guess
+            position = np.stack([(whole * e).sum(0) for e in shifted])
+            for k in range(CONTEXT):
+                to_embedded[CONTEXT - 1 - k : CONTEXT - 1 - k + size] += whole * self.position[k]
+            rows, sums = summed(here, lambda order: to_embedded[order])  # noqa: B023
+            step(self.embed, state.embed, rows, sums)
             step(self.position, state.position, every, position)
             step(self.out, state.out, every, out)
             step(self.bias, state.bias, every, bias)
@@ -334,23 +357,55 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     return Vocabulary(names[by_hash], many[by_hash], unit[by_hash], Tree(path, node, cell_counts), np.log10(left + 0.5 * (left_n + 1)), root, tokens, types)
 
 
-def trained_network(train: DataFrame, vocab: Vocabulary, key: str, text: str) -> LogBilinear:
-    """Learned from every training document; the same on any partitioning, as documents are dealt and ordered by hashes of id and text."""
-    spark = train.sparkSession.sparkContext
+def coded(docs: DataFrame, vocab: Vocabulary, key: str, text: str) -> DataFrame:
+    """(uid, key, learned, order, n, known, logs, left, h, tf, units) of every document.
+
+    learned: whether it is trained on; order: a hash of id and text; n: tokens; known: those of the head, and the end;
+    logs: the head's share of the base score; left: log10 of the smoothed sizes of what its words without a unit are
+    left in; h, tf: its words beyond the head, and how often it has them; units: 32-bit numbers.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab, uid = shared.value, TaskContext.get().partitionId() << 40
+        end_log = np.log10(vocab.root_counts[END] + 0.5)
+        for batch in released(batches):
+            for a, b in runs(batch[text]):
+                part = batch.iloc[a:b]
+                names, place, units, first = tokens_of(part[text].tolist(), vocab)
+                of = np.repeat(np.arange(b - a), np.diff(first))
+                summed = lambda v, of=of, n=b - a: np.bincount(of, v, n)
+                hit, leaf = place >= 0, units - vocab.first_leaf  # a leaf that isn't negative: a word without a unit of its own
+                logs = np.zeros(len(names))
+                logs[hit] = np.log10(vocab.head_counts[place[hit]] + 0.5)
+                rest = np.flatnonzero(~hit)
+                order = np.lexsort((names[rest], of[rest]))
+                h, t = names[rest][order].view(np.int64), of[rest][order]
+                begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])) if len(h) else np.zeros(0, np.int64)
+                tf = np.diff(begin, append=len(h)).astype(np.int32)
+                cuts = np.searchsorted(t[begin], np.arange(b - a + 1))
+                yield pd.DataFrame(
+                    {
+                        "uid": uid + np.arange(b - a), key: part[key].to_numpy(), "learned": part["learned"].to_numpy(), "order": part["order"].to_numpy(), "n": np.diff(first) + 1,
+                        "known": summed(hit).astype(np.int64) + (vocab.root_counts[END] > 0), "logs": summed(logs) + end_log, "left": summed(np.where(leaf >= 0, logs - vocab.left[np.maximum(leaf, 0)], 0.0)),
+                        "h": [h[begin[i:j]] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "tf": [tf[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "units": [units[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)],
+                    }
+                )
+                uid += b - a
+
+    rows = docs.select(key, text, is_training(key).alias("learned"), F.xxhash64(key, text).alias("order"))
+    return rows.mapInPandas(work, f"uid long, {key} {rows.schema[key].dataType.simpleString()}, learned boolean, order long, n long, known long, logs double, left double, h array<long>, tf array<int>, units binary")
+
+
+def trained_network(lines: DataFrame, vocab: Vocabulary) -> LogBilinear:
+    """Learned from every training document of coded(); the same on any partitioning, as documents are dealt and ordered by hashes of id and text."""
+    spark = lines.sparkSession.sparkContext
     noise = (vocab.root_counts + 1) ** 0.75
     noise /= noise.sum()
     net = LogBilinear.fresh(vocab.root_counts, vocab.tree)
     words = spark.broadcast(vocab)
     buckets = min(max(1, -(-vocab.tokens // BUCKET_TOKENS)), MOST_BUCKETS)
-
-    def coded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in released(batches):
-            for a, b in runs(batch[text]):
-                _, _, units, first = tokens_of(batch[text].iloc[a:b].tolist(), words.value)
-                yield pd.DataFrame({"h": batch["h"].iloc[a:b], "units": [units[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]})
-
-    named = train.select(F.xxhash64(key, text).alias("h"), text)
-    lines = written(named.mapInPandas(coded, "h long, units binary"))
+    lines = lines.filter("learned").select(F.col("order").alias("h"), "units")
     for turn in range(ROUNDS):
         start = spark.broadcast(net.flat)
 
@@ -361,7 +416,7 @@ def trained_network(train: DataFrame, vocab: Vocabulary, key: str, text: str) ->
             def taken():
                 first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
                 line, at, _ = with_ends(np.concatenate(held), first)
-                net.learn(line, rng.permutation(at), seen, noise, rng)
+                net.learn(line, at, seen, noise, rng)
                 return len(at)
 
             for batch in released(batches):
@@ -370,7 +425,7 @@ def trained_network(train: DataFrame, vocab: Vocabulary, key: str, text: str) ->
                 for units in batch["units"]:
                     held.append(np.frombuffer(units, np.int32))
                     size += len(held[-1]) + 1
-                    if size >= MIXED:
+                    if size >= LINE:
                         n, held, size = n + taken(), [], 0
             if held:
                 n += taken()
@@ -407,50 +462,30 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     train = rows.filter(is_training(key))
     counts = written(count_words(train, text))
     vocab = vocabulary(counts, docs.filter(is_training(key)).count())
-    net = trained_network(train, vocab, key, text)
-    shared = spark.sparkContext.broadcast((vocab, net.flat))
+    part = written(coded(rows, vocab, key, text))
+    net = trained_network(part, vocab)
+    shared = spark.sparkContext.broadcast((vocab.tree, net.flat))
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, flat = shared.value
-        net, uid = LogBilinear(flat, vocab.tree), TaskContext.get().partitionId() << 40
-        end_log = np.log10(vocab.root_counts[END] + 0.5)
+        tree, flat = shared.value
+        net = LogBilinear(flat, tree)
         for batch in released(batches):
-            for a, b in runs(batch[text]):
-                names, place, units, first = tokens_of(batch[text].iloc[a:b].tolist(), vocab)
-                line, at, ends = with_ends(units, first)
-                of = np.repeat(np.arange(b - a), np.diff(first))
-                summed = lambda v, of=of, n=b - a: np.bincount(of, v, n)
-                hit = place >= 0
-                logs = np.zeros(len(names))
-                logs[hit] = np.log10(vocab.head_counts[place[hit]] + 0.5)
-                leaf = units - vocab.first_leaf  # not negative: a word without a unit of its own
+            for a, b in runs(batch["units"], 4 * LINE):
+                own = [np.frombuffer(x, np.int32) for x in batch["units"].iloc[a:b]]
+                line, at, ends = with_ends(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
                 sums = np.concatenate([[0.0], np.cumsum(net.log_probs(line, at))])
-                ends = np.concatenate([[0], ends])
-                # Words beyond the head, with how often each text has them; their counts are joined later.
-                rest = np.flatnonzero(~hit)
-                order = np.lexsort((names[rest], of[rest]))
-                h, t = names[rest][order].view(np.int64), of[rest][order]
-                begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])) if len(h) else np.zeros(0, np.int64)
-                tf = np.diff(begin, append=len(h)).astype(np.int32)
-                cuts = np.searchsorted(t[begin], np.arange(b - a + 1))
-                yield pd.DataFrame(
-                    {
-                        "uid": uid + np.arange(b - a), key: batch[key].iloc[a:b].to_numpy(), "n": np.diff(first) + 1, "known": summed(hit).astype(np.int64) + (vocab.root_counts[END] > 0), "logs": summed(logs) + end_log,
-                        "model": np.diff(sums[ends]) + summed(np.where(leaf >= 0, logs - vocab.left[np.maximum(leaf, 0)], 0.0)),
-                        "h": [h[begin[i:j]] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "tf": [tf[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)],
-                    }
-                )
-                uid += b - a
+                yield batch.iloc[a:b][given].assign(model=np.diff(sums[np.concatenate([[0], ends])]))
 
+    given = ["uid", key, "n", "known", "logs", "left"]
     kind = rows.schema[key].dataType.simpleString()
-    part = written(rows.mapInPandas(work, f"uid long, {key} {kind}, n long, known long, logs double, model double, h array<long>, tf array<int>"))
+    scored = part.select(*given, "units").mapInPandas(work, f"uid long, {key} {kind}, n long, known long, logs double, left double, model double")
     rare = part.filter(F.size("h") > 0).select("uid", F.explode(F.arrays_zip("h", "tf")).alias("w")).select("uid", "w.h", "w.tf")
     joined = rare.join(counts.select("h", "c"), "h", "left")
     more = joined.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more_logs"))
-    out = part.drop("h", "tf").join(more, "uid", "left")
+    out = scored.join(more, "uid", "left")
     logs = F.coalesce("more_logs", F.lit(0.0))
     all_log = float(np.log10(vocab.tokens + 0.5 * (vocab.types + 1)))
     return out.select(
         key, (~is_training(key)).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + logs - F.col("n") * F.lit(all_log)).alias("base_score"), (F.col("model") + logs).alias("score"),
+        (F.col("logs") + logs - F.col("n") * F.lit(all_log)).alias("base_score"), (F.col("model") + F.col("left") + logs).alias("score"),
     )
