@@ -28,9 +28,9 @@ from .wordscan import Words, mixed
 #: Frequent words that are outcomes of the root; classes, subclasses of a class, and frequent words of a class.
 OWN, CLASSES, BRANCH = 63, 64, 64
 END, ROOT, LEAVES = OWN, OWN + 1 + CLASSES, CLASSES * BRANCH
-CONTEXT, DIM, NOISE, INNER_NOISE, BATCH, RATE, SEED = 4, 8, 32, 1, 1024, 0.15, 7
+CONTEXT, DIM, NOISE, INNER_NOISE, BATCH, RATE, SEED = 4, 8, 16, 1, 2048, 0.15, 7
 #: Words found less often in the training text have no vectors of their own.
-LEAST_COUNT = 20
+LEAST_COUNT = 40
 #: Training documents are dealt to buckets of about so many tokens by a hash, at most MOST_BUCKETS; each bucket learns a share of its documents in each round, between which the buckets' networks are averaged.
 BUCKET_TOKENS, MOST_BUCKETS, ROUNDS = 16_000_000, 4096, 2
 #: Tokens that are put in a line to be learned from or scored together.
@@ -198,6 +198,7 @@ class LogBilinear:
         """One Adagrad step of noise-contrastive estimation for each BATCH places of the line, of which those in `at` are predicted: NOISE outcomes of the root drawn from `noise` are told apart from the true ones, and INNER_NOISE cells of its node from each true cell."""
         logs = np.log(NOISE * noise).astype(np.float32)
         tree, state = self.tree, LogBilinear(seen, self.tree)
+        noise_share = tree.share + np.float32(np.log(INNER_NOISE))
 
         def summed(ids, values):
             """The distinct ids, and the sums of each one's rows of values(order)."""
@@ -216,8 +217,9 @@ class LogBilinear:
                 old[rows] = square
             own[rows] -= RATE * g / np.sqrt(square + 1e-8)
 
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
         every = slice(None)
+        np.seterr(over="ignore")  # a sigmoid of a large negative number is 0
         cuts = np.searchsorted(at, np.arange(CONTEXT, len(line) + BATCH, BATCH))
         for i, low, high in zip(range(CONTEXT, len(line), BATCH), cuts[:-1], cuts[1:], strict=False):
             use = at[low:high] - i
@@ -237,22 +239,19 @@ class LogBilinear:
             out[rows] = sums
             np.add.at(out, drawn, to_bad.T @ guess)
             bias = (np.bincount(true, to_good, ROOT) + np.bincount(drawn, to_bad.sum(0), ROOT)).astype(np.float32)
-            ids_of, slopes, tokens = [], [], []
-            for level in (1, 2):
-                some = np.flatnonzero(path[:, level] >= 0)
-                if len(some):
-                    cells = path[some, level]
-                    ids = np.concatenate([cells[:, None], tree.drawn(cells, rng)], 1)  # the true cell first
-                    own, vectors = guess[some], self.inner[ids]
-                    slope = sigmoid(np.einsum("td,tkd->tk", own, vectors) + self.inner_bias[ids] - tree.share[ids] - np.float32(np.log(INNER_NOISE)))
-                    slope[:, 0] -= 1
-                    to_guess[some] += np.einsum("tk,tkd->td", slope, vectors)
-                    ids_of.append(ids.ravel())
-                    slopes.append(slope.ravel())
-                    tokens.append(np.repeat(some, INNER_NOISE + 1))
-            if ids_of:
-                slope, token = np.concatenate(slopes)[:, None], np.concatenate(tokens)
-                rows, sums = summed(np.concatenate(ids_of), lambda order: np.concatenate([slope[order] * guess[token[order]], slope[order]], 1))  # noqa: B023
+            some = [np.flatnonzero(path[:, level] >= 0) for level in (1, 2)]
+            token = np.concatenate(some)
+            if len(token):
+                cells = np.concatenate([path[t, level] for t, level in zip(some, (1, 2), strict=True)])
+                ids = np.concatenate([cells[:, None], tree.drawn(cells, rng)], 1)  # the true cell first
+                vectors = self.inner[ids]
+                slope = sigmoid(np.einsum("td,tkd->tk", guess[token], vectors) + self.inner_bias[ids] - noise_share[ids])
+                slope[:, 0] -= 1
+                more = np.einsum("tk,tkd->td", slope, vectors)
+                to_guess[some[0]] += more[: len(some[0])]
+                to_guess[some[1]] += more[len(some[0]) :]
+                flat, wide = slope.reshape(-1, 1), INNER_NOISE + 1
+                rows, sums = summed(ids.ravel(), lambda order: np.concatenate([flat[order] * guess[token[order // wide]], flat[order]], 1))  # noqa: B023
                 step(self.inner, state.inner, rows, sums[:, :DIM])
                 step(self.inner_bias, state.inner_bias, rows, sums[:, DIM])
             # Each place hands its slope on to the CONTEXT places before it.
@@ -273,6 +272,14 @@ def is_training(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 1, F.lit(True))
 
 
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, counts): names[order] is sorted, and its distinct values begin at first."""
+    order = np.argsort(names)
+    line = names[order]
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+    return order, first, np.diff(first, append=len(line))
+
+
 def count_words(train: DataFrame, text: str) -> DataFrame:
     """(h, leaf, c): hash of each word, its subclass, its count; each task sums its own first."""
 
@@ -281,23 +288,23 @@ def count_words(train: DataFrame, text: str) -> DataFrame:
 
         def handed_on():
             names, leaves, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
-            h, at, back = np.unique(names, return_index=True, return_inverse=True)
-            return h, leaves[at], np.bincount(back, counts).astype(np.int64)
+            order, first, _ = distinct(names)
+            return names[order[first]], leaves[order[first]], np.add.reduceat(counts[order], first)
 
         for batch in released(batches):
             for a, b in runs(batch[text]):
                 words = Words(batch[text].iloc[a:b].tolist())
                 names, leaves = words.hashes(), leaves_of(words)
-                h, at, c = np.unique(names, return_index=True, return_counts=True)
-                kept.append((h, leaves[at], c))
-                size += len(h)
+                order, first, c = distinct(names)
+                kept.append((names[order[first]], leaves[order[first]], c))
+                size += len(c)
                 if size > 2 * FLUSH:
                     kept = [handed_on()]
                     size = len(kept[0][0])
                     if size > FLUSH:
                         yield frame(*kept.pop())
                         size = 0
-        if kept:
+        if size:
             yield frame(*handed_on())
 
     def frame(h, leaves, c):
@@ -379,7 +386,8 @@ def coded(docs: DataFrame, vocab: Vocabulary, key: str, text: str) -> DataFrame:
                 logs = np.zeros(len(names))
                 logs[hit] = np.log10(vocab.head_counts[place[hit]] + 0.5)
                 rest = np.flatnonzero(~hit)
-                order = np.lexsort((names[rest], of[rest]))
+                order = np.argsort(names[rest])
+                order = order[np.argsort(of[rest][order].astype(np.uint16 if b - a < 1 << 16 else np.int64), kind="stable")]
                 h, t = names[rest][order].view(np.int64), of[rest][order]
                 begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])) if len(h) else np.zeros(0, np.int64)
                 tf = np.diff(begin, append=len(h)).astype(np.int32)
@@ -470,7 +478,7 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         tree, flat = shared.value
         net = LogBilinear(flat, tree)
         for batch in released(batches):
-            for a, b in runs(batch["units"], 4 * LINE):
+            for a, b in runs(batch["units"], 16 * LINE):
                 own = [np.frombuffer(x, np.int32) for x in batch["units"].iloc[a:b]]
                 line, at, ends = with_ends(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
                 sums = np.concatenate([[0.0], np.cumsum(net.log_probs(line, at))])
