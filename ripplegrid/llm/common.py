@@ -94,9 +94,14 @@ def released(batches: Iterable, using: str = "words") -> Iterator:
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        if _LIBC is not None:
-            _LIBC.malloc_trim(0)
+        trimmed()
+
+
+def trimmed() -> None:
+    """Gives memory that this process doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def tasks(spark: SparkSession) -> int:

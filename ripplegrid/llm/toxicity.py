@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, runs, written
+from .common import released, runs, trimmed, written
 from .wordscan import LETTERS, Words
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
@@ -245,6 +245,8 @@ class ToxicityClassifier:
             net.fit(some[text].tolist(), y)
         else:
             net.out[:], net.out_bias = 0, -6.0
+        del some
+        trimmed()
         scored = written(docs.select(F.col(key), F.col(lang).cast("string").alias("lang"), logit_column(net, F.col(text), spark).alias("logit"), fits(text).alias("fits")))
         middle, cuts = calibrated(scored, own, chosen, key) if learns else (None, {})
         # Centre the score: the logit that parts the labels best becomes the score PREDICTED_FROM.
