@@ -65,10 +65,10 @@ def erased(*tables: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets Python workers get at most BATCH_ROWS texts at a time, unless the session asks for fewer: for queries and jobs, which own their session. Operators leave it alone; Spark's own bound, in bytes, holds for them in any case."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lets Python workers and the readers of files hold at most BATCH_ROWS texts at a time, unless the session asks for fewer: for queries and jobs, which own their session. Operators leave it alone; Spark's own bound, in bytes, holds for workers in any case."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
 
 
 #: Rows up to which what is left out of a table is sent to every task (16 MB).
