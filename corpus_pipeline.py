@@ -9,11 +9,12 @@ first two stages, and one of them stays in the third; an empty table gives an em
 from __future__ import annotations
 
 import functools
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplegrid.llm import bpe, kneser, minhash, mixing, toxicity
-from ripplegrid.llm.common import bounded_batches, erased, table, written
+from ripplegrid.llm.common import bounded_batches, erased, table, trimmed, written
 
 
 def batched(stage):
@@ -22,7 +23,10 @@ def batched(stage):
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
-        return stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
+        gc.collect()  # plans and broadcasts that this stage is done with
+        trimmed()
+        return out
 
     return run_stage
 

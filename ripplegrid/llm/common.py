@@ -53,6 +53,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    trimmed()
     return out
 
 
