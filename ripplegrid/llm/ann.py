@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import one_thread, written
 
 #: Points of a shard on average, edges of a point, beam widths of building and of searching, relaxations of the two passes.
 SHARD, DEGREE, BUILD_BEAM, BEAM, RELAXED = 100_000, 32, 48, 128, (1.0, 1.2)
@@ -163,6 +163,7 @@ class Shard:
 
     @staticmethod
     def row(group: pd.DataFrame) -> pd.DataFrame:
+        one_thread()
         group = group.sort_values("rep")
         own = stacked(group["v"])
         graph, begin = build_graph(unit(own).astype(np.float32))
@@ -210,6 +211,7 @@ def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_
     line = index.select("*", F.lit(None).cast("long").alias("q"), F.lit(None).cast("array<double>").alias("v")).unionByName(every_shard.select("shard", "dim", *empty, "q", "v"))
 
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         here = None
         for batch in batches:
             for (number, dim), part in batch.groupby(["shard", "dim"], sort=False):

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
+import glob
+import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +93,7 @@ def without(docs: DataFrame, rows: DataFrame, key: str, tag: Column) -> DataFram
 
 def released(batches: Iterable, using: str = "words") -> Iterator:
     """The batches, for work that uses one of the tables in HELD. Workers live on between tasks: so they drop the other tables first, and after each batch give unused memory back to the system."""
+    one_thread()
     for name, drop in HELD.items():
         if name != using:
             drop()
@@ -98,6 +103,17 @@ def released(batches: Iterable, using: str = "words") -> Iterator:
         trimmed()
 
 
+@functools.cache
+def one_thread() -> None:
+    """Has numpy's matrix products use one thread in this process, as every task has a core: more of them spin while they wait for each other. Without OpenBLAS nothing happens."""
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return
+
+
 def trimmed() -> None:
     """Gives memory that this process doesn't use back to the system."""
     pa.default_memory_pool().release_unused()
