@@ -181,9 +181,10 @@ class LogBilinear:
             part, own = guess[i : i + 4096], path[i : i + 4096, 0]
             out[i : i + 4096] = np.einsum("td,td->t", part, root[own]) - log_sums(part, root, calm)
         for level in (1, 2):
-            use = np.flatnonzero(path[:, level] >= 0)
-            use = use[np.argsort(path[use, level], kind="stable")]
-            cells, own = path[use, level], guess[use]
+            column = np.ascontiguousarray(path[:, level])
+            use = np.flatnonzero(column >= 0)
+            use = use[np.argsort(column[use])]
+            cells, own = column[use], guess[use]
             sums, cuts = np.empty(len(use), np.float32), np.searchsorted(cells, tree.start)
             for n in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = tree.start[n], tree.start[n + 1]
@@ -257,7 +258,7 @@ class LogBilinear:
             # Each place hands its slope on to the CONTEXT places before it.
             whole, to_embedded = np.zeros((size, DIM), np.float32), np.zeros((len(here), DIM), np.float32)
             whole[use] = to_guess
-            position = np.stack([(whole * e).sum(0) for e in shifted])
+            position = np.stack([np.einsum("td,td->d", whole, e) for e in shifted])
             for k in range(CONTEXT):
                 to_embedded[CONTEXT - 1 - k : CONTEXT - 1 - k + size] += whole * self.position[k]
             rows, sums = summed(here, lambda order: to_embedded[order])  # noqa: B023
