@@ -124,14 +124,15 @@ def with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return line, np.flatnonzero(real), np.cumsum(counts + 1)
 
 
-def log_sums(left: np.ndarray, right: np.ndarray, calm: bool) -> np.ndarray:
-    """log of the sum of the exponentials of each row of left @ right.T; calm: no product is far from 0."""
+def log_shares(left: np.ndarray, right: np.ndarray, own: np.ndarray, calm: bool) -> np.ndarray:
+    """log of the share of column own of each row of the exponentials of left @ right.T; calm: no product is far from 0."""
     scores = left @ right.T
+    picked = scores.ravel().take(np.arange(0, scores.size, len(right)) + own)
     if calm:
         np.exp(scores, out=scores)
-        return np.log(scores @ np.ones(len(right), np.float32))
+        return picked - np.log(scores @ np.ones(len(right), np.float32))
     top = scores.max(1, keepdims=True)
-    return top[:, 0] + np.log(np.exp(scores - top).sum(1))
+    return picked - top[:, 0] - np.log(np.exp(scores - top).sum(1))
 
 
 def with_column(vectors: np.ndarray, column: np.ndarray) -> np.ndarray:
@@ -164,35 +165,40 @@ class LogBilinear:
         return net
 
     def predictions(self, line: np.ndarray) -> np.ndarray:
-        """Of each place of the line, from the units before it in the line."""
-        embedded, out = self.embed[line], np.zeros((len(line), DIM), np.float32)
-        for k in range(CONTEXT):
-            out[k + 1 :] += embedded[: len(line) - k - 1] * self.position[k]
+        """Of each place of the line, from the units before it in the line; places are taken in parts that stay in the processor's cache."""
+        out = np.zeros((len(line), DIM), np.float32)
+        for i in range(0, len(line), 1 << 13):
+            begin = max(0, i - CONTEXT)
+            embedded, part = self.embed.take(line[begin : i + (1 << 13)], 0), out[i : i + (1 << 13)]
+            for k in range(CONTEXT):
+                skip = max(0, k + 1 - (i - begin))  # places of this part that have no unit k + 1 before
+                from_ = i - begin + skip - k - 1
+                part[skip:] += embedded[from_ : from_ + max(0, len(part) - skip)] * self.position[k]
         return out
 
     def log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 of the normalised probability of the unit at each place: of the root's outcome and of its cells."""
         tree, out = self.tree, np.empty(len(at), np.float64)
-        guess, path = with_column(self.predictions(line)[at], np.float32(1)), tree.path[line[at]]
+        guess, path = with_column(self.predictions(line).take(at, 0), np.float32(1)), tree.path.take(line.take(at), 0)
         root, inner = with_column(self.out, self.bias), with_column(self.inner, self.inner_bias)
         longest = lambda x: float(np.sqrt((x * x).sum(1).max(initial=0)))
         calm = longest(guess) * max(longest(root), longest(inner)) < 60
         for i in range(0, len(at), 4096):
             part, own = guess[i : i + 4096], path[i : i + 4096, 0]
-            out[i : i + 4096] = np.einsum("td,td->t", part, root[own]) - log_sums(part, root, calm)
+            out[i : i + 4096] = log_shares(part, root, own, calm)
         for level in (1, 2):
             column = np.ascontiguousarray(path[:, level])
             use = np.flatnonzero(column >= 0)
-            use = use[np.argsort(column[use])]
-            cells, own = column[use], guess[use]
-            sums, cuts = np.empty(len(use), np.float32), np.searchsorted(cells, tree.start)
+            use = use.take(np.argsort(column.take(use)))
+            cells, own = column.take(use), guess.take(use, 0)
+            logs, cuts = np.empty(len(use), np.float32), np.searchsorted(cells, tree.start)
             for n in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = tree.start[n], tree.start[n + 1]
                 step = max(1, (1 << 19) // (b - a))
                 for i in range(cuts[n], cuts[n + 1], step):
                     j = min(i + step, cuts[n + 1])
-                    sums[i:j] = log_sums(own[i:j], inner[a:b], calm)
-            out[use] += np.einsum("td,td->t", own, inner[cells]) - sums
+                    logs[i:j] = log_shares(own[i:j], inner[a:b], cells[i:j] - a, calm)
+            out[use] += logs
         return out / np.log(10)
 
     def learn(self, line: np.ndarray, at: np.ndarray, seen: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
@@ -203,14 +209,15 @@ class LogBilinear:
 
         def summed(ids, values):
             """The distinct ids, and the sums of each one's rows of values(order)."""
-            order = np.argsort(ids)
-            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            return ids[order][first], np.add.reduceat(values(order), first, axis=0)
+            line = np.sort(ids.astype(np.int64) << 32 | np.arange(len(ids)))  # quicker than an argsort
+            order, line = line & 0xFFFFFFFF, line >> 32
+            first = np.flatnonzero(np.diff(line, prepend=-1))
+            return line.take(first), np.add.reduceat(values(order), first, axis=0)
 
         def step(own, old, rows, grad):
             # One rate a row: a row's squared slopes are averaged over its columns.
             g = grad / np.float32(len(use))
-            square = old[rows, -1] + (g * g).mean(-1) if g.ndim > 1 else old[rows] + g * g
+            square = old[rows, -1] + np.einsum("rd,rd->r", g, g) / np.float32(g.shape[1]) if g.ndim > 1 else old[rows] + g * g
             if g.ndim > 1:
                 old[rows, -1] = square
                 square = square[:, None]
@@ -227,16 +234,18 @@ class LogBilinear:
             if not len(use):
                 continue
             here = line[i - CONTEXT : i + BATCH]
-            embedded, size = self.embed[here], len(here) - CONTEXT
+            embedded, size = self.embed.take(here, 0), len(here) - CONTEXT
             shifted = [embedded[CONTEXT - 1 - k : CONTEXT - 1 - k + size] for k in range(CONTEXT)]
-            guess = sum(e * p for e, p in zip(shifted, self.position, strict=True))[use]
-            path = tree.path[here[CONTEXT:][use]]
-            true, drawn = path[:, 0], rng.choice(ROOT, NOISE, p=noise)
-            to_good = sigmoid((guess * self.out[true]).sum(1) + self.bias[true] - logs[true]) - 1
-            to_bad = sigmoid(guess @ self.out[drawn].T + (self.bias - logs)[drawn])
-            to_guess = to_good[:, None] * self.out[true] + to_bad @ self.out[drawn]
+            guess = sum(e * p for e, p in zip(shifted, self.position, strict=True)).take(use, 0)
+            path = tree.path.take(here[CONTEXT:].take(use), 0)
+            true, drawn = np.ascontiguousarray(path[:, 0]), rng.choice(ROOT, NOISE, p=noise)
+            good, bad = self.out.take(true, 0), self.out[drawn]
+            to_good = sigmoid(np.einsum("td,td->t", guess, good) + (self.bias - logs).take(true)) - 1
+            to_bad = sigmoid(guess @ bad.T + (self.bias - logs)[drawn])
+            good *= to_good[:, None]
+            to_guess = good + to_bad @ bad
             out = np.zeros((ROOT, DIM), np.float32)
-            rows, sums = summed(true, lambda order: to_good[order, None] * guess[order])  # noqa: B023
+            rows, sums = summed(true, lambda order: to_good.take(order)[:, None] * guess.take(order, 0))  # noqa: B023
             out[rows] = sums
             np.add.at(out, drawn, to_bad.T @ guess)
             bias = (np.bincount(true, to_good, ROOT) + np.bincount(drawn, to_bad.sum(0), ROOT)).astype(np.float32)
@@ -245,14 +254,14 @@ class LogBilinear:
             if len(token):
                 cells = np.concatenate([path[t, level] for t, level in zip(some, (1, 2), strict=True)])
                 ids = np.concatenate([cells[:, None], tree.drawn(cells, rng)], 1)  # the true cell first
-                vectors = self.inner[ids]
-                slope = sigmoid(np.einsum("td,tkd->tk", guess[token], vectors) + self.inner_bias[ids] - noise_share[ids])
+                vectors = self.inner.take(ids, 0)
+                slope = sigmoid(np.einsum("td,tkd->tk", guess.take(token, 0), vectors) + self.inner_bias.take(ids) - noise_share.take(ids))
                 slope[:, 0] -= 1
                 more = np.einsum("tk,tkd->td", slope, vectors)
                 to_guess[some[0]] += more[: len(some[0])]
                 to_guess[some[1]] += more[len(some[0]) :]
-                flat, wide = slope.reshape(-1, 1), INNER_NOISE + 1
-                rows, sums = summed(ids.ravel(), lambda order: np.concatenate([flat[order] * guess[token[order // wide]], flat[order]], 1))  # noqa: B023
+                flat, wide, whole_guess = slope.reshape(-1, 1), INNER_NOISE + 1, with_column(guess, np.float32(1))
+                rows, sums = summed(ids.ravel(), lambda order: flat.take(order, 0) * whole_guess.take(token.take(order // wide), 0))  # noqa: B023
                 step(self.inner, state.inner, rows, sums[:, :DIM])
                 step(self.inner_bias, state.inner_bias, rows, sums[:, DIM])
             # Each place hands its slope on to the CONTEXT places before it.
@@ -261,7 +270,7 @@ class LogBilinear:
             position = np.stack([np.einsum("td,td->d", whole, e) for e in shifted])
             for k in range(CONTEXT):
                 to_embedded[CONTEXT - 1 - k : CONTEXT - 1 - k + size] += whole * self.position[k]
-            rows, sums = summed(here, lambda order: to_embedded[order])  # noqa: B023
+            rows, sums = summed(here, lambda order: to_embedded.take(order, 0))  # noqa: B023
             step(self.embed, state.embed, rows, sums)
             step(self.position, state.position, every, position)
             step(self.out, state.out, every, out)
