@@ -33,8 +33,8 @@ CONTEXT, DIM, NOISE, INNER_NOISE, BATCH, RATE, SEED = 4, 8, 16, 1, 2048, 0.15, 7
 LEAST_COUNT = 40
 #: Training documents are dealt to buckets of about so many tokens by a hash, at most MOST_BUCKETS; each bucket learns a share of its documents in each round, between which the buckets' networks are averaged.
 BUCKET_TOKENS, MOST_BUCKETS, ROUNDS = 16_000_000, 4096, 2
-#: Tokens that are put in a line to be learned from or scored together.
-LINE = 1 << 17
+#: Tokens that are put in a line to be learned from together, and those that are scored together.
+LINE, SCORED = 1 << 17, 1 << 20
 #: Weights in a row of those handed on, and networks added up in a task.
 SLICE, ADDED = 1 << 16, 64
 #: Most words whose counts are sent to every task, and that have vectors (under 200 bytes each).
@@ -486,13 +486,26 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, flat = shared.value
-        net = LogBilinear(flat, tree)
+        net, held, size = LogBilinear(flat, tree), [], 0
+
+        def scored():
+            rows = pd.concat(held)
+            own = [np.frombuffer(x, np.int32) for x in rows["units"]]
+            line, at, ends = with_ends(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(line, at))])
+            return rows[given].assign(model=np.diff(sums[np.concatenate([[0], ends])]))
+
+        # A choice costs some time however few words take it, so words of several batches are scored together.
         for batch in released(batches):
-            for a, b in runs(batch["units"], 16 * LINE):
-                own = [np.frombuffer(x, np.int32) for x in batch["units"].iloc[a:b]]
-                line, at, ends = with_ends(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
-                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(line, at))])
-                yield batch.iloc[a:b][given].assign(model=np.diff(sums[np.concatenate([[0], ends])]))
+            for a, b in runs(batch["units"], 4 * SCORED):
+                part = batch.iloc[a:b]
+                held.append(part)
+                size += sum(map(len, part["units"])) // 4 + len(part)
+                if size >= SCORED:
+                    yield scored()
+                    held, size = [], 0
+        if held:
+            yield scored()
 
     given = ["uid", key, "n", "known", "logs", "left"]
     kind = rows.schema[key].dataType.simpleString()
