@@ -14,7 +14,7 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplegrid.llm import bpe, kneser, minhash, mixing, toxicity
-from ripplegrid.llm.common import bounded_batches, erased, table, trimmed, written
+from ripplegrid.llm.common import bounded_batches, driver_trimmed, erased, table, written
 
 
 def batched(stage):
@@ -23,9 +23,10 @@ def batched(stage):
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
+        driver_trimmed(spark)
         out = stage(spark, docs, sf_dir)
         gc.collect()  # plans and broadcasts that this stage is done with
-        trimmed()
+        driver_trimmed(spark)
         return out
 
     return run_stage

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import glob
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    trimmed()
+    driver_trimmed(spark)
     return out
 
 
@@ -121,6 +123,22 @@ def trimmed() -> None:
         _LIBC.malloc_trim(0)
 
 
+def driver_trimmed(spark: SparkSession) -> None:
+    """Gives memory that the driver doesn't use back to the system: Python's, and what compilers and ended threads left in the JVM's native heap. A JVM that has no such command is left alone."""
+    trimmed()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # The server's own class is hidden, so its method is called by the interface's description.
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    given[0], given[1] = command, "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
