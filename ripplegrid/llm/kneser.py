@@ -30,16 +30,16 @@ VOCABULARY, PAD, END, UNKNOWN, FIRST = 60_000, 0, 1, 2, 3
 LEAST_TRIGRAM = 2
 #: A document is kept up to this quantile of its language's trusted documents.
 QUANTILE = 0.99
-#: Trusted documents whose n-grams are counted, at most, and so the model's size.
-TRUSTED_ROWS = 30_000
-#: Shards of the model; n-grams that every task gets (12 bytes each); bits of the bloom filter and of each n-gram in it.
-SHARDS, HEAD, BLOOM_BITS, BLOOM_HASHES = 64, 300_000, 1 << 26, 4
+#: Shards of the model for each TOKENS of trusted text; n-grams that every task gets (12 bytes each); bits of the bloom filter and of each n-gram in it.
+SHARDS, TOKENS, HEAD, BLOOM_BITS, BLOOM_HASHES = 64, 1 << 28, 300_000, 1 << 26, 4
 #: Documents that are scored together, and those that one task joins with a shard of the model.
 BLOCK, DOCUMENTS = 1024, 500_000
 #: N-grams that a task counts before it hands them on.
 FLUSH = 1 << 21
-#: Languages and ids up to which they are broadcast.
-BROADCAST_LANGS, BROADCAST_IDS = 10_000, 1_000_000
+#: Languages up to which they are broadcast; ids of one broadcast, and the most broadcasts that ids are dealt to.
+BROADCAST_LANGS, BROADCAST_IDS, BROADCASTS = 10_000, 1_000_000, 8
+#: How often an n-gram is used matters up to this: only the head is chosen by it.
+MOST = np.iinfo(np.int32).max
 _PAIR, _CONTEXT, _TRIPLE = (np.int64(k) << np.int64(50) for k in (1, 2, 3))
 _KEY = (np.int64(1) << np.int64(52)) - np.int64(1)
 
@@ -116,15 +116,16 @@ def from_steps(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data, np.int64))
 
 
-def shard_of(keys: np.ndarray) -> np.ndarray:
-    return (mixed(keys.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) % SHARDS
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(keys.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) % shards
 
 
 class Numbering:
-    """Numbers of the vocabulary's words, by sorted hashes; spared: log10 of one of the units left out."""
+    """Numbers of the vocabulary's words, by sorted hashes; spared: log10 of one of the units left out; shards: of the model of all its text."""
 
-    def __init__(self, hashes: np.ndarray, left_out: int):
+    def __init__(self, hashes: np.ndarray, left_out: int, tokens: int = 0):
         self.hashes, self.spared = np.sort(hashes), -np.log10(left_out + 1)
+        self.shards = SHARDS * max(1, -(-tokens // TOKENS))
 
     def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(line, first): the numbers of all units of the texts, with two PADs before and END after each; first[i]: where text i's PADs begin."""
@@ -170,7 +171,8 @@ def numbering(texts: DataFrame, text: str) -> Numbering:
 
     counts = written(texts.select(text).mapInPandas(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     step = F.floor(F.log2("c") * 4).cast("int")
-    steps = {r["s"]: r["n"] for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()
+    steps, tokens = {r["s"]: r["n"] for r in found}, sum(r["c"] for r in found)
     total, least = 0, 4  # of 2 or more
     for s in sorted(steps, reverse=True):
         total += steps[s]
@@ -180,12 +182,12 @@ def numbering(texts: DataFrame, text: str) -> Numbering:
     found = counts.filter(step >= least).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     erased(counts)
     trimmed()
-    return Numbering(found, sum(steps.values()) - len(found))
+    return Numbering(found, sum(steps.values()) - len(found), tokens)
 
 
 def count_triples(texts: DataFrame, numbers: Numbering, text: str) -> DataFrame:
     """(shard, keys, counts, of_triples, of_pairs, follows): the trigrams of each shard, sorted; how many trigrams and bigram types have counts 1 to 4; and in after how many words each word is found."""
-    shared = texts.sparkSession.sparkContext.broadcast(numbers)
+    shared, shards = texts.sparkSession.sparkContext.broadcast(numbers), numbers.shards
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -205,18 +207,39 @@ def count_triples(texts: DataFrame, numbers: Numbering, text: str) -> DataFrame:
 
     def sharded(parts):
         keys, counts = added(parts)
-        shard = shard_of(keys >> 16 & 0xFFFF)
-        rows = [(s, steps(keys[use]), planes(counts[use].astype(np.int32))) for s in range(SHARDS) if (use := shard == s).any()]
+        shard = shard_of(keys >> 16 & 0xFFFF, shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        rows = [(s, steps(keys[use]), planes(counts[use])) for s in range(shards) if len(use := order[cuts[s] : cuts[s + 1]])]
         return pd.DataFrame(rows, columns=["shard", "keys", "counts"])
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = added([(from_steps(k), from_planes(c, np.int32)) for k, c in zip(group["keys"], group["counts"], strict=True)])
+    def merge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A shard's parts come in a row; they are added up whenever there is as much again, so that not all of them are held."""
+        here, held, size, limit = None, [], 0, FLUSH
+        for batch in batches:
+            for s, k, c in zip(batch["shard"], batch["keys"], batch["counts"], strict=True):
+                if s != here and held:
+                    yield merged(here, held)
+                    held, size, limit = [], 0, FLUSH
+                here = s
+                held.append((from_steps(k), from_planes(c, np.int64)))
+                size += len(held[-1][0])
+                if size > limit:
+                    held = [added(held)]
+                    size = len(held[0][0])
+                    limit = max(FLUSH, 2 * size)
+        if held:
+            yield merged(here, held)
+
+    def merged(s, parts):
+        keys, counts = added(parts)
         pairs, many = np.unique(keys & 0xFFFFFFFF, return_counts=True)
         follows = np.bincount(pairs & 0xFFFF, minlength=VOCABULARY + FIRST).astype(np.int32)
-        return pd.DataFrame({"shard": group["shard"].iloc[:1], "keys": [steps(keys)], "counts": [planes(counts.astype(np.int32))], "of_triples": [counted(counts)], "of_pairs": [counted(many)], "follows": [follows.tobytes()]})
+        return pd.DataFrame({"shard": [s], "keys": [steps(keys)], "counts": [planes(counts)], "of_triples": [counted(counts)], "of_pairs": [counted(many)], "follows": [follows.tobytes()]})
 
     parts = texts.select(text).mapInPandas(work, "shard int, keys binary, counts binary")
-    return written(parts.groupBy("shard").applyInPandas(merged, "shard int, keys binary, counts binary, of_triples array<long>, of_pairs array<long>, follows binary"))
+    dealt = parts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    return written(dealt.mapInPandas(merge, "shard int, keys binary, counts binary, of_triples array<long>, of_pairs array<long>, follows binary"))
 
 
 @dataclass
@@ -303,18 +326,20 @@ class KneserNey:
         parts = grams.select(F.pmod("shard", F.lit(4)).alias("part"), "of_triples", "of_pairs", "follows").groupBy("part").applyInPandas(totals, "of_triples array<long>, of_pairs array<long>, follows binary")
         base = lowest(parts.collect(), len(numbers.hashes))
         shared = spark.sparkContext.broadcast(base)
-        quota, bits = HEAD // SHARDS, BLOOM_BITS // SHARDS
+        shards = numbers.shards
+        quota, bits = HEAD // shards, BLOOM_BITS // shards // 8 * 8
 
         def smooth(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for k, c in zip(batch["keys"], batch["counts"], strict=True):
-                    keys, values, uses, contexts, spared = smoothed(from_steps(k), from_planes(c, np.int32).astype(np.int64), shared.value)
-                    shard = shard_of(keys)
+                    keys, values, uses, contexts, spared = smoothed(from_steps(k), from_planes(c, np.int64), shared.value)
+                    shard = shard_of(keys, shards)
+                    order = np.lexsort((keys, shard))
+                    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                     rows = []
-                    for s in range(SHARDS):
-                        use = np.flatnonzero(shard == s)
-                        use = use[np.argsort(keys[use])]
-                        rows.append((s, steps(keys[use]), planes(values[use].astype(np.float32)), planes(uses[use].astype(np.int32)), None, None))
+                    for s in range(shards):
+                        use = order[cuts[s] : cuts[s + 1]]
+                        rows.append((s, steps(keys[use]), planes(values[use].astype(np.float32)), planes(np.minimum(uses[use], MOST).astype(np.int32)), None, None))
                     rows.append((-1, None, None, None, contexts.tobytes(), spared.tobytes()))
                     yield pd.DataFrame(rows, columns=["shard", "keys", "vals", "uses", "contexts", "spared"])
 
@@ -333,7 +358,7 @@ class KneserNey:
 
         parts = grams.select("keys", "counts").mapInPandas(smooth, "shard int, keys binary, vals binary, uses binary, contexts binary, spared binary")
         model = written(parts.groupBy("shard").applyInPandas(placed, "shard int, keys binary, vals binary, contexts binary, spared binary, head binary, head_vals binary, bloom binary"))
-        head, head_values, bloom = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], np.zeros((SHARDS, bits // 8), np.uint8)
+        head, head_values, bloom = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], np.zeros((shards, bits // 8), np.uint8)
         for r in model.drop("keys", "vals").toLocalIterator():  # HEAD n-grams, BLOOM_BITS and the vocabulary's contexts
             if r["shard"] < 0:
                 base.spared[np.frombuffer(r["contexts"], np.int64)] = np.frombuffer(r["spared"])
@@ -369,7 +394,7 @@ class KneserNey:
             hit = self.head[at] == grams
             sums += np.bincount(owner[hit], self.head_values[at[hit]], len(texts))
             grams, owner = grams[~hit], owner[~hit]
-        shard, bits = shard_of(grams), self.bloom.shape[1] * 8
+        shard, bits = shard_of(grams, len(self.bloom)), self.bloom.shape[1] * 8
         may = np.ones(len(grams), bool)
         for place in bloom_places(grams, bits):
             may &= (self.bloom[shard, place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1) > 0
@@ -386,8 +411,8 @@ def perplexities(model: KneserNey, docs: DataFrame, text: str = "text", carried:
     spark = docs.sparkSession
     shape = docs.selectExpr(*carried).schema
     rows = docs.select(F.to_json(F.struct(*[F.expr(c) for c in carried], F.lit(0).alias("_")), {"ignoreNullFields": "false"}).alias("carried"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    shared = model.shared(spark)
-    subs = max(1, -(-docs.count() // DOCUMENTS))
+    shared, shards = model.shared(spark), model.numbers.shards
+    subs = max(1, -(-docs.count() * SHARDS // (DOCUMENTS * shards)))
 
     def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = KneserNey(*shared.value, None)
@@ -398,12 +423,14 @@ def perplexities(model: KneserNey, docs: DataFrame, text: str = "text", carried:
                 for i in range(a, b, BLOCK):
                     part = batch.iloc[i : min(i + BLOCK, b)]
                     sums, n, asked, times = own.known(part["__text"].tolist())
-                    yield pd.DataFrame({"block": block, "shard": turn % SHARDS, "sub": turn % subs, "place": np.arange(len(part)), "logp": sums, "n": n, "carried": part["carried"].to_numpy()})
+                    yield pd.DataFrame({"block": block, "shard": turn % shards, "sub": turn % subs, "place": np.arange(len(part)), "logp": sums, "n": n, "carried": part["carried"].to_numpy()})
                     order = np.argsort(asked & _KEY)
                     asked, times = asked[order], times[order]
-                    shard, packed = shard_of(asked & _KEY), []
-                    for s in range(SHARDS):
-                        if len(u := np.flatnonzero(shard == s)):
+                    shard, packed = shard_of(asked & _KEY, shards), []
+                    by_shard = np.argsort(shard, kind="stable")
+                    cuts = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+                    for s in range(shards):
+                        if len(u := by_shard[cuts[s] : cuts[s + 1]]):
                             packed.append((block, s, turn % subs, steps(asked[u] & _KEY), planes((asked[u] >> 52).astype(np.uint16)), planes(times[u].astype(np.int32))))
                     if packed:
                         yield pd.DataFrame(packed, columns=["block", "shard", "sub", "asked", "texts", "times"])
@@ -446,7 +473,7 @@ def perplexities(model: KneserNey, docs: DataFrame, text: str = "text", carried:
         for out in answer(batches):
             yield out.reindex(columns=[*given, "more"]).astype({"place": "Int32", "n": "Int64", "carried": object, "more": object})
 
-    dealt = line.unionByName(table).repartitionById(SHARDS * subs, F.col("shard") * subs + F.col("sub")).sortWithinPartitions("shard", "sub", F.col("block").asc_nulls_first())
+    dealt = line.unionByName(table).repartitionById(shards * subs, F.col("shard") * subs + F.col("sub")).sortWithinPartitions("shard", "sub", F.col("block").asc_nulls_first())
     found = dealt.mapInPandas(answered, "block long, place int, logp double, n long, carried string, more binary")
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
@@ -464,6 +491,19 @@ def perplexities(model: KneserNey, docs: DataFrame, text: str = "text", carried:
     return out.select(given_back, "log10_perplexity", "n_units").select(*[f"c.`{c}`" for c in shape.names], "log10_perplexity", "n_units")
 
 
+def having(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is in ids (key), distinct ones. Up to BROADCASTS times BROADCAST_IDS ids go to every task in as many parts as that takes, and no text is shuffled; beyond that, rows are matched by shuffle."""
+    parts = max(1, -(-ids.count() // BROADCAST_IDS))
+    if parts == 1 or parts > BROADCASTS:
+        return docs.join(F.broadcast(ids) if parts == 1 else ids, key, "left_semi")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found, own = docs.toDF(*names), names[docs.columns.index(key)]
+    for i in range(parts):
+        part = ids.filter(F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(parts)) == i).select(F.col(key).alias(f"k{i}"))
+        found = found.join(F.broadcast(part), F.col(own) == F.col(f"k{i}"), "left")
+    return found.filter(F.coalesce(*[F.col(f"k{i}") for i in range(parts)]).isNotNull()).select(*names).toDF(*docs.columns)
+
+
 def trusted_ids(labels: DataFrame, key: str = "doc_id", *, fold: bool = False) -> DataFrame:
     """Ids labelled as good; with fold only those whose crc32 as text, modulo 3, is not 1, so that the others can be evaluated."""
     good = labels.filter("quality = 1").select(F.col(key)).dropna().distinct()
@@ -479,12 +519,13 @@ class QualityClassifier:
     quantile: float
 
     @staticmethod
-    def trained(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, rows: int = TRUSTED_ROWS, fold: bool = False, key: str = "doc_id", text: str = "text") -> QualityClassifier:
-        """N-grams are counted in at most `rows` of four fifths of the trusted documents, chosen by a hash of their ids, so that no text is shuffled; the others are for the thresholds, as the counts would flatter a document of their own."""
+    def trained(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, rows: int | None = None, fold: bool = False, key: str = "doc_id", text: str = "text") -> QualityClassifier:
+        """All trusted documents are used: a fifth, by a hash of their ids, for the thresholds, as the counts would flatter a document of their own; n-grams are counted in all others. With `rows` these are at most so many, and what is left goes to the thresholds."""
         good = written(trusted_ids(labels, key, fold=fold))
-        part = F.pmod(F.xxhash64(F.lit("split"), F.col(key)), F.lit(5)) != 0
-        chosen = good.filter(part).orderBy(F.xxhash64(F.lit("trusted"), F.col(key)), key).limit(rows)
-        texts = docs.filter(F.col(text).isNotNull()).join(F.broadcast(chosen), key, "left_semi").select(text)
+        chosen = good.filter(F.pmod(F.xxhash64(F.lit("split"), F.col(key)), F.lit(5)) != 0)
+        if rows is not None:
+            chosen = chosen.orderBy(F.xxhash64(F.lit("trusted"), F.col(key)), key).limit(rows)
+        texts = having(docs.filter(F.col(text).isNotNull()).select(key, text), chosen, key).select(text)
         model = None if texts.isEmpty() else KneserNey.trained(texts, text)
         return QualityClassifier(model, good.join(chosen, key, "left_anti"), quantile)
 
@@ -503,7 +544,7 @@ def limited(scored: DataFrame, lang: str, limits: dict[str | None, float]) -> Da
     return out.withColumn("kept", F.col("log10_perplexity") <= F.col("threshold"))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, rows: int = TRUSTED_ROWS) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, rows: int | None = None) -> DataFrame:
     """(key, lang, n_units, log10_perplexity, threshold, kept) of every document; a perplexity that equals its threshold is kept.
 
     Null texts count as empty, repeated rows and null keys stay. Without any trusted document all are kept, with a
@@ -527,8 +568,7 @@ def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, *, key: s
     found = QualityClassifier.trained(labelled, labels, quantile=quantile, key=key, text=text)
     if found.model is None:
         return docs
-    rest = F.broadcast(found.rest) if found.rest.count() <= BROADCAST_IDS else found.rest
-    limits = found.limits(perplexities(found.model, labelled.join(rest, key, "left_semi"), text, (f"cast(`{lang}` AS string) AS lang",)), "lang")
+    limits = found.limits(perplexities(found.model, having(labelled, found.rest, key), text, (f"cast(`{lang}` AS string) AS lang",)), "lang")
     tag = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.col(f"`{lang}`").cast("string"))
     tagged = f"xxhash64(coalesce(cast(`{text}` AS string), ''), cast(`{lang}` AS string)) AS t"
     scored = perplexities(found.model, docs, text, (f"`{key}` AS k", f"cast(`{lang}` AS string) AS lang", tagged))

@@ -440,3 +440,26 @@ def test_quality_learns_from_all_trusted_labels(spark):
     assert kneser.trusted_ids(labels, fold=True).count() == 0
     few, many = (kneser.QualityClassifier.trained(docs, labels, rows=n).model for n in (5, 1000))
     assert few.numbers.spared > many.numbers.spared
+
+
+def test_quality_counts_every_trusted_document(spark):
+    """Each text has a word of its own, so the words left out tell how many texts were counted."""
+    docs = spark.range(45_000).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang")
+    found = kneser.QualityClassifier.trained(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    counted = round(10**-found.model.numbers.spared) - 1
+    assert counted > 35_000 and counted + found.rest.count() == 45_000
+
+
+def test_quality_is_the_same_in_more_shards_and_broadcasts(spark, monkeypatch):
+    texts = [*prose(200, 5), None, ""]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(None, "no id", "en"), (3, "the cat", "en")], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(202)], "doc_id long, quality int")
+
+    def result():
+        return sorted((r["doc_id"] or -1, r["n_units"], round(r["log10_perplexity"], 4), round(r["threshold"], 4)) for r in kneser.classify_quality(docs, labels).collect()), sorted(r["doc_id"] or -1 for r in kneser.keep_good(docs, docs, labels, quantile=0.9).collect())
+
+    one = result()
+    for name, value in (("TOKENS", 2000), ("HEAD", 300), ("FLUSH", 50), ("BROADCAST_IDS", 60)):
+        monkeypatch.setattr(kneser, name, value)
+    assert kneser.numbering(docs.filter("text IS NOT NULL"), "text").shards > kneser.SHARDS
+    assert result() == one
