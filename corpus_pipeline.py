@@ -14,15 +14,16 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplegrid.llm import bpe, kneser, minhash, mixing, toxicity
-from ripplegrid.llm.common import bounded_batches, driver_trimmed, erased, table, written
+from ripplegrid.llm.common import bounded_batches, driver_trimmed, erased, executors_trimmed, table, written
 
 
 def batched(stage):
-    """A stage sets its session's batches, which the pipeline owns."""
+    """A stage sets its session's batches, which the pipeline owns, and begins with what memory the last one left given back."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
+        executors_trimmed(spark)
         driver_trimmed(spark)
         out = stage(spark, docs, sf_dir)
         gc.collect()  # plans and broadcasts that this stage is done with

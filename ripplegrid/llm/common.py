@@ -139,6 +139,12 @@ def driver_trimmed(spark: SparkSession) -> None:
         named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
 
 
+def executors_trimmed(spark: SparkSession) -> None:
+    """Has every executor's JVM collect its garbage and give back the heap that it doesn't need, by as many tasks as there are cores: else the heap that one stage grew is held beside the next one's Python workers."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -221,6 +221,7 @@ def count_triples(texts: DataFrame, numbers: Numbering, text: str) -> DataFrame:
                 if s != here and held:
                     yield merged(here, held)
                     held, size, limit = [], 0, FLUSH
+                    trimmed()
                 here = s
                 held.append((from_steps(k), from_planes(c, np.int64)))
                 size += len(held[-1][0])
@@ -230,6 +231,8 @@ def count_triples(texts: DataFrame, numbers: Numbering, text: str) -> DataFrame:
                     limit = max(FLUSH, 2 * size)
         if held:
             yield merged(here, held)
+        del held
+        trimmed()
 
     def merged(s, parts):
         keys, counts = added(parts)
@@ -341,7 +344,10 @@ class KneserNey:
                         use = order[cuts[s] : cuts[s + 1]]
                         rows.append((s, steps(keys[use]), planes(values[use].astype(np.float32)), planes(np.minimum(uses[use], MOST).astype(np.int32)), None, None))
                     rows.append((-1, None, None, None, contexts.tobytes(), spared.tobytes()))
+                    del keys, values, uses, shard, order, use
                     yield pd.DataFrame(rows, columns=["shard", "keys", "vals", "uses", "contexts", "spared"])
+                    del rows
+                    trimmed()
 
         def placed(group: pd.DataFrame) -> pd.DataFrame:
             if group["shard"].iloc[0] < 0:

@@ -254,3 +254,12 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == n > 0
     none = docs.filter("false")
     assert all(stage(spark, none, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_stages_begin_with_garbage_collected(spark):
+    """What one stage left in the executors' heaps isn't held beside the next one's workers."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before, docs = full(), spark.range(3)
+    assert corpus_pipeline.batched(lambda spark, docs, sf_dir: docs)(spark, docs, "").count() == 3
+    assert full() > before
