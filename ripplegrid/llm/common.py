@@ -52,17 +52,32 @@ _OWN: dict[str, str] = {}
 _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: cuts the lineage, survives lost executors. erased() deletes them."""
+def written(df: DataFrame, path: str | None = None, mode: str = "error") -> DataFrame:
+    """The rows of df, written to the shared folder and read again: cuts the lineage, survives lost executors. erased() deletes them. With mode append they are added to what is in path."""
     spark = df.sparkSession
     path = path or shared_folder(spark)
-    df.write.parquet(path)
+    df.write.mode(mode).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     driver_trimmed(spark)
     return out
 
 
+#: Has Spark delete a plan's shuffle files when it ends, instead of once the driver's JVM happens to collect it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, path: str | None = None, mode: str = "error") -> DataFrame:
+    """written(), after which the plan's shuffle files are gone too: for plans whose shuffles take much disk. The session's setting is as before afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, path, mode)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def erased(*tables: DataFrame) -> None:
     """Deletes written() tables that nothing will read any more."""
     for df in tables:

@@ -5,7 +5,8 @@ Trigrams of the trusted documents are counted in shards by their middle word, wh
 order and that one's context all meet, so the smoothed probabilities are made shard by shard. They are kept as what
 each n-gram adds to the log-probability of the next lower order; a document's log-probability is then a sum over its
 n-grams, in any order. The most frequent n-grams go to every task, a bloom filter tells which others the model can't
-have, and the rest of each document's n-grams, counted once per document, are joined with the shards of the model.
+have, and the rest of each document's n-grams, counted once per document, are joined with the shards of the model, for
+one part of the documents after the other, as these n-grams take more disk than all else.
 A document is kept if its perplexity is at most its language's quantile among trusted documents that weren't counted.
 """
 
@@ -21,7 +22,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import erased, released, runs, trimmed, without, written
+from .common import erased, released, runs, settled, shared_folder, trimmed, without
 from .wordscan import BLANKS, Words, mixed
 
 #: Units of the vocabulary, at most: numbers have 16 bits. They occur at least twice; PAD stands before a text, END after it.
@@ -34,6 +35,8 @@ QUANTILE = 0.99
 SHARDS, TOKENS, HEAD, BLOOM_BITS, BLOOM_HASHES = 64, 1 << 28, 300_000, 1 << 26, 4
 #: Documents that are scored together, and those that one task joins with a shard of the model.
 BLOCK, DOCUMENTS = 1024, 500_000
+#: Parts of the documents that are joined one after the other: their n-grams are on disk a part at a time, and texts are read once a part.
+PARTS = 2
 #: N-grams that a task counts before it hands them on.
 FLUSH = 1 << 21
 #: Languages up to which they are broadcast; ids of one broadcast, and the most broadcasts that ids are dealt to.
@@ -169,7 +172,7 @@ def numbering(texts: DataFrame, text: str) -> Numbering:
         h, back = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
         return pd.DataFrame({"h": h.view(np.int64), "c": np.bincount(back, np.concatenate([c for _, c in kept])).astype(np.int64)})
 
-    counts = written(texts.select(text).mapInPandas(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    counts = settled(texts.select(text).mapInPandas(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     step = F.floor(F.log2("c") * 4).cast("int")
     found = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()
     steps, tokens = {r["s"]: r["n"] for r in found}, sum(r["c"] for r in found)
@@ -242,7 +245,7 @@ def count_triples(texts: DataFrame, numbers: Numbering, text: str) -> DataFrame:
 
     parts = texts.select(text).mapInPandas(work, "shard int, keys binary, counts binary")
     dealt = parts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
-    return written(dealt.mapInPandas(merge, "shard int, keys binary, counts binary, of_triples array<long>, of_pairs array<long>, follows binary"))
+    return settled(dealt.mapInPandas(merge, "shard int, keys binary, counts binary, of_triples array<long>, of_pairs array<long>, follows binary"))
 
 
 @dataclass
@@ -363,7 +366,7 @@ class KneserNey:
             return pd.DataFrame({"shard": group["shard"].iloc[:1], "keys": [steps(keys[rest])], "vals": [planes(vals[rest])], "contexts": None, "spared": None, "head": [keys[top].tobytes()], "head_vals": [vals[top].tobytes()], "bloom": [np.packbits(seen).tobytes()]})
 
         parts = grams.select("keys", "counts").mapInPandas(smooth, "shard int, keys binary, vals binary, uses binary, contexts binary, spared binary")
-        model = written(parts.groupBy("shard").applyInPandas(placed, "shard int, keys binary, vals binary, contexts binary, spared binary, head binary, head_vals binary, bloom binary"))
+        model = settled(parts.groupBy("shard").applyInPandas(placed, "shard int, keys binary, vals binary, contexts binary, spared binary, head binary, head_vals binary, bloom binary"))
         head, head_values, bloom = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], np.zeros((shards, bits // 8), np.uint8)
         for r in model.drop("keys", "vals").toLocalIterator():  # HEAD n-grams, BLOOM_BITS and the vocabulary's contexts
             if r["shard"] < 0:
@@ -409,7 +412,20 @@ class KneserNey:
 
 
 def perplexities(model: KneserNey, docs: DataFrame, text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
-    """(carried, log10_perplexity, n_units) of every row; an empty or null text has its END as only unit. carried: SQL expressions with names.
+    """(carried, log10_perplexity, n_units) of every row, as a written() table; an empty or null text has its END as only unit. carried: SQL expressions with names.
+
+    The rows are dealt to PARTS by a hash of text and carried, so docs must have the same rows whenever it is read.
+    """
+    path = shared_folder(docs.sparkSession)
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col(f"`{text}`").cast("string"), *[F.expr(c) for c in carried]), F.lit(PARTS))
+    subs = max(1, -(-docs.count() * SHARDS // (PARTS * DOCUMENTS * model.numbers.shards)))
+    for i in range(PARTS):
+        out = settled(looked_up(model, docs.filter(part == i), text, carried, subs), path, "append")
+    return out
+
+
+def looked_up(model: KneserNey, docs: DataFrame, text: str, carried: tuple[str, ...], subs: int) -> DataFrame:
+    """What perplexities() returns, of one part; subs: how many tasks share a shard's documents.
 
     A document's n-grams beyond the head, once each with how often it has them, go to the model's shards; back come
     sums by document, a row a block of documents and shard. No text is moved.
@@ -418,7 +434,6 @@ def perplexities(model: KneserNey, docs: DataFrame, text: str = "text", carried:
     shape = docs.selectExpr(*carried).schema
     rows = docs.select(F.to_json(F.struct(*[F.expr(c) for c in carried], F.lit(0).alias("_")), {"ignoreNullFields": "false"}).alias("carried"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     shared, shards = model.shared(spark), model.numbers.shards
-    subs = max(1, -(-docs.count() * SHARDS // (DOCUMENTS * shards)))
 
     def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = KneserNey(*shared.value, None)
@@ -527,7 +542,7 @@ class QualityClassifier:
     @staticmethod
     def trained(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, rows: int | None = None, fold: bool = False, key: str = "doc_id", text: str = "text") -> QualityClassifier:
         """All trusted documents are used: a fifth, by a hash of their ids, for the thresholds, as the counts would flatter a document of their own; n-grams are counted in all others. With `rows` these are at most so many, and what is left goes to the thresholds."""
-        good = written(trusted_ids(labels, key, fold=fold))
+        good = settled(trusted_ids(labels, key, fold=fold))
         chosen = good.filter(F.pmod(F.xxhash64(F.lit("split"), F.col(key)), F.lit(5)) != 0)
         if rows is not None:
             chosen = chosen.orderBy(F.xxhash64(F.lit("trusted"), F.col(key)), key).limit(rows)
@@ -559,7 +574,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     found = QualityClassifier.trained(docs, labels, quantile=quantile, rows=rows, key=key, text=text)
     if found.model is None:
         return docs.select(key, F.col(lang).cast("string").alias(lang), F.lit(None).cast("long").alias("n_units"), F.lit(None).cast("double").alias("log10_perplexity"), F.lit(float("inf")).alias("threshold"), F.lit(True).alias("kept"))
-    scored = written(perplexities(found.model, docs, text, (f"`{key}` AS k", f"cast(`{lang}` AS string) AS lang")))
+    scored = perplexities(found.model, docs, text, (f"`{key}` AS k", f"cast(`{lang}` AS string) AS lang"))
     limits = found.limits(scored.join(found.rest.select(F.col(key).alias("k")), "k", "left_semi"), "lang")
     return limited(scored, "lang", limits).select(F.col("k").alias(key), F.col("lang").alias(lang), "n_units", "log10_perplexity", "threshold", "kept")
 
@@ -574,8 +589,11 @@ def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, *, key: s
     found = QualityClassifier.trained(labelled, labels, quantile=quantile, key=key, text=text)
     if found.model is None:
         return docs
-    limits = found.limits(perplexities(found.model, having(labelled, found.rest, key), text, (f"cast(`{lang}` AS string) AS lang",)), "lang")
+    rest = perplexities(found.model, having(labelled, found.rest, key), text, (f"cast(`{lang}` AS string) AS lang",))
+    limits = found.limits(rest, "lang")
     tag = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.col(f"`{lang}`").cast("string"))
     tagged = f"xxhash64(coalesce(cast(`{text}` AS string), ''), cast(`{lang}` AS string)) AS t"
     scored = perplexities(found.model, docs, text, (f"`{key}` AS k", f"cast(`{lang}` AS string) AS lang", tagged))
-    return without(docs, limited(scored, "lang", limits).filter("NOT kept"), key, tag)
+    kept = without(docs, limited(scored, "lang", limits).filter("NOT kept"), key, tag)
+    erased(rest, scored)
+    return kept

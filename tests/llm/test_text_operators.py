@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ripplegrid.llm import bpe, kneser, lbl, parsing, tokenfiles, toxicity, wordscan
+from ripplegrid.llm import bpe, common, kneser, lbl, parsing, tokenfiles, toxicity, wordscan
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 LONG = "the cat sat on a mat and " * 3000
@@ -463,3 +465,28 @@ def test_quality_is_the_same_in_more_shards_and_broadcasts(spark, monkeypatch):
         monkeypatch.setattr(kneser, name, value)
     assert kneser.numbering(docs.filter("text IS NOT NULL"), "text").shards > kneser.SHARDS
     assert result() == one
+
+
+def test_quality_looks_up_a_part_at_a_time_and_leaves_no_shuffle_files(spark, monkeypatch):
+    """Of the n-grams of all documents, which take the most disk, only a part's are there at a time."""
+    monkeypatch.setattr(kneser, "HEAD", 64)  # few: most n-grams are joined
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    docs = spark.createDataFrame([*enumerate([*prose(200, 6), "", None]), (None, "no id"), (3, "the cat"), (3, "the cat")], "doc_id long, text string")
+    model, before = kneser.KneserNey.trained(docs.filter("text IS NOT NULL").limit(100)), spark.conf.get(common.CLEANUP)
+    sizes, looked_up = [], kneser.looked_up
+    monkeypatch.setattr(kneser, "looked_up", lambda m, part, *a: sizes.append(len(part.collect())) or looked_up(m, part, *a))
+
+    def result():
+        return sorted((r["doc_id"] or -1, r["n_units"], r["log10_perplexity"]) for r in kneser.perplexities(model, docs, "text", ("doc_id",)).collect())
+
+    there = files()
+    two = result()
+    until = time.time() + 3  # executors delete them in the background
+    while (left := sum(p.stat().st_size for p in files() - there)) >= 4096 and time.time() < until:
+        time.sleep(0.1)
+    assert left < 4096  # what counting the rows left
+    assert len(sizes) == kneser.PARTS > 1 and len(two) == sum(sizes) == 205 and max(sizes) < 150
+    monkeypatch.setattr(kneser, "PARTS", 1)
+    assert [x[:2] for x in result()] == [x[:2] for x in two]
+    assert spark.conf.get(common.CLEANUP) == before
